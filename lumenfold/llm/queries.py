@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import chat, decontaminate, embeddings, langid, licenses, minhash, mixing, pii, quality
+from lumenfold.llm import chat, decontaminate, embeddings, langid, licenses, lm_score, minhash, mixing, pii, quality
 from lumenfold.llm._shared import crc_mod, table
 
 
@@ -19,6 +19,11 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("train", ~lm_score.held_out())
+    return lm_score.score_documents(docs).withColumn("held_out", lm_score.held_out())
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_lm_score": op2_lm_score,
     "op3_source_mix": op3_source_mix,
     "op4_chat_format": op4_chat_format,
     "op5_decontaminate": op5_decontaminate,
