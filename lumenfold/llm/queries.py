@@ -90,3 +90,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
 }
+
+_LOW = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+_TOKENS = rf"regexp_extract_all({_LOW}, '{decontaminate.TOKEN}')"
+_ESCAPED = "(length({0}) + 4*(length({0})-length(replace({0},'&',''))) + 3*(length({0})-length(replace({0},'<',''))) + 5*(length({0})-length(replace({0},'[',''))))"
+
+SQL: dict[str, str] = {
+    "op1_minhash_dedup": rf"""with recursive w as (select doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') w from documents),
+ s as (select doc_id, case when len(w)=0 then [] when len(w)<5 then [array_to_string(w,' ')] else list_distinct([array_to_string(w[i:i+4],' ') for i in range(1,len(w)-3)]) end s from w),
+ x as (select doc_id, unnest(s) g from s), p as (select a.doc_id a, b.doc_id b, count(*) k from x a join x b on a.g=b.g and a.doc_id<>b.doc_id group by 1,2),
+ e as (select a, b from p join s na on na.doc_id=a join s nb on nb.doc_id=b where 100*k >= 75*(len(na.s)+len(nb.s)-k)),
+ r(a, b) as (select doc_id, doc_id from s union select r.a, e.b from r join e on e.a=r.b), c as (select a, min(b) component_id from r group by 1)
+ select doc_id, len(s)::bigint n_shingles, component_id, doc_id = component_id kept from s join c on c.a = doc_id""",
+    "op4_chat_format": f"""with c as (select conv_id, turn, coalesce(role,'') r, coalesce(text,'') t from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+ select conv_id, count(*) n_turns, sha256(string_agg(r||chr(10)||t||chr(10),'' order by turn,r,t)) turns_sha256, cast(coalesce(sum(length(t)) filter (where r='assistant'),0) as bigint) loss_chars,
+ sha256(coalesce(string_agg(t,'' order by turn,r,t) filter (where r='assistant'),'')) loss_sha256, cast(sum(24 + {_ESCAPED.format('r')} + {_ESCAPED.format('t')}) as bigint) formatted_chars from c group by 1""",
+    "op5_decontaminate": f"""with d as (select doc_id, {_TOKENS} w from documents), b as (select item_id, {_TOKENS} w from benchmark),
+ bw as (select distinct item_id, least(len(w),10) n, array_to_string(w[i:i+least(len(w),10)-1],' ') g from b, lateral (select unnest(range(1,len(w)-least(len(w),10)+2)) i) where len(w)>0), ns as (select distinct n from bw),
+ dw as (select doc_id, n, i, array_to_string(w[i:i+n-1],' ') g from d, ns, lateral (select unnest(range(1,len(w)-n+2)) i) where len(w)>=n), h as (select doc_id, i, n, item_id from dw join bw using (n,g)),
+ hit as (select doc_id, count(distinct p) n_hit from h, lateral (select unnest(range(i,i+n)) p) group by 1),
+ it as (select doc_id, count(*) n_items, string_agg(v, ',' order by v) v from (select distinct doc_id, item_id::varchar v from h) group by 1)
+ select doc_id, len(w)::bigint n_words, coalesce(n_hit,0) n_hit, coalesce(n_items,0) n_items, sha256(coalesce(v,'')) items_sha256, coalesce(n_hit,0)>0 contaminated from d left join hit using (doc_id) left join it using (doc_id)""",
+    "op6_embedding_dedup": """with recursive v as (select vec_id, label, embedding::double[] e from embeddings),
+ l as (select a.vec_id a, b.vec_id b from v a join v b on a.label=b.label and a.vec_id<>b.vec_id where list_cosine_similarity(a.e,b.e) >= 0.98),
+ r(a, b) as (select vec_id, vec_id from v union select r.a, l.b from r join l on l.a=r.b), c as (select a, min(b) component_id from r group by 1), n as (select a, count(*) n from l group by 1)
+ select vec_id, coalesce(n.n,0) n_links, component_id, vec_id = component_id kept from v join c on c.a=vec_id left join n on n.a=vec_id""",
+}
