@@ -73,9 +73,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> np.ndarray:
         own = [x for a, b in chunks(texts) for x in slots(texts[a:b])]
         return pd.DataFrame({"n": [len(own)], "w": [ftrl(own, pdf["label"].tolist()).astype("<f4").tobytes()]})
 
-    parts = rows.groupBy("shard").applyInPandas(shard, "n long, w binary").orderBy("n").collect()  # SHARDS arrays of SLOTS numbers
+    parts = rows.groupBy("shard").applyInPandas(shard, "n long, w binary").collect()  # SHARDS arrays of SLOTS numbers
     if not parts:
         return np.zeros(SLOTS + 2)
+    parts = sorted(parts, key=lambda p: (p["n"], bytes(p["w"])))  # one order, so that reruns agree
     return np.average([np.frombuffer(p["w"], "<f4") for p in parts], axis=0, weights=[p["n"] for p in parts])
 
 
