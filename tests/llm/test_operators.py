@@ -149,3 +149,22 @@ def test_lm_score(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, train boolean")
     assert lm_score.score_documents(empty).count() == 0
     assert zlib.crc32(b"12") % 7 == spark.range(12, 13).select(F.crc32(F.col("id").cast("string").cast("binary")) % 7).first()[0]
+
+
+def test_lm_groups(spark):
+    rows = [(i, (prose(i, 60) if i % 2 else " ".join(f"mot{j}" for j in np.random.default_rng(i).integers(0, 90, 60))), ("en", "fr")[1 - i % 2] if i % 9 else None, i % 4 != 0) for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, train boolean")
+    one, many = ({r["doc_id"]: r for r in lm_score.score_documents(x).collect()} for x in (d.drop("lang"), d))
+    held = [i for i, *_, learn in rows if not learn]
+    assert sum(many[i]["score"] for i in held) > sum(one[i]["score"] for i in held)
+    assert all(many[i]["base_score"] == pytest.approx(one[i]["base_score"]) for i in many)
+    # the language of the text itself is no input of its score
+    other = {r["doc_id"]: r for r in lm_score.score_documents(d.withColumn("lang", F.when(F.col("train"), F.col("lang")))).collect()}
+    assert all(other[i]["score"] == pytest.approx(many[i]["score"], rel=1e-5) for i in held)
+
+
+def test_lm_shapes(spark):
+    units = [b"\x00Word, ", b"\x01WORDS ", b"\x00wOrd ", b"\x0012-3 ", b"\x00\xff", "\x01(Été)\n".encode()]
+    assert [lm_score.shape(u) for u in units] == [b"\x00\xf9, ", b"\x01\xfa ", b"\x00\xfb ", b"\x0012-3 ", b"\x00\xff", b"\x01(\xf8)\n"]
+    got = [r[0] for r in spark.createDataFrame([(u[1:-1].decode(),) for u in units], "b string").select(lm_score.core(F.col("b"))).collect()]
+    assert got == ["word", "words", "wOrd", "", "", "Été"]
