@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lumenfold.llm._shared import ascii_lower, bound, saved
 
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: the same words in a text that isn't lowered: ``TOKEN`` with A-Z
+RAW_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, MOST = 10, 50_000
 _HITS = "array<struct<start:int,len:int,gram:string>>"
 
@@ -92,7 +94,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     Keeps all columns; ``n_chars`` follows the new text. Rows without a hit stay as they are.
     """
     rows = with_hits(docs, saved(benchmark_windows(benchmark, window)), most=most).withColumn("_hit", hit_positions(F.col("hits"))).where(F.size("_hit") < F.greatest(F.lit(1e-9), F.col("n_words") * drop_share))
-    parts = F.struct(F.split("text", TOKEN, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("words"), F.col("_hit").alias("hit"))
+    parts = F.struct(F.split("text", RAW_TOKEN, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(RAW_TOKEN), F.lit(0)).alias("words"), F.col("_hit").alias("hit"))
     cut = bound(parts, lambda x: F.array_join(F.transform(x["gaps"], lambda gap, i: F.when((i >= F.size(x["words"])) | F.array_contains(x["hit"], i + 1), gap).otherwise(F.concat(gap, F.get(x["words"], i)))), ""))
     rows = rows.withColumn("text", F.when(F.size("_hit") > 0, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -74,6 +74,28 @@ def test_decontaminate(spark, most):
     assert 22 not in kept and item.split()[3].upper() not in kept[20]["text"] and kept[20]["text"].startswith(prose(6, 40)) and kept[5]["text"].startswith("É") and kept[1]["text"] is None
 
 
+def cut_by_hand(text, item, window):
+    """The words of the text as (start, end), those of the item's windows cut."""
+    spans = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    words, of = [text[a:b].lower() for a, b in spans], [x.lower() for x in re.findall(r"[^\W_]+", item)]
+    grams = {tuple(of[i : i + window]) for i in range(len(of) - window + 1)}
+    hit = {j for i in range(len(words) - window + 1) if tuple(words[i : i + window]) in grams for j in range(i, i + window)}
+    for j in sorted(hit, reverse=True):
+        text = text[: spans[j][0]] + text[spans[j][1] :]
+    return text
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_decontaminate_capitals(spark, most):
+    item = "The quick iPhone of NASA and I jumped over A lazy USA dog"
+    lead = "I met The Old Man At A Pub In USA And NASA Told Us " * 2
+    texts = [f"{lead}{item}, so {prose(8, 30)} END", f"A {item.upper()} {prose(9, 30)} I", f"É {prose(3, 20)} I, {item.lower()}! The End {prose(4, 9)}", f"{item} {lead}", f"{lead} no passage"]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.decontaminated(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), bench, most=most).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {i: cut_by_hand(t, item, 10) for i, t in enumerate(texts)}
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and got[4]["text"] == texts[4] and "jumped" not in got[0]["text"]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(120, 12))
