@@ -4,10 +4,12 @@ Each distinct set of word shingles becomes a node. One permutation hash with
 optimal densification (Shrivastava, 2017) gives 128 values; 32 bands of four
 values are the bucket keys. Inside a bucket every node is compared with the
 bucket's smallest node only (a star), so the pairs grow with the rows. What a
-star can miss is made good by a second round over the buckets that still hold
-several components: buckets of at most ``SMALL`` nodes are compared across
-components, larger ones are first split by a second band. Every candidate is
-confirmed on the full sets.
+star can miss is made good by further rounds over the buckets that still hold
+several components. In the second, buckets of at most ``SMALL`` nodes are compared
+across components, larger ones are first split by a second band, with a star in
+what stays large. In the third, all that is still apart in a bucket is compared:
+every two nodes that share a bucket are in one component or have been compared.
+Every candidate is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from lumenfold.llm._shared import connected_components, saved
 from lumenfold.llm._words import U, chunks, mix, shingle_sets
 
 BINS, BANDS, SMALL = 128, 32, 16
+#: nodes of a bucket that one task of the third round gets
+BLOCK = 256
 _EDGES = np.arange(BINS, dtype=np.uint64) << U(57)
 #: for an empty bin, the bins to borrow from, in this order (the same for every document)
 _DONORS = np.random.default_rng(3).integers(0, BINS, (BINS, 64 * BINS), dtype=np.int16)
@@ -41,6 +45,11 @@ def band_hashes(shingles: np.ndarray) -> np.ndarray:
     return mix((value * _ROWS).reshape(BANDS, -1).sum(axis=1, dtype=np.uint64))
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """512 bits: whether the set has an odd number of values in each bin. Two sets differ in at least as many values as bits."""
+    return np.packbits(np.bincount((shingles & U(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64)
+
+
 def set_key(shingles: np.ndarray) -> bytes:
     """128 bits that stand for a set."""
     a = mix(shingles + U(1)).sum(dtype=np.uint64)
@@ -55,7 +64,7 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, list[np.ndar
 
 
 def features(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, node binary, bands array<bigint>``; no node without words."""
+    """``doc_id, n_shingles, node binary, bands array<bigint>, parity array<bigint>``; no node without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,11 +75,12 @@ def features(docs: DataFrame, width: int = 5) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([band_hashes(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                        pa.array([parity(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "node", "bands"],
+                    names=["doc_id", "n_shingles", "node", "bands", "parity"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>, parity array<long>")
 
 
 def node_sets(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -85,6 +95,27 @@ def node_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "node binary, shingles array<long>")
 
 
+def _apart(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` (a < b) of nodes that share a bucket of ``members`` and are in different components.
+
+    A bucket's largest component is met by the nodes outside it only. The bucket is
+    dealt into blocks of about ``BLOCK`` nodes, each of which meets all of those. Pairs
+    whose sizes or parities show that they are under ``percent`` are left out.
+    """
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = rooted.groupBy("band", "key", "root").agg(F.count("*").alias("part"))
+    cells = parts.groupBy("band", "key").agg(F.max(F.struct("part", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("part").alias("size")).where("roots > 1").drop("roots")
+    rest = saved(rooted.join(cells, ["band", "key"]).join(nodes.select("node", "parity"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    all_ = rest.select("band", "key", block, F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("parity").alias("p_bits"), F.col("root").alias("p_root"), (F.col("root") == F.col("main")).alias("p_main"))
+    outside = rest.where("root <> main").select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("parity").alias("q_bits"), F.col("root").alias("q_root"))
+    fits = f"100 * least(p_n, q_n) >= {percent} * greatest(p_n, q_n)"
+    differ = " + ".join(f"bit_count(p_bits[{i}] ^ q_bits[{i}])" for i in range(8))
+    fits += f" and {100 + percent} * ({differ}) <= {100 - percent} * (p_n + q_n)"
+    pairs = all_.alias("l").join(outside.alias("r"), F.expr(f"l.band = r.band and l.key = r.key and l.block = r.block and p_root <> q_root and (p_main or p < q) and {fits}"))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
@@ -97,7 +128,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     """
     feats = saved(features(docs, width))
     named = feats.where("doc_id is not null and node is not null")
-    nodes = saved(named.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    nodes = saved(named.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity")))
     buckets = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     fits = f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"  # else even one set inside the other is too small
     hubs = buckets.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
@@ -138,7 +169,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     )
     round_2 = saved(star.union(across).distinct().join(round_1, ["a", "b"], "left_anti"))
     if not round_2.isEmpty():
-        roots = saved(connected_components(links.union(confirmed(round_2))))
+        links = saved(links.union(confirmed(round_2)))
+        roots = saved(connected_components(links))
+    # small buckets are done; of the others, what has been compared needn't be again
+    round_3 = saved(_apart(shared.where(f"members > {SMALL}").select("node", "n", "band", "key"), roots, nodes, percent).join(round_1.union(round_2), ["a", "b"], "left_anti"))
+    if not round_3.isEmpty():
+        roots = saved(connected_components(links.union(confirmed(round_3))))
     grouped = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = grouped.join(lows, "root").select("node", "component_id")

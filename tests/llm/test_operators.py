@@ -36,6 +36,16 @@ def test_minhash(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_minhash_template(spark):
+    """120 documents on one template, any two at 0.742 but each with its partner at 0.762: links that no hub shows."""
+    rows = [(i, f"{prose(11, 200)} {' '.join(f'x{i // 2}y{j}' for j in range(3))} {' '.join(f'z{i}y{j}' for j in range(31))}", "a") for i in range(120)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t, _ in rows)]
+    links = {(i, j) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])}
+    assert links == {(i + 1, i) for i in range(0, 120, 2)}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(120)}
+
+
 def test_mixing(spark):
     rows = [(i, prose(i, 5 + i % 40), f"s{i % 3}" if i % 7 else None) for i in range(300)]
     got = mixing.mix_sources(docs(spark, [*AWKWARD, *rows])).collect()
