@@ -126,6 +126,33 @@ def test_licenses(spark):
     assert licenses.dice(licenses.bigrams("a b c"), licenses.bigrams("a b d")) == 0.5
 
 
+def test_licenses_wrapped(spark):
+    mit, apache = licenses.TEMPLATES["MIT"][1].split(), licenses.TEMPLATES["Apache-2.0"][1].split()
+    wrap = lambda w, mark="": "\n".join(mark + " ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+    texts = [f"{prose(1, 60)}\n{wrap(mit)}\n{prose(2, 200)}", f"{prose(3, 9)}\n{wrap(apache, '# ')}\n{prose(4, 90)}", f"{prose(5, 30)} all rights reserved. {prose(6, 30)}", f"{wrap(mit)}\n{prose(7, 50)}\n{wrap(apache, ' * ')}", f"{prose(8, 90)}\nrights of all reserved"]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i]["license"] for i in range(5)] == ["MIT", "Apache-2.0", "proprietary", "MIT", None]
+    assert all(got[i]["dice"] == 1.0 for i in range(4)) and got[0]["n_matches"] == 1 and got[3]["n_matches"] == 2
+
+
+def test_licenses_versions(spark):
+    notices = [(name, t) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    rows = [(i, f"{prose(i, 40)}\n" + "\n".join(f"// {' '.join(t.split()[k : k + 8])}" for k in range(0, len(t.split()), 8)), "a") for i, (_, t) in enumerate(notices)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(notices)} and {"GPL-2.0", "GPL-3.0"} <= set(got.values())
+
+
+def test_licenses_runs():
+    rng = np.random.default_rng(4)
+    template = licenses.bigrams("a b c a b d e f a c")
+    for _ in range(200):
+        words = [*map(str, rng.choice(list("abcdefx"), 25))]
+        grams = list(zip(words, words[1:], strict=False))
+        got = max((r[0] for r in licenses.runs(grams, [i for i, x in enumerate(grams) if x in template], template, 0.5)), default=0.0)
+        want = max(licenses.dice(licenses.Counter(grams[i:j]), template) for i in range(24) for j in range(i + 1, 25))
+        assert got == (pytest.approx(want) if want >= 0.5 else 0.0)
+
+
 def test_language(spark):
     en, de = "the house and the garden are near the river in this town ", "das haus und der garten sind nahe am fluss in dieser stadt "
     dicts = langid.dictionaries(spark.createDataFrame([("en", en * 3, 1), ("de", de * 3, 2), (None, "x" * 40, 3), ("fr", None, 4)], "lang string, text string, pick long"))
