@@ -66,3 +66,9 @@ def test_ogle_layout_and_idents(spark, tmp_path):
 def test_constant_residuals_have_no_correlation(spark):
     r = spark.createDataFrame([(1, "g", i / 10, 1.0, 0.1, i) for i in range(8)], "source_id int, band string, phi double, residual double, emag double, ord int")
     assert stats.residual_autocorrelation(r, 5).first()["rho"] == 0.0
+
+
+def test_harmonic_penalty_weight():
+    shape = np.array([0.4, 0.1, 0.05, 0.2, 0.0, 0.1])
+    plain, full = (decompose.penalised(1.5, shape, EngineConfig(lam_spike=0.0, lam_harmonic=lam)) for lam in (0.0, 10.0))
+    assert plain == 1.5 and full - plain == pytest.approx(10 * (0.17 + 16 * 0.0425 + 81 * 0.01))
