@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -32,16 +34,33 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+#: bytes of text that are hashed at once: arrays of that many numbers are what a task's memory has to hold
+PIECE = 1 << 18
+
+
+def ranges(sizes: list[int], most: int = PIECE) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes, one text at least."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
             yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    return ranges([len(t) for t in texts], most)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of Arrow batches with the texts of a binary column, null as empty; only a slice's texts are Python objects."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for a, b in ranges(sizes, most):
+            part = batch.slice(a, b - a)
+            yield part, [t or b"" for t in part.column(column).to_pylist()]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,19 +80,26 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 _STEP = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
 
 
-def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
-    """The sorted set of hashed ``width``-word shingles of each text (all words as one, if fewer)."""
+def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashed ``width``-word shingles (all words as one, if fewer), sorted within each text, and how many each text has."""
     hashes, counts = word_hashes(texts)
     n = len(hashes)
     rolled = np.zeros(max(0, n - width + 1), np.uint64)
     for j in range(width if n >= width else 0):
         rolled += hashes[j : n - width + 1 + j] * _STEP[j]
-    rolled, out, at = mix(rolled), [], 0
-    for count in counts.tolist():
+    rolled = mix(rolled)
+    begin = np.cumsum(counts) - counts
+    sizes = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
+    first = np.cumsum(sizes) - sizes
+    values = np.empty(int(sizes.sum()), np.uint64)
+    for at, size, own, count in zip(first.tolist(), sizes.tolist(), begin.tolist(), counts.tolist(), strict=True):
         if count >= width:
-            out.append(np.unique(rolled[at : at + count - width + 1]))
-        else:
-            own = hashes[at : at + count]
-            out.append(mix(np.sum(own * _STEP[:count], keepdims=True, dtype=np.uint64) + U(count)) if count else own)
-        at += count
-    return out
+            values[at : at + size] = rolled[own : own + size]
+            values[at : at + size].sort()
+        elif count:
+            values[at] = mix(np.sum(hashes[own : own + count] * _STEP[:count], keepdims=True, dtype=np.uint64) + U(count))[0]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[first[sizes > 0]] = True
+    total = np.append(0, np.cumsum(new))
+    return values[new], total[first + sizes] - total[first]

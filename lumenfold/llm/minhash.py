@@ -1,15 +1,14 @@
 """Near-duplicate documents by one-permutation MinHash.
 
-Each distinct set of word shingles becomes a node. One permutation hash with
-optimal densification (Shrivastava, 2017) gives 128 values; 32 bands of four
-values are the bucket keys. Inside a bucket every node is compared with the
-bucket's smallest node only (a star), so the pairs grow with the rows. What a
+Each distinct set of word shingles becomes a node, named by its smallest doc_id.
+One permutation hash with optimal densification (Shrivastava, 2017) gives 128
+values; 32 bands of four values are the bucket keys. Inside a bucket every node
+is compared with one hub only (a star), so the pairs grow with the rows. What a
 star can miss is made good by further rounds over the buckets that still hold
-several components. In the second, buckets of at most ``SMALL`` nodes are compared
-across components, larger ones are first split by a second band, with a star in
-what stays large. In the third, all that is still apart in a bucket is compared:
-every two nodes that share a bucket are in one component or have been compared.
-Every candidate is confirmed on the full sets.
+several components: stars around another hub, and at last all pairs of a bucket
+that are still in different components, unless sizes or parity bits prove a pair
+too far apart. So any two nodes that share a bucket end in one component or have
+been compared. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -22,98 +21,114 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm._shared import connected_components, saved
-from lumenfold.llm._words import U, chunks, mix, shingle_sets
+from lumenfold.llm._words import U, mix, pieces, shingle_sets
 
-BINS, BANDS, SMALL = 128, 32, 16
-#: nodes of a bucket that one task of the third round gets
-BLOCK = 256
-_EDGES = np.arange(BINS, dtype=np.uint64) << U(57)
+BINS, BANDS, PARITY = 128, 32, 512
+#: rounds of stars around a new hub; nodes of a bucket that one task of the last round gets
+REHUBS, BLOCK = 2, 1024
 #: for an empty bin, the bins to borrow from, in this order (the same for every document)
 _DONORS = np.random.default_rng(3).integers(0, BINS, (BINS, 64 * BINS), dtype=np.int16)
 _ROWS = np.random.default_rng(5).integers(1, 1 << 63, BINS, dtype=np.uint64) * U(2) + U(1)
 
 
-def band_hashes(shingles: np.ndarray) -> np.ndarray:
-    """The band keys of one sorted, non-empty set."""
-    first = np.searchsorted(shingles, _EDGES)
-    value = shingles[np.minimum(first, len(shingles) - 1)]
-    filled = value >> U(57) == _EDGES >> U(57)
-    empty = np.flatnonzero(~filled)
-    if len(empty):
-        own = _DONORS[empty]
-        value[empty] = value[own[np.arange(len(empty)), np.argmax(filled[own], axis=1)]]
-    return mix((value * _ROWS).reshape(BANDS, -1).sum(axis=1, dtype=np.uint64))
-
-
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """512 bits: whether the set has an odd number of values in each bin. Two sets differ in at least as many values as bits."""
-    return np.packbits(np.bincount((shingles & U(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64)
-
-
-def set_key(shingles: np.ndarray) -> bytes:
-    """128 bits that stand for a set."""
-    a = mix(shingles + U(1)).sum(dtype=np.uint64)
-    b = mix(shingles ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    return np.array([a, b + U(len(shingles))], ">u8").tobytes()
-
-
-def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    texts = [t or b"" for t in batch.column("text").to_pylist()]
-    for start, end in chunks(texts):
-        yield start, shingle_sets(texts[start:end], width)
+def band_hashes(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The band keys, a row for each non-empty set; ``values`` holds the sets' sorted values one after the other."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    cell = owner * BINS + (values >> U(57)).astype(np.int64)
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    table, filled = np.zeros(len(sizes) * BINS, np.uint64), np.zeros(len(sizes) * BINS, bool)
+    table[cell[first]], filled[cell[first]] = values[first], True
+    empty, at, step = np.flatnonzero(~filled), 0, 1
+    while len(empty) and at < _DONORS.shape[1]:  # a few donors at a time, until all have one
+        own = _DONORS[empty % BINS, at : at + step] + (empty - empty % BINS)[:, None]
+        got = filled[own]
+        found = got.any(axis=1)
+        donor = own[found, got[found].argmax(axis=1)]
+        table[empty[found]] = table[donor]
+        empty, at, step = empty[~found], at + step, min(64, step * 2)
+    rows = (table.reshape(-1, BINS) * _ROWS).reshape(len(sizes), BANDS, BINS // BANDS).sum(axis=2, dtype=np.uint64)
+    return mix(rows + np.arange(BANDS, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+
+
+def parity(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether a set has an odd number of values in each of ``PARITY`` bins, as bits. Two sets differ in at least as many values as bits."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    odd = np.bincount(owner * PARITY + (values & U(PARITY - 1)).astype(np.int64), minlength=len(sizes) * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), PARITY // 64)
+
+
+def set_keys(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """128 bits that stand for each non-empty set."""
+    if not len(sizes):
+        return []
+    at = np.cumsum(sizes) - sizes
+    a = np.add.reduceat(mix(values + U(1)), at)
+    b = np.add.reduceat(mix(values ^ U(0xA5A5A5A5A5A5A5A5)), at) + sizes.astype(np.uint64)
+    raw = np.stack([a, b], axis=1).astype(">u8").tobytes()
+    return [raw[i : i + 16] for i in range(0, len(raw), 16)]
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    flat = rows.view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
 
 
 def features(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, node binary, bands array<bigint>, parity array<bigint>``; no node without words."""
+    """``doc_id, n_shingles`` of each row, and ``set binary, bands array<bigint>, parity array<bigint>``, null or zeros without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, sets in _sets(batch, width):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(start, len(sets)),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([band_hashes(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                        pa.array([parity(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n_shingles", "node", "bands", "parity"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>, parity array<long>")
+        for part, texts in pieces(batches):
+            values, counts = shingle_sets(texts, width)
+            some = counts > 0
+            bands, bits = np.zeros((len(texts), BANDS), np.uint64), np.zeros((len(texts), PARITY // 64), np.int64)
+            bands[some], bits[some] = band_hashes(values, counts[some]), parity(values, counts[some])
+            keys = np.full(len(texts), None, object)
+            keys[some] = set_keys(values, counts[some])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), _lists(bands), _lists(bits)], names=["doc_id", "n_shingles", "set", "bands", "parity"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set binary, bands array<long>, parity array<long>")
 
 
 def node_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``node, shingles array<bigint>`` of each document."""
+    """``set, shingles array<bigint>`` of each document that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, sets in _sets(batch, width):
-                sets = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+        for _, texts in pieces(batches):
+            values, counts = shingle_sets(texts, width)
+            counts = counts[counts > 0]
+            shingles = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(set_keys(values, counts), pa.binary()), shingles], names=["set", "shingles"])
+
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "set binary, shingles array<long>")
+
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "node binary, shingles array<long>")
+def _unsettled(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``shared`` whose bucket holds several components, with their ``root`` and the bucket's largest one, ``main``."""
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("part"))
+    cells = parts.groupBy("key").agg(F.max(F.struct("part", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("part").alias("members")).where("roots > 1")
+    return rooted.join(cells.drop("roots"), "key")
 
 
-def _apart(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` (a < b) of nodes that share a bucket of ``members`` and are in different components.
+def _apart(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` (a < b) of nodes that share an unsettled bucket and are in different components, each once.
 
     A bucket's largest component is met by the nodes outside it only. The bucket is
     dealt into blocks of about ``BLOCK`` nodes, each of which meets all of those. Pairs
-    whose sizes or parities show that they are under ``percent`` are left out.
+    whose sizes or parities show that they are under ``percent`` are left out; a pair
+    belongs to the first band that it shares.
     """
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = rooted.groupBy("band", "key", "root").agg(F.count("*").alias("part"))
-    cells = parts.groupBy("band", "key").agg(F.max(F.struct("part", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("part").alias("size")).where("roots > 1").drop("roots")
-    rest = saved(rooted.join(cells, ["band", "key"]).join(nodes.select("node", "parity"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
+    rest = saved(rest.join(nodes.select("node", "n", "bands", "parity"), ["node", "n"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    all_ = rest.select("band", "key", block, F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("parity").alias("p_bits"), F.col("root").alias("p_root"), (F.col("root") == F.col("main")).alias("p_main"))
-    outside = rest.where("root <> main").select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("parity").alias("q_bits"), F.col("root").alias("q_root"))
+    named = lambda p: [F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("n", "root", "bands", "parity"))]
+    all_ = rest.select("key", "band", block, *named("p"), (F.col("root") == F.col("main")).alias("p_main"))
+    outside = rest.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *named("q"))
     fits = f"100 * least(p_n, q_n) >= {percent} * greatest(p_n, q_n)"
-    differ = " + ".join(f"bit_count(p_bits[{i}] ^ q_bits[{i}])" for i in range(8))
+    differ = " + ".join(f"bit_count(p_parity[{i}] ^ q_parity[{i}])" for i in range(PARITY // 64))
     fits += f" and {100 + percent} * ({differ}) <= {100 - percent} * (p_n + q_n)"
-    pairs = all_.alias("l").join(outside.alias("r"), F.expr(f"l.band = r.band and l.key = r.key and l.block = r.block and p_root <> q_root and (p_main or p < q) and {fits}"))
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    once = "array_position(zip_with(p_bands, q_bands, (x, y) -> x = y), true) = band + 1"
+    pairs = all_.alias("l").join(outside.alias("r"), F.expr(f"l.key = r.key and l.block = r.block and p_root <> q_root and (p_main or p < q) and {fits} and {once}"))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -123,61 +138,57 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     row. A text that is null or has no words has no shingles and is linked with
     nothing. A row with a null ``doc_id`` keeps its count, is linked with nothing,
     has a null component and stays (``kept`` true). Rows that repeat a ``doc_id``
-    share that id's smallest component if their texts are linked. Other columns
-    are ignored.
+    are one document, linked by any of its texts that has words, and have the same
+    ``kept``. An empty table gives none. Other columns are ignored. Bytes that are
+    not UTF-8 are hashed as they are.
     """
     feats = saved(features(docs, width))
-    named = feats.where("doc_id is not null and node is not null")
-    nodes = saved(named.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity")))
+    named = feats.where("doc_id is not null and set is not null")
+    nodes = saved(named.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity")))
     buckets = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     fits = f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"  # else even one set inside the other is too small
-    hubs = buckets.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    shared = saved(buckets.join(hubs, ["band", "key"]))
-    round_1 = saved(shared.where(f"node <> hub.node and {fits}").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
-    # every node that shares a bucket may be needed in the second round
-    wanted = shared.select("node").distinct().join(nodes, "node").select("node", F.col("first_id").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = saved(node_sets(texts, width).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    hubs = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").drop("many")
+    shared = saved(buckets.join(hubs, "key"))
+    star = lambda rows: rows.where(f"node <> hub.node and {fits}").select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
+    # any node that shares a bucket may be needed
+    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("set", "node")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = saved(node_sets(texts, width).join(wanted, "set").dropDuplicates(["set"]).select("node", "shingles"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        left = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         return (
-            left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+            left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
             .select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
             .where(f"100 * common >= {percent} * (total - common)")
             .select("a", "b")
         )
 
-    links = saved(confirmed(round_1))
+    tested = saved(star(shared))
+    # the texts of a doc_id that is repeated with other words are one document
+    own = named.select("doc_id", "set").join(nodes.select("set", "node"), "set").select("doc_id", "node").distinct()
+    same = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last"), "doc_id").where("node <> a")
+    links = saved(confirmed(tested).union(same.select("a", F.col("node").alias("b"))))
     roots = saved(connected_components(links))
-    # second round: pairs of a bucket that are in different components so far
-    rooted = shared.drop("hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
-    rest = saved(rooted.join(mixed, ["band", "key"]).select("node", "n", "root", "band", "key", "members"))
-    split = rest.where(f"members > {SMALL}").join(nodes.select("node", "bands"), "node").withColumn("sub", F.expr(f"bands[(band + 1) % {BANDS}]")).drop("bands")
-    rest = rest.where(f"members <= {SMALL}").withColumn("sub", F.lit(0).cast("long")).unionByName(split)
-    cells = rest.groupBy("band", "key", "sub").agg(
-        F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "n", "root")).alias("hub"),
-    ).where("low <> high").withColumnRenamed("band", "band_").withColumnRenamed("key", "key_").withColumnRenamed("sub", "sub_")
-    cell = rest.join(cells, F.expr("band = band_ and key = key_ and sub = sub_"))
-    star = cell.where(f"size > {SMALL} and root <> hub.root and {fits}").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-    few = cell.where(f"size <= {SMALL}").groupBy("band", "key", "sub").agg(F.collect_list(F.struct("node", "n", "root")).alias("own"))
-    across = (
-        few.select(F.explode("own").alias("p"), "own").select("p", F.explode("own").alias("hub"))
-        .where("p.node > hub.node and p.root <> hub.root").select(F.col("hub.node").alias("a"), F.col("p.node").alias("b"), F.col("p.n").alias("n"), "hub")
-        .where(fits).select("a", "b")
-    )
-    round_2 = saved(star.union(across).distinct().join(round_1, ["a", "b"], "left_anti"))
-    if not round_2.isEmpty():
-        links = saved(links.union(confirmed(round_2)))
-        roots = saved(connected_components(links))
-    # small buckets are done; of the others, what has been compared needn't be again
-    round_3 = saved(_apart(shared.where(f"members > {SMALL}").select("node", "n", "band", "key"), roots, nodes, percent).join(round_1.union(round_2), ["a", "b"], "left_anti"))
-    if not round_3.isEmpty():
-        roots = saved(connected_components(links.union(confirmed(round_3))))
-    grouped = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lows = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = grouped.join(lows, "root").select("node", "component_id")
-    out = feats.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
+    shared = shared.drop("hub")
+    for turn in range(REHUBS + 1):
+        shared = saved(_unsettled(shared.drop("root", "main", "members"), roots))  # settled buckets stay settled
+        if shared.isEmpty():
+            break
+        if turn < REHUBS:
+            others = shared.where("root <> main").groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("hub"))
+            more = star(shared.join(others, "key").where("root <> hub.root"))
+        else:
+            more = _apart(shared, nodes, percent)
+        more = saved(more.join(tested, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        found = saved(confirmed(more))
+        tested = tested.union(more)
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = saved(connected_components(links))
+    labels = nodes.select("set", "node").join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("component_id"))
+    out = feats.select("doc_id", "n_shingles", "set").join(labels, "set", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
