@@ -20,17 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _written: list[tuple] = []
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """``stem``, or with underscores behind it until no column of ``df`` has the name."""
+    while stem.lower() in (c.lower() for c in df.columns):
+        stem += "_"
+    return stem
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder of ``spark.checkpoint.dir`` and read it.
 
     A table, unlike a checkpoint, has statistics, so that small ones are broadcast,
-    and carries no constraints from round to round. Only where the setting is
-    missing (tests) a temporary folder is used. The tables go when Python ends.
+    and carries no constraints from round to round. Where the setting is missing a
+    temporary folder is used in local mode only (tests); a cluster must name a
+    folder that all its machines share. The tables go when Python ends.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
     _written.append((context, path))
     df.write.parquet(path)

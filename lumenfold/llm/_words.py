@@ -54,13 +54,13 @@ def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]
     return ranges([len(t) for t in texts], most)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of Arrow batches with the texts of a binary column, null as empty; only a slice's texts are Python objects."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str | int = "text", most: int = PIECE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of Arrow batches with the bytes of a text column, null as empty; only a slice's texts are Python objects."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         for a, b in ranges(sizes, most):
             part = batch.slice(a, b - a)
-            yield part, [t or b"" for t in part.column(column).to_pylist()]
+            yield part, [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

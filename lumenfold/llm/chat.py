@@ -1,8 +1,8 @@
 """Chat formatting of typed content parts, in DataFrame functions only.
 
 A message's content is an array of typed parts. The visitor flattens it in
-order: text as it is, any other part as a numbered placeholder, whose reference
-and expanded token count go to the attachments. The template marks turns as
+order: text as it is, any other part as a placeholder of its kind, whose number
+in that order, reference and expanded token count go to the attachments. The template marks turns as
 ``<|im_start|>role\\ntext<|im_end|>\\n``; inside roles and texts ``&``, ``<`` and
 ``[`` are written as entities, so no control string can occur there.
 """
@@ -57,7 +57,7 @@ def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
     """One row per conversation: ``conv_id, formatted, loss_spans array<struct<start,end>>, attachments, expanded_tokens``.
 
     ``messages`` has ``conv_id, turn, role`` and ``parts`` (array of PART) or
-    ``text``. Rows go by turn (null first), then role and content, so repeated
+    ``text``. Rows go by turn (null last), then role and content, so repeated
     turns have one order. Null roles, texts and parts are empty; a null
     ``conv_id`` is one conversation. Spans are code points, end exclusive. An
     empty table gives an empty table; other columns are ignored. A conversation
@@ -65,13 +65,13 @@ def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
     """
     parts = F.col("parts") if "parts" in messages.columns else text_part(F.col("text"))
     role = F.coalesce(F.col("role"), F.lit(""))
-    rows = messages.select("conv_id", "turn", role.alias("role"), flatten_parts(parts).alias("flat"))
+    rows = messages.select("conv_id", "turn", role.alias("role"), parts.alias("content"), flatten_parts(parts).alias("flat"))
     head = F.concat(F.lit(BEGIN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
     rows = rows.select(
-        "conv_id", "turn", "role", F.col("flat.body").alias("body"), F.col("flat.attachments").alias("attachments"),
+        "conv_id", "turn", "role", "content", F.col("flat.body").alias("body"), F.col("flat.attachments").alias("attachments"),
         F.length(head).alias("head"), F.concat(head, F.col("flat.body"), F.lit(END)).alias("piece"),
     )
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "body")
+    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "content")
     size = F.length("piece").cast("long")
     begin = F.sum(size).over(order.rowsBetween(W.unboundedPreceding, 0)) - size + F.col("head")
     rows = rows.select("conv_id", F.row_number().over(order).alias("at"), "piece", "attachments", F.when(F.col("role").isin(*loss_roles), F.struct(begin.alias("start"), (begin + F.length("body")).alias("end"))).alias("span"))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm._words import pieces
+
 #: fixed values: public licence notices by SPDX name
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
@@ -82,7 +84,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     the best counts; a run inside a matching line, and a matching line inside a run
     that counts, don't count again. A null or empty
     text, or one without a match, has a null license, dice 0 and no matches.
-    Repeated rows are scanned each on its own; other columns are ignored.
+    Repeated rows are scanned each on its own; an empty table gives none; bytes that
+    are not UTF-8 count as other signs. Other columns are ignored.
     """
     known = sorted(((g.total(), i, name, g) for i, (name, g) in enumerate((n, bigrams(t)) for n, ts in (templates or TEMPLATES).items() for t in ts)), key=lambda x: x[:2])
     totals = [k[0] for k in known]
@@ -124,10 +127,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
         return out, [m and not any(u <= x and y <= v for u, v in used) for (x, y), m in zip(spans, matched, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part, texts in pieces(batches):
             rows = []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
+            for raw in texts:
+                text = raw.decode("utf-8", "replace")
                 lines = [x for x in text.split("\n") if x]
                 segments = lines if len(lines) == 1 and lines[0] == text else [*lines, text]
                 every = [m if m[2] and m[0] >= threshold else None for m in map(best, segments)]
@@ -136,6 +139,6 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
                 top = max(found, key=lambda m: m[:2], default=(0.0, 0, None))
                 n_matches = sum(counted) + sum(m is not None for m in every[len(lines) :]) + len(more)
                 rows.append((top[2], top[0], n_matches))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64())], names=["doc_id", "license", "dice", "n_matches"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64())], names=["doc_id", "license", "dice", "n_matches"])
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, license string, dice double, n_matches long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, license string, dice double, n_matches long")

@@ -69,16 +69,19 @@ def tilts(counts: DataFrame, targets: DataFrame, most: float = MOST, rounds: int
     return state.select("source", F.when(F.col("full"), F.lit(1e9)).otherwise(F.col("lam")).alias("lam"), "mean")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, salts: int = SALTS) -> DataFrame:
-    """``doc_id, size, source_size, target, taken``, one row per input row.
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, salts: int = SALTS, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id, size, source_size, target, taken``, then the columns ``keep``, one row per input row.
 
     ``taken`` is the document's words times its whole copies, from 0 to ``most``.
     A null or empty text has size 0 and takes 0; a null source is a source of its
     own, the last; repeated rows are documents of their own. Depends on the rows
     alone, so reruns agree. Other columns are ignored; an empty table gives none.
     """
+    keep = keep or []
+    if {c.lower() for c in keep} & {"doc_id", "size", "source_size", "target", "taken"}:
+        raise ValueError("a column to keep has the name of a result")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    sized = saved(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")).withColumn("salt", salt))
+    sized = saved(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(c) for c in keep)).alias("kept")).withColumn("salt", salt))
     cells = saved(sized.groupBy("source", "size", "salt").agg(F.count("*").alias("own")))
     counts = saved(cells.groupBy("source", "size").agg(F.sum("own").alias("n")))
     targets = saved(source_targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most))
@@ -105,4 +108,4 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     rank = F.row_number().over(W.partitionBy("source", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit("copies")), "doc_id"))
     out = sized.withColumn("rank", rank).join(quota, F.expr("source <=> s_ and size = z_ and salt = t_"))
     taken = F.coalesce(F.col("size") * (F.col("all") + F.when(F.col("rank") <= F.col("more"), 1).otherwise(0)), F.lit(0)).cast("long")
-    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"))
+    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"), *(F.col("kept").getField(c).alias(c) for c in keep))

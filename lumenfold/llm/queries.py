@@ -75,7 +75,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     count = [number(kind) for kind in pii.BASE]
-    return found.select("doc_id", *count, _sha(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *count, _sha(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -106,6 +106,18 @@ def test_decontaminate_capitals(spark, most):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and got[4]["text"] == texts[4] and "jumped" not in got[0]["text"]
 
 
+def test_decontaminate_paths_agree(spark):
+    """The set in the plan, the broadcast hashes and the shuffled hashes find the same, with columns that clash."""
+    bench = spark.createDataFrame([(1, prose(5, 30)), (2, "a b c"), (3, prose(6, 12))], "item_id long, text string")
+    texts = [prose(5, 30), f"{prose(9, 20)} {prose(6, 12)} a b c", "a b c a b c", "nothing here", None, ""]
+    d = spark.createDataFrame([(i, t, "x", 7, [1], "y") for i, t in enumerate(texts)], "doc_id long, text string, hits string, n_words int, scan array<int>, new string")
+    got = [sorted(map(str, decontaminate.contamination(d, bench, most=m, broadcast=b).collect())) for m, b in ((50_000, 1), (0, 1000), (0, 0))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 6
+    cut = [sorted(map(str, decontaminate.decontaminated(d, bench, most=m).collect())) for m in (50_000, 0)]
+    assert cut[0] == cut[1] and decontaminate.decontaminated(d, bench).columns == d.columns
+    assert decontaminate.decontaminated(d, bench.limit(0)).count() == 6 and decontaminate.contamination(d.limit(0), bench).count() == 0
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(120, 12))
@@ -195,6 +207,38 @@ def test_pii(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
 
+def test_pii_rejects(spark):
+    """Candidates that the labelers speak against fall, others of the kind stay; clashing columns are kept."""
+    rng = np.random.default_rng(3)
+    secrets = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(40)]
+    rows = [(i, f"{prose(i, 9)} token = {s} {prose(i, 3)}") for i, s in enumerate(secrets)] + [(100 + i, f"order sku part1-{'-'.join(['a'] * 12)}.x {prose(i, 5)}") for i in range(30)]
+    rows += [(200 + i, f"call (212) 555-{1000 + i}, {prose(i, 4)}") for i in range(20)] + [(300 + i, f"version 000-555-{1000 + i}.3 {prose(i, 4)}") for i in range(20)]
+    d = spark.createDataFrame([(i, t, "f", "n", 1) for i, t in rows], "doc_id long, text string, found string, new string, spans int")
+    got = {r["doc_id"]: [pii.KINDS[s["kind"]] for s in r["spans"] if not s["base"]] for r in pii.find_pii(d).collect()}
+    assert all(got[i] == ["secret"] for i in range(40)) and all(got[i] == [] for i in range(100, 130))
+    assert all(got[i] == ["phone"] for i in range(200, 220)) and all(got[i] == [] for i in range(300, 320))
+    out = pii.redacted(d)
+    assert out.columns == d.columns and {(r["found"], r["new"], r["spans"]) for r in out.collect()} == {("f", "n", 1)} and pii.redacted(d.limit(0)).count() == 0
+
+
+def test_pii_em():
+    """Three kinds of truth with labelers of known reliability: EM finds who is to be believed."""
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.6
+    right = [0.95, 0.9, 0.5, 0.8, 0.7, 0.55]  # the third says nothing
+    votes = np.stack([np.where(rng.random(4000) < r, truth, ~truth) for r in right], axis=1) * 2 - 1
+    counts: dict = {}
+    for v in votes:
+        code = 5
+        for x in v:
+            code = code * 3 + int(x) + 1
+        counts[code * pii.BUCKETS, False] = counts.get((code * pii.BUCKETS, False), 0) + 1
+    codes, told = pii.fit(counts)
+    found = np.array([sum((int(x) + 1) * 3 ** (5 - j) for j, x in enumerate(v)) + 5 * 729 for v in votes]) * pii.BUCKETS
+    assert np.mean(np.isin(found, sorted(codes)) == truth) > 0.95 and abs(told["prior"]["secret"] - 0.6) < 0.05
+    assert all(abs((told["reliability"]["secret"][j][0] + told["reliability"]["secret"][j][1]) / 2 - r) < 0.06 for j, r in enumerate(right))
+
+
 def test_lm_score(spark):
     rows = [(i, prose(i, 80), i % 5 != 0) for i in range(60)] + [(100, None, True), (101, "", False), (102, "new\x04word  x", False), (None, "alpha1", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
