@@ -80,8 +80,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     keep = keep or []
     if {c.lower() for c in keep} & {"doc_id", "size", "source_size", "target", "taken"}:
         raise ValueError("a column to keep has the name of a result")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    sized = saved(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(c) for c in keep)).alias("kept")).withColumn("salt", salt))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("key")  # never null, so that joins and windows share a partitioning
+    light = ["doc_id", "source", key, size_of(F.col("text")).alias("size"), salt]
+    # columns to keep aren't written here: they go through the one exchange of the last join
+    sized = docs.select(*light, F.struct(*(F.col(f"`{c}`").alias(c) for c in keep)).alias("kept")) if keep else saved(docs.select(*light))
     cells = saved(sized.groupBy("source", "size", "salt").agg(F.count("*").alias("own")))
     counts = saved(cells.groupBy("source", "size").agg(F.sum("own").alias("n")))
     targets = saved(source_targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most))
@@ -102,10 +105,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     quota = cells.withColumn("end", F.sum("own").over(by_salt)).join(copies.withColumnsRenamed({"source": "s_", "size": "z_"}), F.expr("source <=> s_ and size = z_"), "left")
     over = F.expr("copies % n")
     quota = quota.join(named(targets).withColumnRenamed("s_", "s2_"), F.expr("source <=> s2_")).select(
-        F.col("source").alias("s_"), F.col("size").alias("z_"), F.col("salt").alias("t_"), "source_size", "target", F.expr("copies div n").alias("all"),
+        key, "size", "salt", "source_size", "target", F.expr("copies div n").alias("all"),
         (F.floor(over * F.col("end") / F.col("n")) - F.floor(over * (F.col("end") - F.col("own")) / F.col("n"))).alias("more"),
     )
-    rank = F.row_number().over(W.partitionBy("source", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit("copies")), "doc_id"))
-    out = sized.withColumn("rank", rank).join(quota, F.expr("source <=> s_ and size = z_ and salt = t_"))
+    rank = F.row_number().over(W.partitionBy("key", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit("copies")), "doc_id"))
+    out = sized.withColumn("rank", rank).join(quota, ["key", "size", "salt"])
     taken = F.coalesce(F.col("size") * (F.col("all") + F.when(F.col("rank") <= F.col("more"), 1).otherwise(0)), F.lit(0)).cast("long")
     return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"), *(F.col("kept").getField(c).alias(c) for c in keep))

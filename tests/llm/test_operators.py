@@ -53,6 +53,12 @@ def test_mixing(spark):
     assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == 307
     assert all(r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0) for r in got)
     assert mixing.mix_sources(docs(spark, [])).count() == 0
+    sums = {}
+    for r in got:
+        sums.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    assert all(abs(sum(x) - target) <= max(45, 0.02 * target) for (_, target), x in sums.items())  # a document's words at most
+    kept = mixing.mix_sources(docs(spark, [*AWKWARD, *rows]), keep=["source", "text"])
+    assert kept.columns[-2:] == ["source", "text"] and sorted(str(tuple(r)[:5]) for r in kept.collect()) == sorted(str(tuple(r)) for r in got)
 
 
 def test_targets(spark):
