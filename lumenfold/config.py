@@ -40,6 +40,12 @@ class EngineConfig:
     refit_sigma: float = 3.0
     refit_rounds: int = 3
     opt_method: str = "lasso"
+    use_optim: bool = True
+    branch_error: float = 0.03
+    branch_bins: int = 5
+    branch_points: int = 5
+    huber_delta: float = 2.5
+    period_tol: float = 1e-4
 
     def __post_init__(self) -> None:
         if self.mode not in BANDS:

@@ -74,6 +74,13 @@ def moments(rows: DataFrame, order: int, floor: float = 0.001) -> DataFrame:
     return rows.groupBy("source_id", "band", "k").agg(F.sum(w * F.cos("x")).alias("C"), F.sum(w * F.sin("x")).alias("S"), F.sum(w * y * F.cos("x")).alias("YC"), F.sum(w * y * F.sin("x")).alias("YS"))
 
 
+def unpack_theta(theta: Column, bands: int, order: int, with_amp: bool = True) -> Column:
+    """``struct<m0, amp, c1, c2, P, E>`` of a parameter vector ``[m0 x bands, amp x bands, c1 x order, c2 x order, P, E]``."""
+    amp = F.slice(theta, bands + 1, bands) if with_amp else F.array_repeat(F.lit(1.0), bands)
+    at = bands * (2 if with_amp else 1)
+    return F.struct(F.slice(theta, 1, bands).alias("m0"), amp.alias("amp"), F.slice(theta, at + 1, order).alias("c1"), F.slice(theta, at + order + 1, order).alias("c2"), F.element_at(theta, -2).alias("P"), F.element_at(theta, -1).alias("E"))
+
+
 def wls_first_order(rows: DataFrame) -> DataFrame:
     """``m0, a1, b1`` of one harmonic by weighted least squares, from centred sums in closed form."""
     e = F.greatest(F.col("emag"), F.lit(0.001))

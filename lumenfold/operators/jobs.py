@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.config import EngineConfig
-from lumenfold.operators import decompose, phase
+from lumenfold.operators import harmonics, periodogram, phase
+from lumenfold.sources.tables import saved
 
 
 def period_windows(periods: DataFrame, pmin: float, pmax: float, tol: float = 0.1) -> DataFrame:
@@ -30,14 +32,83 @@ def plan_jobs(windows: DataFrame, pairs: tuple[tuple[str, str], ...] = (("g", "b
     return rows.withColumn("job_id", F.format_string("%s_%s_%02d", F.col("source_id").cast("string"), "bandpair", F.col("window_idx").cast("int")))
 
 
+def build_plan(epochs: DataFrame, cfg: EngineConfig, bounds: tuple[float, float] | None = None, pairs: tuple[tuple[str, str], ...] = (("g", "bp"), ("g", "rp")), amplitude: tuple[float, float] = (0.05, 3.0), templates: tuple[int, int] = (1, 25), tol: float = 0.1, **search) -> tuple[DataFrame, DataFrame]:
+    """The template-fit jobs of every source, and a row of metadata for each.
+
+    A source has the whole period range as its first window, then those of
+    ``periodogram.search_windows`` or, if given, the one of ``bounds``. Jobs: ``source_id,
+    job_id, window_idx, bandpair, bands, P0, p0flag, pmin, pmax, Amin, Amax, tmpl_start,
+    tmpl_end``. Metadata: ``source_id, P0_LS, Zmax, alias_freqs, windows, n_jobs``. A source
+    whose search finds nothing keeps the first window; with ``bounds`` p0flag is 1.
+    """
+    log = lambda x: float(np.log10(x))
+    window = lambda lo, hi: F.struct(F.lit(log(lo)).alias("lo"), F.lit(log(hi)).alias("hi"))
+    sources = epochs.select("source_id").distinct()
+    if bounds is None:
+        found = sources.join(periodogram.search_windows(epochs.where(F.col("band").isin(*cfg.activated)), cfg, tol=tol, **search), "source_id", "left")
+    else:
+        found = sources.select("source_id", F.lit(None).cast("double").alias("P0_LS"), F.lit(None).cast("double").alias("Zmax"), F.array().cast("array<double>").alias("alias_freqs"), F.array(window(*bounds)).alias("windows"))
+    empty = F.array().cast("array<struct<lo:double,hi:double>>")
+    found = saved(found.withColumn("windows", F.concat(F.array(window(cfg.pmin, cfg.pmax)), F.coalesce("windows", empty))))
+    rows = found.select("source_id", "P0_LS", F.posexplode("windows").alias("window_idx", "x"))
+    middle = (F.col("x.lo") + F.col("x.hi")) / 2
+    low, high = F.greatest(F.col("x.lo") - tol, F.lit(log(cfg.pmin))), F.least(F.col("x.hi") + tol, F.lit(log(cfg.pmax)))
+    near = F.coalesce(F.abs(middle - F.log10("P0_LS")) < min(0.05, tol), F.lit(False))
+    power = lambda x: F.pow(F.lit(10.0), x)
+    rows = rows.where(low <= high).select("source_id", "window_idx", power(middle).alias("P0"), F.when(near, 0).otherwise(1).alias("p0flag"), power(low).alias("pmin"), power(high).alias("pmax"))
+    constants = {"Amin": amplitude[0], "Amax": amplitude[1], "tmpl_start": templates[0], "tmpl_end": templates[1]}
+    number = F.create_map(*(x for i, b in enumerate(cfg.bands) for x in (F.lit(b), F.lit(i))))
+    bands = F.create_map(*(x for p in pairs for x in (F.lit("".join(p)), F.array(*(number[b] for b in p)))))
+    jobs = plan_jobs(rows, pairs).withColumns({k: F.lit(v) for k, v in constants.items()}).withColumn("bands", bands[F.col("bandpair")])
+    meta = found.withColumn("kept", F.size(F.filter("windows", lambda w: F.greatest(w["lo"] - tol, F.lit(log(cfg.pmin))) <= F.least(w["hi"] + tol, F.lit(log(cfg.pmax))))))
+    return jobs, meta.withColumn("n_jobs", F.col("kept") * len(pairs)).drop("kept")
+
+
+def save_plan(jobs: DataFrame, meta: DataFrame, path: str) -> None:
+    """Write a plan as two tables under ``path``."""
+    jobs.write.mode("overwrite").parquet(f"{path}/jobs")
+    meta.write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_plan(spark: SparkSession, path: str, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Jobs and metadata of a saved plan, of all sources or of those in ``sources``; a source without a plan has no rows."""
+    both = tuple(spark.read.parquet(f"{path}/{x}") for x in ("jobs", "meta"))
+    return both if sources is None else tuple(select_plan(x, sources) for x in both)
+
+
 def select_plan(plan: DataFrame, sources: DataFrame) -> DataFrame:
     return plan.join(sources, "source_id", "left_semi")
 
 
-def run_jobs(jobs: DataFrame, command: list[str], timeout: int = 300) -> DataFrame:
+def write_inputs(job: dict, folder: str) -> None:
+    """The fitter's input files of one job, in ``folder``; it takes two bands at most."""
+    if len(job["bands"]) > 2:
+        raise ValueError("the fitter takes at most two bands")
+    # fixed formats of the fitter's files
+    lines = [f"{' '.join(map(str, job['bands']))} # SELECTED PHOTOMETRIC BAND PREFIXS", f"{job['pmin']:.6f} {job['pmax']:.6f} # PERIOD RANGE", f"{job['Amin']:.6f} {job['Amax']:.6f} # AMPLITUDE RANGE", f"{job['tmpl_start']:d} {job['tmpl_end']:d} # TEMPLATE RANGE"]
+    files = {"rrfit.param": lines, "fitlc_list": [str(job.get("fitlc_path", ""))], "lomb_scargle.txt": ["SOURCE_ID P_LS p0flag", f"{job['source_id']} {job['P0']:.10f} {job['p0flag']}"]}
+    for name, content in files.items():
+        with open(os.path.join(folder, name), "w") as f:
+            f.write("\n".join(content) + "\n")
+
+
+def last_row(path: str) -> str | None:
+    """The last row of a table of text under a header, as ``name=value`` pairs; None without a file or a row."""
+    try:
+        with open(path) as f:
+            lines = [x.split() for x in f if x.strip() and not x.startswith("#")]
+    except OSError:
+        return None
+    return " ".join(f"{k}={v}" for k, v in zip(lines[0], lines[-1], strict=False)) if len(lines) > 1 else None
+
+
+def run_jobs(jobs: DataFrame, command: list[str], timeout: int = 300, output: str | None = None) -> DataFrame:
     """Run an external fitter for each job (``{job_id}`` and such in its arguments); off unless called.
 
-    Return code -9 for a time-out, -999 if it can't start; the last line of its output is the result.
+    Each job has a folder of its own; jobs with the columns of ``build_plan`` find their
+    input files there. The result is the last row of the table ``output`` that the
+    fitter leaves in it or, without a name, the last line that it prints. Return code -9
+    for a time-out, -999 if it can't start.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,63 +116,101 @@ def run_jobs(jobs: DataFrame, command: list[str], timeout: int = 300) -> DataFra
             out = []
             for job in pdf.to_dict("records"):
                 with tempfile.TemporaryDirectory() as folder:
+                    text = None
                     try:
+                        if "bands" in job:
+                            write_inputs(job, folder)
                         done = subprocess.run([c.format(**job) for c in command], cwd=folder, capture_output=True, text=True, timeout=timeout)
-                        code, text, err = done.returncode, done.stdout.strip().split("\n")[-1], done.stderr[:500]
+                        code, err = done.returncode, done.stderr[:500]
+                        text = last_row(os.path.join(folder, output)) if output else done.stdout.strip().split("\n")[-1]
                     except subprocess.TimeoutExpired:
-                        code, text, err = -9, "", "timed out"
-                    except OSError as e:
-                        code, text, err = -999, "", str(e)[:500]
+                        code, err = -9, "timed out"
+                    except (OSError, ValueError) as e:
+                        code, err = -999, str(e)[:500]
                 out.append((job["job_id"], job["source_id"], code, text or None, err))
             yield pd.DataFrame(out, columns=["job_id", "source_id", "returncode", "result", "stderr"])
 
     return jobs.mapInPandas(run, f"job_id string, source_id {dict(jobs.dtypes)['source_id']}, returncode int, result string, stderr string")
 
 
+def run_counts(results: DataFrame) -> DataFrame:
+    """``status, n``: how many jobs are ok, failed, or not finished."""
+    status = F.when(F.col("returncode").isNull(), "open").when((F.col("returncode") == 0) & F.col("result").isNotNull(), "ok").otherwise("failed")
+    return results.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def write_summaries(results: DataFrame, path: str) -> None:
+    """One table of the successful jobs' results, with a folder for each of 256 groups of sources."""
+    good = results.where("returncode = 0 and result is not null").withColumn("part", F.pmod(F.xxhash64("source_id"), F.lit(256)).cast("int"))
+    good.repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
 def roll_up(results: DataFrame) -> DataFrame:
     """Jobs of each source: all, finished, and successful (code 0 and a result)."""
     return results.groupBy("source_id").agg(F.count("*").alias("n_jobs_total"), F.count_if(F.col("returncode").isNotNull()).alias("n_jobs_finished"), F.count_if((F.col("returncode") == 0) & F.col("result").isNotNull()).alias("n_jobs_success"))
 
 
-def quality_table(epochs: DataFrame, fd: DataFrame, cfg: EngineConfig, n_grid: int = 50) -> DataFrame:
-    """By source and band: N, coverage, gaps, residual grid, model grid and mask. Sources without a fit are left out."""
-    n = range(1, cfg.m_max + 1)
+def quality_table(epochs: DataFrame, fd: DataFrame, cfg: EngineConfig, n_grid: int = 50, statistic: str = "median", bands: tuple[str, ...] | None = None) -> DataFrame:
+    """By source and band: N, coverage, gaps, residual grid, model grid and mask. Sources without a fit are left out.
+
+    Points meet their source's fit in one join; gaps, bins and the row itself then share
+    one partitioning by source and band.
+    """
+    how = {"mean": F.avg("residual"), "median": F.median("residual"), "rms": F.sqrt(F.avg(F.col("residual") * F.col("residual")))}
+    if statistic not in how:
+        raise ValueError(f"unknown statistic {statistic!r}")
+    n, own = range(1, cfg.m_max + 1), bands or cfg.bands
     level = lambda k: F.create_map(*(x for b in cfg.bands for x in (F.lit(b), F.col(f"{k}_{b}"))))
-    model = fd.where("error is null").select(F.col("ID").alias("source_id"), "P", "E", level("m0").alias("m0s"), level("amp").alias("amps"), F.array(*(F.col(f"A{j}") for j in n)).alias("A"), F.array(*(F.col(f"Q{j}") for j in n)).alias("Q"))
+    model = saved(fd).select(F.col("ID").alias("source_id"), "P", "E", level("m0").alias("m0s"), level("amp").alias("amps"), F.array(*(F.col(f"A{j}") for j in n)).alias("A"), F.array(*(F.col(f"Q{j}") for j in n)).alias("Q"))
     value = lambda phi: F.aggregate(F.transform(F.zip_with("A", "Q", lambda a, q: F.struct(a.alias("a"), q.alias("q"))), lambda c, j: c["a"] * F.cos(2 * np.pi * (j + 1) * phi - c["q"])), F.lit(0.0), lambda s, v: s + v)
-    rows = epochs.join(model, "source_id").withColumn("phi", phase.phase(F.col("t"), F.col("P"), F.col("E"))).withColumn("residual", F.col("mag") - F.col("m0s")[F.col("band")] - F.col("amps")[F.col("band")] * value(F.col("phi")))
-    by_bin = phase.binned_residual(rows, n_grid).groupBy("source_id", "band").agg(F.map_from_entries(F.collect_list(F.struct("bin", "value"))).alias("res"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n_grid - 1)), lambda i: F.try_element_at("res", i))
-    curves = rows.select("source_id", "band", "A", "Q", F.col("m0s")[F.col("band")].alias("m0"), F.col("amps")[F.col("band")].alias("amp")).dropDuplicates(["source_id", "band"])
-    grid = F.transform(F.sequence(F.lit(0), F.lit(n_grid - 1)), lambda i: F.col("m0") + F.col("amp") * value(i / float(n_grid)))
-    mask = phase.mask(rows, n_grid).groupBy("source_id", "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "filled"))), lambda x: x["filled"].cast("tinyint")).alias("phase_mask"))
+    rows = epochs.where(F.col("band").isin(*own)).join(model, "source_id").withColumn("phi", phase.phase(F.col("t"), F.col("P"), F.col("E"))).withColumn("m0", F.col("m0s")[F.col("band")]).withColumn("amp", F.col("amps")[F.col("band")])
+    rows = rows.withColumn("residual", F.col("mag") - F.col("m0") - F.col("amp") * value(F.col("phi"))).select("source_id", "band", "phi", "residual", "m0", "amp", "A", "Q")
     key = ["source_id", "band"]
-    out = rows.groupBy(*key).agg(F.count("*").alias("N")).join(phase.coverage(rows, n_grid), key).join(phase.gap_max(rows), key).join(by_bin, key).join(curves, key).join(mask, key)
-    return out.select(F.col("source_id").alias("ID"), "band", "N", "occupied_fraction", "gmax", F.col("entropy").alias("coverage_entropy"), grid.alias("fval_grid"), dense.alias("residual_grid"), "phase_mask")
+    cells = phase.with_gaps(rows).groupBy(*key, phase.bins(n_grid).alias("bin")).agg(F.count("*").alias("n"), F.max("gap").alias("gap"), how[statistic].alias("value"), F.first(F.struct("m0", "amp", "A", "Q")).alias("fit"))
+    one = cells.groupBy(*key).agg(F.sum("n").alias("N"), F.count("*").alias("k"), F.max("gap").alias("gap"), F.map_from_entries(F.collect_list(F.struct("bin", F.struct("n", "value")))).alias("x"), F.first("fit").alias("fit"))
+    p = lambda v: v["n"] / F.col("N")
+    entropy = -F.aggregate(F.map_values("x"), F.lit(0.0), lambda s, v: s + p(v) * F.ln(p(v))) / F.ln(F.lit(float(n_grid)))
+    grid = F.sequence(F.lit(0), F.lit(n_grid - 1))
+    one = one.withColumns({c: F.col(f"fit.{c}") for c in ("m0", "amp", "A", "Q")})
+    return one.select(
+        F.col("source_id").alias("ID"), "band", "N", (F.col("k") / n_grid).alias("occupied_fraction"), F.when(F.col("N") < 2, 1.0).otherwise(F.col("gap")).alias("gmax"), entropy.alias("coverage_entropy"),
+        F.transform(grid, lambda i: F.col("m0") + F.col("amp") * value(i / float(n_grid))).alias("fval_grid"), F.transform(grid, lambda i: F.try_element_at("x", i)["value"]).alias("residual_grid"),
+        F.transform(grid, lambda i: F.map_contains_key("x", i).cast("tinyint")).alias("phase_mask"),
+    )
+
+
+def _uniform(*columns: Column) -> Column:
+    """A number in (0, 1) that depends on the columns alone."""
+    return (F.pmod(F.xxhash64(*columns), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def _normal(name: str, *columns: Column) -> Column:
+    return F.sqrt(-2 * F.ln(_uniform(F.lit(f"{name} radius"), *columns))) * F.cos(2 * np.pi * _uniform(F.lit(f"{name} angle"), *columns))
 
 
-def injection_recovery(epochs: DataFrame, templates: list[tuple[str, list[float], list[float]]], cfg: EngineConfig, trials: int = 2, seed: int = 0, sigma: float = 0.1) -> DataFrame:
+def injection_recovery(epochs: DataFrame, templates: list[tuple[str, list[float], list[float]]], cfg: EngineConfig, periods: int = 2, repeats: int = 1, seed: int = 0, sigma: float = 0.1, level: float = 15.0) -> DataFrame:
     """Synthetic curves on each source's own sampling: known period, found period and relative error.
 
-    Every (source, template, trial) is a group of its own with its own seeded generator, so reruns agree.
+    ``periods`` times ``repeats`` trials of every source and template; all numbers come
+    from hashes of seed, source, template and trial, so reruns agree on any cluster. A
+    trial without a significant peak has a null period. Times are shared, only the trial's
+    few numbers are sent to a source's points.
     """
-    shapes = {n: (np.array(a), np.array(q)) for n, a, q in templates}
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("template"), F.lit(k).alias("trial")) for n in shapes for k in range(trials))))
-    rows = epochs.withColumn("x", each).select("source_id", "band", "t", "mag", "emag", "ord", "x.template", "x.trial")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        source, name, trial = key
-        pdf = pdf.sort_values("ord")
-        rng = np.random.default_rng([seed, int(trial), sum(map(ord, name)), abs(hash(int(source))) % (1 << 31)])
-        p = float(np.exp(rng.uniform(np.log(cfg.pmin * 2), np.log(min(cfg.pmax, np.ptp(pdf["t"].to_numpy()) / 3 + cfg.pmin * 2)))))
-        epoch, scale = float(rng.uniform(0, p)), float(np.exp(rng.normal(0, sigma)))
-        a, q = shapes[name]
-        x = 2 * np.pi * (((pdf["t"].to_numpy() - epoch) / p) % 1)[:, None] * np.arange(1, len(a) + 1)
-        e = np.maximum(pdf["emag"].to_numpy(), cfg.err_floor)
-        y = 15 + scale * (a * np.cos(x - q)).sum(axis=1) + rng.normal(0, e)
-        found = decompose.find_periods(pdf["t"].to_numpy(), y, e, pdf["band"].to_numpy(dtype=str), cfg)
-        best = max(found, key=lambda v: v[1], default=(np.nan, np.nan))
-        return pd.DataFrame({"source_id": [source], "template": [name], "trial": [trial], "P_true": [p], "E_true": [epoch], "ampl_scale": [scale], "P_recon": [best[0]], "Z_recon": [best[1]], "rel_err": [(best[0] - p) / p]})
-
-    kind = dict(epochs.dtypes)["source_id"]
-    return rows.groupBy("source_id", "template", "trial").applyInPandas(run, f"source_id {kind}, template string, trial int, P_true double, E_true double, ampl_scale double, P_recon double, Z_recon double, rel_err double")
+    kinds = F.array(*(F.struct(F.lit(n).alias("template"), F.array(*map(F.lit, a)).alias("A"), F.array(*map(F.lit, q)).alias("Q")) for n, a, q in templates))
+    span = epochs.groupBy("source_id").agg((F.max("t") - F.min("t")).alias("span")).where("span > 0")
+    tasks = span.withColumn("x", F.explode(kinds)).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(periods * repeats - 1)))).select("source_id", "span", "x.*", "trial")
+    own = [F.lit(seed), F.col("source_id").cast("string"), F.col("template"), F.floor(F.col("trial") / repeats)]
+    low, high = F.lit(2.0 * cfg.pmin), F.greatest(F.least(F.lit(cfg.pmax), F.col("span") / 3), F.lit(2.0 * cfg.pmin))
+    tasks = tasks.withColumn("P_true", F.exp(F.ln(low) + (F.ln(high) - F.ln(low)) * _uniform(F.lit("period"), *own)))
+    own = [*own[:3], F.col("trial")]
+    tasks = tasks.withColumn("E_true", F.col("P_true") * _uniform(F.lit("epoch"), *own)).withColumn("ampl_scale", F.exp(sigma * _normal("scale", *own)))
+    tasks = saved(tasks.withColumn("task", F.concat_ws("|", F.col("source_id").cast("string"), "template", F.col("trial").cast("string"))))
+    rows = epochs.where(F.col("band").isin(*cfg.activated)).join(tasks.drop("span"), "source_id")
+    phi = phase.phase(F.col("t"), F.col("P_true"), F.col("E_true"))
+    h = harmonics.template_arrays(phi, F.zip_with("A", "Q", lambda a, q: a * F.cos(q)), F.zip_with("A", "Q", lambda a, q: a * F.sin(q)))
+    error = F.greatest("emag", F.lit(cfg.err_floor))
+    mag = level + F.col("ampl_scale") * h + error * _normal("noise", *own, F.col("band"), F.col("ord"))
+    curves = saved(rows.select(F.col("task").alias("source_id"), "band", "t", mag.alias("mag"), error.alias("emag"), "ord"))
+    found = periodogram.search_periods(curves, cfg).groupBy("source_id").agg(F.max_by(F.struct("P", "Z"), F.struct("Z", -F.col("cand"))).alias("best"))
+    out = tasks.join(found.withColumnRenamed("source_id", "task"), "task", "left")
+    return out.select("source_id", "template", "trial", "P_true", "E_true", "ampl_scale", F.col("best.P").alias("P_recon"), F.col("best.Z").alias("Z_recon"), ((F.col("best.P") - F.col("P_true")) / F.col("P_true")).alias("rel_err"))

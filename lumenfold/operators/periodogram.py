@@ -8,11 +8,16 @@ so no points x frequencies table is ever kept.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenfold.sources.tables import saved
+
 
 def grids(epochs: DataFrame, n0: int = 2, pmin: float = 0.2, pmax: float = 300.0) -> DataFrame:
     """``source_id, fmin, df, nf``: a step of 1/(n0 T), from 1/pmax to just over 1/pmin."""
@@ -22,8 +27,11 @@ def grids(epochs: DataFrame, n0: int = 2, pmin: float = 0.2, pmax: float = 300.0
 
 
 def _at_frequencies(epochs: DataFrame, grid: DataFrame) -> DataFrame:
-    rows = epochs.join(grid, "source_id").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nf") - 1)))
-    return rows.withColumn("f", F.col("fmin") + F.col("k") * F.col("df")).withColumn("x", 2 * math.pi * F.col("f") * F.col("t"))
+    if "fs" in grid.columns:  # frequencies of a source's own: array<struct<k, f>>, a few each
+        rows = epochs.join(grid, "source_id").withColumn("x", F.explode("fs")).withColumns({"k": F.col("x.k"), "f": F.col("x.f")})
+    else:
+        rows = epochs.join(grid, "source_id").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nf") - 1))).withColumn("f", F.col("fmin") + F.col("k") * F.col("df"))
+    return rows.withColumn("x", 2 * math.pi * F.col("f") * F.col("t"))
 
 
 def window_power(epochs: DataFrame, grid: DataFrame) -> DataFrame:
@@ -36,7 +44,8 @@ def window_power(epochs: DataFrame, grid: DataFrame) -> DataFrame:
 def gls(epochs: DataFrame, grid: DataFrame, least: int = 4) -> DataFrame:
     """Generalised Lomb-Scargle power with a floating mean by band, bands weighted by their scatter: ``source_id, k, f, power``.
 
-    Bands of fewer than ``least`` points are left out. Values are centred first, so that the sums keep their digits.
+    ``grid`` is that of ``grids`` or has a few frequencies of each source's own, ``fs
+    array<struct<k, f>>``. Bands of fewer than ``least`` points are left out. Values are centred first, so that the sums keep their digits.
     """
     w = W.partitionBy("source_id", "band")
     rows = epochs.withColumn("w", 1 / (F.col("emag") * F.col("emag"))).withColumn("n", F.count("*").over(w)).where(f"n >= {least}")
@@ -64,6 +73,125 @@ def top_peaks(power: DataFrame, count: int = 5) -> DataFrame:
     return peak.withColumn("rank", rank).where(f"rank <= {count}").select("source_id", "f", (1 / F.col("f")).alias("period"), "power", "rank")
 
 
+def local_maxima(p: np.ndarray) -> np.ndarray:
+    """Places of local maxima, a flat top by its middle (rounded down); the ends are none."""
+    at, i, n = [], 1, len(p)
+    while i < n - 1:
+        if p[i] > p[i - 1]:
+            j = i
+            while j < n - 1 and p[j + 1] == p[i]:
+                j += 1
+            if j < n - 1 and p[j + 1] < p[i]:
+                at.append((i + j) // 2)
+            i = j
+        i += 1
+    return np.array(at, int)
+
+
+def prominences(p: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How far each maximum stands over the higher of its two bases, which reach to the next higher point or the end."""
+    out = []
+    for i in at:
+        left, right = np.flatnonzero(p[:i] > p[i]), np.flatnonzero(p[i + 1 :] > p[i])
+        a, b = (left[-1] + 1 if len(left) else 0), (i + 1 + right[0] if len(right) else len(p))
+        out.append(p[i] - max(p[a : i + 1].min(), p[i:b].min()))
+    return np.array(out)
+
+
+def apart(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """Which maxima stay when, from the highest on, each removes those nearer than ``distance``; of equal ones the later goes first."""
+    keep = np.ones(len(at), bool)
+    for i in np.argsort(height, kind="stable")[::-1]:
+        if keep[i]:
+            near = np.abs(at - at[i]) < distance
+            near[i] = False
+            keep[near] = False
+    return keep
+
+
+def pick_peaks(power: DataFrame, value: str, how: str, count: int, snr: float = 5.0, n0: int = 2) -> DataFrame:
+    """Peaks of each source's curve ``source_id, k, f, {value}``: ``source_id, rank, f, height, prominence, sigma``.
+
+    ``how`` is ``power``: at least ``snr`` standard deviations high and of at least the
+    median prominence of such, by height; or ``window``: at least the 95th percentile
+    high, of a prominence of 5 median absolute deviations, ``max(10, 5 n0)`` points
+    apart, by prominence. A curve is an array of the source's grid, whatever its points.
+    """
+    kind = dict(power.dtypes)["source_id"]
+    curves = power.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("k", "f", F.col(value).alias("v")))).alias("x"))
+    curves = curves.select("source_id", F.transform("x", lambda r: r["f"]).alias("f"), F.transform("x", lambda r: r["v"]).alias("v"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for source, f, v in zip(pdf["source_id"], pdf["f"], pdf["v"], strict=True):
+                p = np.nan_to_num(np.asarray(v, float))
+                at = local_maxima(p)
+                if how == "power":
+                    at = at[p[at] >= snr * p.std()]
+                    rise = prominences(p, at)
+                    good = rise >= np.median(rise) if len(at) else np.zeros(0, bool)
+                else:
+                    at = at[p[at] >= np.percentile(p, 95)]
+                    at = at[apart(at, p[at], max(10, 5 * n0))]
+                    rise = prominences(p, at)
+                    good = rise >= 5 * np.median(np.abs(p - np.median(p)))
+                at, rise = at[good], rise[good]
+                for rank, i in enumerate(np.argsort(p[at] if how == "power" else rise, kind="stable")[::-1][:count]):
+                    out.append((source, rank, float(f[at[i]]), float(p[at[i]]), float(rise[i]), float(p.std())))
+            yield pd.DataFrame(out, columns=["source_id", "rank", "f", "height", "prominence", "sigma"])
+
+    return curves.mapInPandas(run, f"source_id {kind}, rank int, f double, height double, prominence double, sigma double")
+
+
+REFINE = 41
+
+
+def search_periods(epochs: DataFrame, cfg) -> DataFrame:
+    """Candidate periods ``source_id, cand, P, Z``: the highest peaks, refined, with their harmonics, if above 3 standard deviations.
+
+    A peak is refined on ``REFINE`` frequencies a step to each side and by the parabola
+    through the best three, unless the grid is fine enough already.
+    """
+    grid = grids(epochs, cfg.n0, cfg.pmin, cfg.pmax)
+    peaks = saved(pick_peaks(gls(epochs, grid), "power", "power", cfg.peaks, cfg.snr).join(grid.select("source_id", "df"), "source_id"))
+    low, high = F.greatest(F.col("f") - F.col("df"), F.lit(1 / cfg.pmax)), F.least(F.col("f") + F.col("df"), F.lit(1 / cfg.pmin))
+    coarse = peaks.withColumn("low", low).withColumn("step", (high - F.col("low")) / (REFINE - 1))
+    fine = coarse.select("source_id", "rank", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(REFINE - 1)), lambda i: F.col("low") + i * F.col("step"))).alias("i", "f"))
+    near = fine.groupBy("source_id").agg(F.collect_list(F.struct((F.col("rank") * REFINE + F.col("i")).cast("long").alias("k"), "f")).alias("fs"))
+    at = gls(epochs, near).withColumn("rank", F.floor(F.col("k") / REFINE).cast("int"))
+    w = W.partitionBy("source_id", "rank").orderBy("k")
+    at = at.withColumn("a", F.lag("power").over(w)).withColumn("b", F.lead("power").over(w)).withColumn("g", F.lead("f").over(w))
+    shift = 0.5 * F.try_divide(F.col("a") - F.col("b"), F.col("a") - 2 * F.col("power") + F.col("b")) * (F.col("g") - F.col("f"))
+    best = at.groupBy("source_id", "rank").agg(F.max_by(F.col("f") + F.coalesce(shift, F.lit(0.0)), F.struct("power", "f")).alias("best"))
+    refined = peaks.join(best, ["source_id", "rank"]).select("source_id", "rank", "sigma", (1 / F.when(F.col("df") / F.col("f") > cfg.period_tol, F.col("best")).otherwise(F.col("f"))).alias("period"))
+    every = harmonic_periods(refined, cfg.harmonics, cfg.pmin, cfg.pmax)
+    every = saved(every.withColumn("cand", F.row_number().over(W.partitionBy("source_id").orderBy("rank", F.abs(F.ln(F.col("period")))))- 1))
+    own = every.groupBy("source_id").agg(F.collect_list(F.struct(F.col("cand").cast("long").alias("k"), (1 / F.col("period")).alias("f"))).alias("fs"))
+    scored = gls(epochs, own).select("source_id", F.col("k").cast("int").alias("cand"), "power")
+    return every.join(scored, ["source_id", "cand"]).where("power > 3 * sigma").select("source_id", F.col("cand").cast("int").alias("cand"), F.col("period").alias("P"), F.col("power").alias("Z"))
+
+
+def search_windows(epochs: DataFrame, cfg, peaks: int = 5, aliases: int = 10, snr: float = 3.0, harmonics: int = 2, tol: float = 0.1, width: float = 1.0, n0: int = 5) -> DataFrame:
+    """Period windows of each source from its best peaks and the sampling's aliases of them.
+
+    ``source_id, P0_LS, Zmax, alias_freqs array<double>, windows array<struct<lo, hi>>`` (log10 of days). A
+    source without peaks has no row; one without aliases has no windows.
+    """
+    grid = grids(epochs, n0, cfg.pmin, cfg.pmax)
+    coarse = saved(pick_peaks(gls(epochs, grid), "power", "power", peaks, snr))
+    window = saved(pick_peaks(window_power(epochs, grid), "wpower", "window", aliases, n0=n0))
+    pairs = coarse.select("source_id", F.col("f").alias("own")).join(window.select("source_id", F.col("f").alias("fa")), "source_id")
+    signs = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(s).alias("sign")) for n in range(1, harmonics + 1) for s in (1, -1))))
+    alias = pairs.withColumn("x", signs).select("source_id", F.try_divide(F.lit(1.0), F.abs(F.col("x.n") * F.col("own") + F.col("x.sign") * F.col("fa"))).alias("period"))
+    clusters = cluster_periods(alias.where(F.col("period").between(cfg.pmin, cfg.pmax)), tol, max_width=width)
+    clusters = clusters.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("windows"))
+    top = coarse.groupBy("source_id").agg(F.max_by(F.struct((1 / F.col("f")).alias("P0_LS"), F.col("height").alias("Zmax")), F.struct("height", "f")).alias("x")).select("source_id", "x.*")
+    listed = window.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "f"))), lambda r: r["f"]).alias("alias_freqs"))
+    out = top.join(listed, "source_id", "left").join(clusters, "source_id", "left")
+    return out.select("source_id", "P0_LS", "Zmax", F.coalesce("alias_freqs", F.array().cast("array<double>")).alias("alias_freqs"), F.coalesce("windows", F.array().cast("array<struct<lo:double,hi:double>>")).alias("windows"))
+
+
 def harmonic_periods(periods: DataFrame, harmonics: int, pmin: float, pmax: float) -> DataFrame:
     """Each period with its multiples and fractions inside [pmin, pmax]."""
     own = F.array("period")

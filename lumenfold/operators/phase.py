@@ -20,11 +20,15 @@ def expand(rows: DataFrame, low: float, high: float) -> DataFrame:
     return rows.withColumn("n", shift).withColumn("phi", F.col("phi") + F.col("n")).where(F.col("phi").between(low, high)).drop("n")
 
 
+def with_gaps(rows: DataFrame) -> DataFrame:
+    """Add ``gap``, the circular distance from ``phi`` to the next point of the source and band."""
+    w = W.partitionBy(*KEY).orderBy("phi")
+    return rows.withColumn("gap", F.coalesce(F.lead("phi").over(w), F.min("phi").over(W.partitionBy(*KEY)) + 1) - F.col("phi"))
+
+
 def gap_max(rows: DataFrame, least: int = 0) -> DataFrame:
     """Largest circular gap of ``phi`` by source and band; 1 with fewer than ``least`` or 2 points."""
-    w = W.partitionBy(*KEY).orderBy("phi")
-    gap = F.coalesce(F.lead("phi").over(w), F.min("phi").over(W.partitionBy(*KEY)) + 1) - F.col("phi")
-    return rows.withColumn("gap", gap).groupBy(*KEY).agg(F.when(F.count("*") < max(least, 2), 1.0).otherwise(F.max("gap")).alias("gmax"))
+    return with_gaps(rows).groupBy(*KEY).agg(F.when(F.count("*") < max(least, 2), 1.0).otherwise(F.max("gap")).alias("gmax"))
 
 
 def bins(n_grid: int = 50) -> Column:

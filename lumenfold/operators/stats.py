@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenfold.operators.phase import in_cyclic
+
 KEY = ("source_id", "band")
+#: a middling magnitude, from which sums are taken
+SHIFT = 20.0
 
 
 def weight(floor: float = 0.001) -> Column:
@@ -15,11 +19,11 @@ def weight(floor: float = 0.001) -> Column:
 
 
 def weighted_mean_rms(rows: DataFrame, floor: float = 0.001) -> DataFrame:
-    """``n, m0, rms`` with weights 1/max(emag, floor)^2; two passes keep the digits."""
-    w = W.partitionBy(*KEY)
-    rows = rows.withColumn("w", weight(floor))
-    rows = rows.withColumn("d", F.col("mag") - F.sum(F.col("w") * F.col("mag")).over(w) / F.sum("w").over(w))
-    return rows.groupBy(*KEY).agg(F.count("*").alias("n"), (F.sum(F.col("w") * F.col("mag")) / F.sum("w")).alias("m0"), F.sqrt(F.sum(F.col("w") * F.col("d") * F.col("d")) / F.sum("w")).alias("rms"))
+    """``n, m0, rms`` with weights 1/max(emag, floor)^2, from sums over one scan; values are shifted by a constant near all magnitudes to keep the digits."""
+    w, d = weight(floor), F.col("mag") - SHIFT
+    s = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * d).alias("d"), F.sum(w * d * d).alias("dd"))
+    mean = F.col("d") / F.col("w")
+    return s.select(*KEY, "n", (mean + SHIFT).alias("m0"), F.sqrt(F.greatest(F.col("dd") / F.col("w") - mean * mean, F.lit(0.0))).alias("rms"))
 
 
 def amplitude(rows: DataFrame) -> DataFrame:
@@ -28,11 +32,17 @@ def amplitude(rows: DataFrame) -> DataFrame:
 
 
 def sigma_clip(rows: DataFrame, sigma: float = 3.0, rounds: int = 5) -> DataFrame:
-    """Drop points farther than ``sigma`` population deviations from the median, at most ``rounds`` times."""
+    """Drop points farther than ``sigma`` population deviations from the median, at most ``rounds`` times.
+
+    Every round is two aggregates over one partitioning by source and band, so that
+    all rounds share a single exchange; a dropped point stays as a null till the end.
+    """
+    w = W.partitionBy(*KEY)
+    out = rows.withColumn("clipped", F.col("mag"))
     for _ in range(rounds):
-        s = rows.groupBy(*KEY).agg(F.median("mag").alias("mid"), F.stddev_pop("mag").alias("sd"))
-        rows = rows.join(s, [*KEY]).where(F.abs(F.col("mag") - F.col("mid")) <= sigma * F.col("sd")).drop("mid", "sd")
-    return rows
+        out = out.withColumn("mid", F.median("clipped").over(w)).withColumn("sd", F.stddev_pop("clipped").over(w))
+        out = out.withColumn("clipped", F.when(F.abs(F.col("clipped") - F.col("mid")) <= sigma * F.col("sd"), F.col("clipped")))
+    return out.where("clipped is not null").drop("clipped", "mid", "sd")
 
 
 def axis_limits(rows: DataFrame) -> DataFrame:
@@ -94,6 +104,48 @@ def residual_autocorrelation(rows: DataFrame, least: int) -> DataFrame:
     return s.groupBy("source_id").agg(F.coalesce(F.try_divide(F.sum(F.col("r") * F.col("n")), F.sum(F.when(F.col("r").isNotNull(), F.col("n")))), F.lit(0.0)).alias("rho"))
 
 
+def order_autocorrelation(rows: DataFrame, floor: float = 0.001) -> DataFrame:
+    """``source_id, m, rho``: the same for several orders ``m`` of a source; bands of fewer than m + 2 points are left out."""
+    key = ["source_id", "m", "band"]
+    w = W.partitionBy(*key).orderBy("phi", "ord")
+    pairs = rows.withColumn("z", F.col("residual") / F.greatest(F.col("emag"), F.lit(floor))).withColumn("next", F.lead("z").over(w))
+    a, b = F.when(F.col("next").isNotNull(), F.col("z")), F.col("next")
+    r = F.abs(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+    s = pairs.groupBy(*key).agg(F.count("*").alias("n"), r.alias("r")).where("n >= m + 2 and r is not null")
+    return s.groupBy("source_id", "m").agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("rho"))
+
+
+def slope_penalty(rows: DataFrame, key: list[str], bins: int = 5, least: int = 5, delta: float = 2.5, least_bin: int = 2) -> DataFrame:
+    """``key, slope``: how far the branches between peak and trough lie from the model as a whole.
+
+    ``rows`` has ``key, band, phi, z`` (residual over its error), ``peak`` and ``trough``.
+    Each branch is cut into ``bins`` by band; the bins' mean ``z``, held to 8, go through
+    Huber's loss and are averaged by their counts. Branches of fewer than ``least``
+    points and bins of fewer than ``least_bin`` are left out; 0 without any.
+    """
+    z = F.least(F.greatest("z", F.lit(-8.0)), F.lit(8.0))
+    ends = F.explode(F.array(*(F.struct(F.lit(i).alias("branch"), F.col(a).alias("from"), F.col(b).alias("to")) for i, (a, b) in enumerate((("peak", "trough"), ("trough", "peak"))))))
+    rows = rows.withColumn("zc", z).withColumn("x", ends).select(*key, "band", "phi", "zc", "x.*").where(in_cyclic(F.col("phi"), F.col("from"), F.col("to")))
+    width = F.pmod(F.col("to") - F.col("from"), F.lit(1.0))
+    at = F.floor(F.try_divide(F.pmod(F.col("phi") - F.col("from"), F.lit(1.0)), width) * bins)
+    rows = rows.withColumn("bin", F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1)))
+    cells = rows.groupBy(*key, "branch", "band", "bin").agg(F.count("*").alias("n"), F.avg("zc").alias("mean"))
+    branch = cells.groupBy(*key, "branch").agg(F.sum("n").alias("points"), F.sum(F.when(F.col("n") >= least_bin, F.col("n"))).alias("used"), F.sum(F.when(F.col("n") >= least_bin, F.col("n") * huber(F.col("mean"), delta))).alias("loss"))
+    return branch.where(f"points >= {least} and used > 0").groupBy(*key).agg((F.sum("loss") / F.sum("used")).alias("slope"))
+
+
+def chi2_band(rows: DataFrame, floor: float = 0.001) -> DataFrame:
+    """Sum of squared normalised residuals by source and band, not reduced."""
+    z = F.col("residual") / F.greatest(F.col("emag"), F.lit(floor))
+    return rows.groupBy(*KEY).agg(F.sum(z * z).alias("chi2"))
+
+
+def chi2_level(rows: DataFrame, floor: float = 0.001) -> DataFrame:
+    """The same over N - 2, for a fitted level and amplitude; null with two points or fewer."""
+    z = F.col("residual") / F.greatest(F.col("emag"), F.lit(floor))
+    return rows.groupBy(*KEY).agg(F.try_divide(F.sum(z * z), F.greatest(F.count("*") - 2, F.lit(0))).alias("chi2"))
+
+
 def select_order(scores: DataFrame) -> DataFrame:
     """Per source the smallest ``m`` whose ``score`` is within ``tol`` of the best one's."""
     w = W.partitionBy("source_id")

@@ -17,7 +17,8 @@ from lumenfold.sources import epochs as src
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-PERIOD, PMIN = 1.7, 0.5
+PERIOD, PMIN = 1.7, 0.2
+#: order 5 at most: with 15, sources of up to 38 points, most of these tables', have no fit
 CONFIG = EngineConfig(m_max=5)
 #: fixed values: unit shapes that stand for templates
 TEMPLATES = [("T1", [1.0, 0.4, 0.15], [0.2, 1.1, 2.3]), ("T2", [1.0, 0.25, 0.1, 0.05], [1.5, 0.4, 3.0, 5.0])]
@@ -170,7 +171,7 @@ def cyclic_interval(spark, d):
     return _folded(spark, d).groupBy("source_id").agg(inside(0.8, 0.3).alias("wrapped"), inside(0.2, 0.6).alias("plain"))
 
 
-_GRID = "gr as (select source_id, 1/300e0 fmin, 1/(2*(max(t)-min(t))) df from ep group by 1), gn as (select *, cast(ceil((2e0+df-fmin)/df) as bigint) nf from gr)"
+_GRID = "gr as (select source_id, 1/300e0 fmin, 1/(2*(max(t)-min(t))) df from ep group by 1), gn as (select *, cast(ceil((5e0+df-fmin)/df) as bigint) nf from gr)"
 
 
 @query(f"EP, {_GRID} select source_id, round(fmin,6) fmin, round(df,6) df, nf from gn")
@@ -242,9 +243,9 @@ def alias_mask(spark, d):
     return _periods(spark, d).select("source_id", periodogram.alias_mask(1 / F.col("period"), F.lit(0.05), 1.0, 2, 0.02).alias("masked"))
 
 
-@query(f"EP, {_GLS}, md as (select source_id, k, list(power) over (partition by source_id order by k rows between 5 preceding and 5 following) a from pw), m2 as (select source_id, k, a, list_median(a) mid from md) select source_id, k, round(greatest(1e-6, mid + 1.4826e0*list_median(list_transform(a, lambda v: abs(v-mid)))),5) background from m2")
+@query(f"EP, {_GLS}, md as (select source_id, k, list(power) over (partition by source_id order by k rows between 100 preceding and 100 following) a from pw), m2 as (select source_id, k, a, list_median(a) mid from md) select source_id, k, round(greatest(1e-6, mid + 1.4826e0*list_median(list_transform(a, lambda v: abs(v-mid)))),5) background from m2")
 def local_background(spark, d):
-    return _r(periodogram.local_background(_gls(spark, d).select("source_id", "k", "power"), 5), "background", digits=5)
+    return _r(periodogram.local_background(_gls(spark, d).select("source_id", "k", "power")), "background", digits=5)
 
 
 _GROUPED = "with q as (select s_nationkey source_id, log10(0.3e0+abs(s_acctbal::double)/100) x from supplier)"
@@ -409,9 +410,98 @@ def job_rollup(spark, d):
     return jobs.roll_up(_table(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), code.alias("returncode"), F.lit("x").alias("result")))
 
 
+@query("EP, b as (select source_id, band, avg(mag) mid from fo group by 1,2) select source_id, band, round(sum(power((mag-mid)/greatest(emag,0.001),2)),1) chi2 from fo join b using(source_id, band) group by 1,2")
+def chi2_band(spark, d):
+    return _r(stats.chi2_band(_residuals(spark, d)), "chi2", digits=1)
+
+
+@query("EP, b as (select source_id, band, avg(mag) mid from fo group by 1,2) select source_id, band, round(case when count(*) > 2 then sum(power((mag-mid)/greatest(emag,0.001),2))/(count(*)-2) end,2) chi2 from fo join b using(source_id, band) group by 1,2")
+def chi2_level(spark, d):
+    return _r(stats.chi2_level(_residuals(spark, d)), "chi2", digits=2)
+
+
+_SLOPE = """r as (select fo.*, least(greatest((mag-mid)/sqrt(power(greatest(emag,0.001),2)+0.0009e0),-8e0),8e0) z from fo join (select source_id, band, avg(mag) mid from fo group by 1,2) using(source_id, band)),
+ x as (select *, 0 br, 0.2e0 s, 0.4e0 w from r where phi between 0.2e0 and 0.6e0 union all select *, 1, 0.6e0, 0.6e0 from r where phi >= 0.6e0 or phi <= 0.2e0),
+ c as (select source_id, br, band, least(greatest(floor((phi-s-floor(phi-s))/w*5),0),4) bin, count(*) n, avg(z) m from x group by 1,2,3,4),
+ h as (select *, case when abs(m) <= 2.5e0 then 0.5e0*m*m else 2.5e0*(abs(m)-1.25e0) end l from c),
+ b as (select source_id, br, sum(n) points, sum(n) filter (where n>=2) used, sum(n*l) filter (where n>=2) loss from h group by 1,2)"""
+
+
+@query(f"EP, {_SLOPE} select source_id, round(sum(loss)/sum(used),4) slope from b where points >= 5 and used > 0 group by 1")
+def slope_penalty(spark, d):
+    z = F.col("residual") / F.sqrt(F.pow(F.greatest("emag", F.lit(0.001)), F.lit(2.0)) + 0.0009)
+    x = _residuals(spark, d).withColumns({"z": z, "peak": F.lit(0.2), "trough": F.lit(0.6)})
+    return _r(stats.slope_penalty(x, ["source_id"]), "slope", digits=4)
+
+
+@query("EPselect source_id, band, ord, round((t-0.3e0)/1.7e0 - floor((t-0.3e0)/1.7e0),6) phi from ep")
+def epoch_phase(spark, d):
+    x = src.event_epochs(spark, d).withColumn("phi", phase.phase(F.col("t"), F.lit(PERIOD), F.lit(0.3)))
+    return _r(x, "phi").select("source_id", "band", "ord", "phi")
+
+
+_WIDE = "case when event_id % 2 = 0 then value end"
+
+
+@query("""with w as (select user_id source_id, event_id ord, value v, epoch_us(ts)/86400e6 - 19723 t, event_id from events),
+ u as (select source_id, 'g' band, t, v, ord, event_id%7=0 rej, event_id%2=0 has, 25.6874e0 zp from w union all select source_id, 'bp', t+1, 2*v, ord, event_id%5=0, event_id%3=0, 25.3385e0 from w union all select source_id, 'rp', t+2, 3*v, ord, null, true, 24.7479e0 from w)
+ select source_id, band, ord, round(t,6) t, round(-2.5e0*log10(greatest(v,1e-30))+zp,6) mag, round(sqrt(power(2.5e0*0.1e0,2)+power(0.0028e0,2)),6) emag from u where has and not coalesce(rej,false)""")
+def gaia_unpivot(spark, d):
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86400e6) - 19723
+    x = _table(spark, d, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("ord"), "value", t.alias("t"))
+    wide = x.select("source_id", "ord", *(c for i, (b, pre, time) in enumerate((("g", "g_transit", "g_transit_time"), ("bp", "bp", "bp_obs_time"), ("rp", "rp", "rp_obs_time"))) for c in (
+        (F.col("t") + i).alias(time), F.when((F.col("ord") % (2, 3, 1)[i]) == 0, F.lit(1.0)).alias(f"{pre}_mag"), ((i + 1) * F.col("value")).alias(f"{pre}_flux"), (0.1 * (i + 1) * F.col("value")).alias(f"{pre}_flux_error"),
+        (F.col("ord") % (7, 5)[i] == 0 if i < 2 else F.lit(None).cast("boolean")).alias(f"variability_flag_{b}_reject"))))
+    return _r(src.unpivot_gaia(wide), "t", "mag", "emag").select("source_id", "band", "ord", "t", "mag", "emag")
+
+
+@query("select user_id source_id, count(*) total, count(*) filter (where coalesce(cast(json_extract_string(props,'$.k') as int) % 10 = 0, false)) rejected, count(distinct event_type) bands from events group by 1")
+def monitor_counts(spark, d):
+    x = _table(spark, d, "events").select(F.col("user_id").alias("source_id"), F.col("event_type").alias("band"), "props")
+    return src.monitor(x, F.get_json_object("props", "$.k").cast("int") % 10 == 0)
+
+
+@query("select c_custkey source_id, concat_ws('_', c_mktsegment, cast(c_nationkey as varchar)) pulsation from customer")
+def pulsation_label(spark, d):
+    ident = _table(spark, d, "customer").select(F.col("c_custkey").alias("SOURCE_ID"), F.col("c_mktsegment").alias("type_best_classification"), F.col("c_nationkey").cast("string").alias("mode_best_classification"))
+    return src.pulsation(ident, "gaia")
+
+
+@query("select o_custkey source_id, cast(row_number() over (partition by o_custkey order by T, P) - 1 as int) cand, round(P,6) P, cast(null as double) Z from (select o_custkey, cast(o_orderkey % 4 as int) T, o_totalprice::double/1e4 P from orders) where T between 1 and 3 and P > 0")
+def rrfit_start(spark, d):
+    results = _table(spark, d, "orders").select(F.col("o_custkey").alias("ID"), (F.col("o_orderkey") % 4).cast("int").alias("T"), (F.col("o_totalprice").cast("double") / 1e4).alias("P"))
+    return _r(decompose.template_start(results, spark.createDataFrame([(f"T{i}",) for i in (1, 2, 3)], "name string")), "P")
+
+
+@query("with t as (select p_partkey name, 0.5e0*p_size a, 0.25e0*p_size b, p_retailprice::double c from part) select name, a m0, b amp, a+1 c1_2, b+1 c2_1, c P, a+b E from t")
+def theta_unpack(spark, d):
+    a, b, c = 0.5 * F.col("p_size"), 0.25 * F.col("p_size"), F.col("p_retailprice").cast("double")
+    x = harmonics.unpack_theta(F.array(a, b, a, a + 1, b + 1, b, c, a + b), 1, 2)
+    return _table(spark, d, "part").withColumn("x", x).select(F.col("p_partkey").alias("name"), F.col("x.m0")[0].alias("m0"), F.col("x.amp")[0].alias("amp"), F.col("x.c1")[1].alias("c1_2"), F.col("x.c2")[0].alias("c2_1"), F.col("x.P").alias("P"), F.col("x.E").alias("E"))
+
+
+@query("select case o_orderstatus when 'F' then 'ok' when 'O' then 'failed' else 'open' end status, count(*) n from orders group by 1")
+def run_counts(spark, d):
+    code = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1)
+    return jobs.run_counts(_table(spark, d, "orders").select(code.alias("returncode"), F.lit("x").alias("result")))
+
+
+@query("select l_orderkey source_id, arg_max(l_partkey, (l_linenumber, l_partkey)) last from lineitem group by 1")
+def last_row(spark, d):
+    return _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("source_id")).agg(F.max_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("last"))
+
+
 @query()
 def fourier_decomp(spark, d):
-    return decompose.fourier_decomposition(src.event_epochs(spark, d), CONFIG)
+    return decompose.fourier_decomposition(src.event_epochs(spark, d), CONFIG, labels=_table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_mktsegment").alias("pulsation")))
+
+
+@query()
+def fourier_decomp_rrfit(spark, d):
+    """The same from given periods, as after a template fit."""
+    results = _table(spark, d, "customer").select(F.col("c_custkey").alias("ID"), (F.col("c_custkey") % 3 + 1).cast("int").alias("T"), (0.4 + F.abs(F.col("c_acctbal").cast("double")) / 4000).alias("P"))
+    start = decompose.template_start(results, spark.createDataFrame([(n,) for n, *_ in TEMPLATES], "name string"))
+    return decompose.fourier_decomposition(src.event_epochs(spark, d), CONFIG, start)
 
 
 @query()
@@ -420,6 +510,17 @@ def quality_table(spark, d):
     return jobs.quality_table(x, decompose.fourier_decomposition(x, CONFIG), CONFIG)
 
 
+@query()
+def period_windows_search(spark, d):
+    return periodogram.search_windows(src.event_epochs(spark, d), CONFIG)
+
+
+@query()
+def rrfit_plan(spark, d):
+    plan, _ = jobs.build_plan(src.event_epochs(spark, d), CONFIG)
+    return plan
+
+
 @query()
 def mc_alias(spark, d):
-    return jobs.injection_recovery(src.event_epochs(spark, d), TEMPLATES, EngineConfig(pmin=0.5, m_max=5))
+    return jobs.injection_recovery(src.event_epochs(spark, d), TEMPLATES, CONFIG)

@@ -16,7 +16,7 @@ def read_ogle(spark: SparkSession, root: str, bands: tuple[str, ...] = ("V", "I"
     """Headerless ``{root}/{catalogue}/{band}/{source}.dat`` files; other bands are left out, absent files are no rows."""
     rows = spark.read.schema(_POINT).option("sep", " ").csv(f"{root}/*/*/*.dat").withColumn("path", F.input_file_name())
     part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)\.dat$", i)
-    return rows.select(part(2).alias("source_id"), part(1).alias("band"), "t", "mag", "emag", F.monotonically_increasing_id().alias("ord")).where(F.col("band").isin(*bands))
+    return rows.select(part(2).alias("source_id"), part(1).alias("band"), "t", "mag", "emag", F.xxhash64("t", "mag", "emag").alias("ord")).where(F.col("band").isin(*bands))
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -34,10 +34,14 @@ def read_ogle_ident(spark: SparkSession, paths: list[str], widths: list[tuple[st
 
 
 def read_fitlc(spark: SparkSession, path: str, bands: tuple[str, ...]) -> DataFrame:
-    """Light curves written by ``write_fitlc``: band number, time, magnitude, error; the header line is skipped."""
-    rows = spark.read.text(path).where(~F.col("value").startswith("Band"))
+    """Light curves written by ``write_fitlc``: band number, time, magnitude, error; the header line is skipped.
+
+    The source is that of the file's folder ``source_id=...`` or else the file's stem.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).text(path).withColumn("path", F.input_file_name()).where(~F.col("value").startswith("Band"))
     f = F.split(F.trim("value"), r"\s+")
-    return rows.select(F.get(F.array(*map(F.lit, bands)), f[0].cast("int")).alias("band"), f[1].cast("double").alias("t"), f[2].cast("double").alias("mag"), f[3].cast("double").alias("emag"))
+    folder, stem = F.regexp_extract("path", r"source_id=([^/]+)/", 1), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
+    return rows.select(F.when(folder != "", folder).otherwise(stem).alias("source_id"), F.get(F.array(*map(F.lit, bands)), f[0].cast("int")).alias("band"), f[1].cast("double").alias("t"), f[2].cast("double").alias("mag"), f[3].cast("double").alias("emag"))
 
 
 def write_fitlc(epochs: DataFrame, path: str, bands: tuple[str, ...]) -> None:
@@ -54,6 +58,64 @@ def write_fd(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", True).option("sep", " ").csv(path)
 
 
+def read_fd(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows written by ``write_fd``; ``schema`` is ``decompose.fd_schema``."""
+    return spark.read.schema(schema).option("header", True).option("sep", " ").csv(path)
+
+
+def write_quality(rows: DataFrame, path: str) -> None:
+    """A quality table with its arrays."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def _files(spark: SparkSession, pattern: str, schema: str, stem: str) -> DataFrame:
+    """Comma- or space-separated files with a header under # comments, bad ones skipped, and their id, the number after ``stem``."""
+    reader = spark.read.schema(schema).option("header", True).option("comment", "#").option("sep", " ").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("pathGlobFilter", f"{stem}*.ecsv").option("recursiveFileLookup", True)
+    rows = reader.csv(pattern).withColumn("path", F.input_file_name())
+    return rows.withColumn("file_id", F.regexp_extract("path", rf"{stem}([0-9]+)\.ecsv$", 1).cast("long")).drop("path")
+
+
+#: fixed values: columns of the surveys' files, in their order
+GAIA_WIDE = "g_transit_time double, g_transit_mag double, g_transit_flux double, g_transit_flux_error double, bp_obs_time double, bp_mag double, bp_flux double, bp_flux_error double, rp_obs_time double, rp_mag double, rp_flux double, rp_flux_error double, variability_flag_g_reject boolean, variability_flag_bp_reject boolean, variability_flag_rp_reject boolean"
+ZTF_POINT = "mjd double, mag double, magerr double, catflags int, filtercode string"
+
+
+def load(spark: SparkSession, mode: str, ident: DataFrame, phot: str, match: DataFrame | None = None) -> DataFrame:
+    """The canonical epochs of the identified sources, from a survey's folder of photometry.
+
+    ``ogle``: ``{phot}/{catalogue}/{band}/{ID}.dat`` and ident ``ID``; ``gaia``: files
+    ``epphot_DR3_{SOURCE_ID}.ecsv`` anywhere under ``phot`` and ident ``SOURCE_ID``;
+    ``ztf``: ``ztf_{ztf_id}.ecsv`` files, ident ``ID`` and the cross-match table
+    ``ID, ztf_id, sep``; a file found twice is read once. Sources without files have no rows.
+    """
+    if mode == "ogle":
+        return read_ogle(spark, phot).join(ident.select(F.col("ID").alias("source_id")).distinct(), "source_id", "left_semi")
+    if mode == "gaia":
+        wide = _files(spark, phot, GAIA_WIDE, "epphot_DR3_").withColumnRenamed("file_id", "source_id")
+        wide = wide.withColumn("ord", F.xxhash64(*(c for c in wide.columns if c != "source_id")))
+        return unpivot_gaia(wide).join(ident.select(F.col("SOURCE_ID").cast("long").alias("source_id")).distinct(), "source_id", "left_semi")
+    if mode == "ztf":
+        if match is None:
+            raise ValueError("ztf needs a cross-match table")
+        rows = _files(spark, phot, ZTF_POINT, "ztf_").withColumnRenamed("file_id", "ztf_id").distinct()
+        own = crossmatch(match.join(ident.select("ID").distinct(), "ID", "left_semi"), rows)
+        epochs = ztf_epochs(own.withColumn("source_id", F.col("ID")))
+        return epochs.withColumn("ord", F.xxhash64("t", "mag", "emag"))
+    raise ValueError(f"unknown mode {mode!r}")
+
+
+def monitor(rows: DataFrame, reject: Column) -> DataFrame:
+    """``source_id, total, rejected`` of epochs before the cut, and the distinct bands."""
+    return rows.groupBy("source_id").agg(F.count("*").alias("total"), F.count_if(F.coalesce(reject, F.lit(False))).alias("rejected"), F.count_distinct("band").alias("bands"))
+
+
+def pulsation(ident: DataFrame, mode: str) -> DataFrame:
+    """``source_id, pulsation``: the catalogue's label, type and mode joined by ``_`` for gaia, none for ztf."""
+    if mode == "gaia":
+        return ident.select(F.col("SOURCE_ID").alias("source_id"), F.concat_ws("_", "type_best_classification", "mode_best_classification").alias("pulsation"))
+    return ident.select(F.col("ID").alias("source_id"), (F.col("pulsation") if mode == "ogle" else F.lit(None).cast("string")).alias("pulsation"))
+
+
 def gaia_magnitude(flux: Column, error: Column, band: Column) -> tuple[Column, Column]:
     """Calibrated magnitude and its error; the error has no 1/ln 10, as the surveys' pipeline has it."""
     zp = F.create_map(*(F.lit(x) for kv in ZERO_POINT.items() for x in kv))

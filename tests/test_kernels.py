@@ -1,39 +1,148 @@
 """Numeric kernels against brute force, readers against files they have written."""
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from lumenfold.config import EngineConfig
-from lumenfold.operators import decompose, periodogram, stats
+from lumenfold.operators import decompose, fit, jobs, periodogram, stats
 from lumenfold.sources import epochs
 
 
-def test_wls_and_lasso_optimality():
-    rng = np.random.default_rng(0)
-    x, w = decompose.design(rng.random(80), 4), rng.random(80) + 0.5
-    y = 2 + x @ np.array([1, 0.5, 0, 0, 0.2, 0, 0, 0.0]) + rng.normal(0, 0.01, 80)
-    b = decompose.wls(x, y, w)
-    assert np.allclose((np.column_stack([np.ones(80), x]) * w[:, None]).T @ (y - b[0] - x @ b[1:]), 0, atol=1e-8)
-    lam = 0.05
-    c = decompose.lasso(x, y, w, lam, tol=1e-12)
-    g = (x * (w / w.sum())[:, None]).T @ (y - c[0] - x @ c[1:])
-    assert np.all(np.abs(g) <= lam + 1e-6)
-    assert np.allclose(g[c[1:] != 0], lam * np.sign(c[1:][c[1:] != 0]), atol=1e-6)
+def moments(t, y, w, period, order):
+    k = 2 * np.pi * np.arange(2 * order + 1)[:, None] * t / period
+    return [(np.cos(k) * w).sum(1), (np.sin(k) * w).sum(1), (np.cos(k) * w * y).sum(1), (np.sin(k) * w * y).sum(1), (w * y * y).sum()]
 
 
-def test_injection_is_recovered():
-    rng, cfg = np.random.default_rng(1), EngineConfig(m_max=5, pmin=0.5)
-    n = 60
+def curve(rng, n, period, noise=0.01):
     t = np.sort(rng.uniform(0, 30, n))
-    phi = 2 * np.pi * ((t / 1.37) % 1)
-    y = 15 + 0.5 * (np.cos(phi) + 0.3 * np.cos(2 * phi + 1)) + rng.normal(0, 0.01, n)
-    pdf = pd.DataFrame({"t": t, "mag": y, "emag": 0.01, "band": np.array(["g", "bp", "rp"])[np.arange(n) % 3], "ord": np.arange(n)})
-    row = decompose.decompose_source(pdf, cfg)
-    assert abs(row["P"] / 1.37 - 1) < 0.01 and cfg.m_min <= row["M_fit"] <= cfg.m_max
-    again = decompose.decompose_source(pdf.sample(frac=1, random_state=0), cfg)
-    assert again["P"] == pytest.approx(row["P"])
-    assert decompose.decompose_source(pdf[pdf["band"] == "none"], cfg) is None
+    phi = 2 * np.pi * t / period
+    return t, 15 + 0.5 * (np.cos(phi) + 0.3 * np.cos(2 * phi + 1)) + rng.normal(0, noise, n)
+
+
+def test_moments_hold_the_least_squares():
+    rng = np.random.default_rng(0)
+    t, y = curve(rng, 80, 1.3)
+    w = rng.random(80) + 0.5
+    normal = fit.Normal(*(np.array([[x]]) for x in moments(t, y - y.mean(), w, 1.3, 4)), 4)
+    x = fit.harmonics((t / 1.3) % 1, 4)
+    z = np.column_stack([np.ones(80), x]) * np.sqrt(w)[:, None]
+    want = np.linalg.lstsq(z, (y - y.mean()) * np.sqrt(w), rcond=None)[0]
+    got = fit.least_squares(normal.gram[0], normal.right[0])
+    assert np.allclose(got[0], want[1:]) and np.allclose(normal.level(got[None])[0, 0], want[0])
+    assert np.allclose(normal.misfit(got[None])[0, 0], ((z @ want - (y - y.mean()) * np.sqrt(w)) ** 2).sum())
+    lam = 0.05
+    gram, right = normal.gram[0] / w.sum(), normal.right[0] / w.sum()
+    c = fit.descend(gram, right, np.array([lam]), np.array([np.inf]), got, tol=1e-12, rounds=5000)[0]
+    slope = right[0] - gram[0] @ c
+    assert np.all(np.abs(slope) <= lam + 1e-6) and np.allclose(slope[c != 0], lam * np.sign(c[c != 0]), atol=1e-6)
+    turned = fit.rotated(*(m[None] for m in moments(t, y, w, 1.3, 4)[:2]), np.array([0.7]))
+    k = np.arange(9)[:, None] * (2 * np.pi * t / 1.3 - 0.7)
+    assert np.allclose(turned[0][0], (np.cos(k) * w).sum(1)) and np.allclose(turned[1][0], (np.sin(k) * w).sum(1))
+
+
+def test_boxed_descent_is_optimal():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(30, 6))
+    gram, right, box = a.T @ a, a.T @ rng.normal(size=30) * 3, 0.2
+    b = fit.descend(gram[None], right[None], np.zeros(1), np.array([box]), np.zeros((1, 6)), tol=1e-12, rounds=5000)[0]
+    slope = gram @ b - right
+    assert np.all(np.abs(b) <= box) and np.all(np.abs(slope[np.abs(b) < box]) < 1e-6) and np.all(slope[b == box] <= 1e-9) and np.all(slope[b == -box] >= -1e-9)
+
+
+def test_minimise_and_spike():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(5, 8, 4))
+    goal = rng.normal(size=(5, 8))
+
+    def f(x, which):
+        r = np.einsum("nij,nj->ni", a[which], x) - goal[which]
+        return (r * r).sum(1), 2 * np.einsum("nij,ni->nj", a[which], r)
+
+    x, value = fit.minimise(f, np.zeros((5, 4)), 10.0, tol=1e-14)
+    want = np.array([np.linalg.lstsq(p, g, rcond=None)[0] for p, g in zip(a, goal, strict=True)])
+    assert np.allclose(x, want, atol=1e-5) and np.allclose(value, [((p @ w - g) ** 2).sum() for p, w, g in zip(a, want, goal, strict=True)])
+    c = rng.normal(size=(3, 6))
+    value, slope = fit.spike(c, 50)
+    h = c @ fit.harmonics(np.arange(50) / 50, 3).T
+    d = np.roll(h, -1, 1) - 2 * h + np.roll(h, 1, 1)
+    assert np.allclose(value, np.percentile(np.abs(d), 99, axis=1) ** 2 + 0.05 * (d**2).mean(1))
+    for j in range(6):
+        step = np.zeros(6)
+        step[j] = 1e-6
+        assert np.allclose((fit.spike(c + step, 50)[0] - fit.spike(c - step, 50)[0]) / 2e-6, slope[:, j], atol=1e-4)
+
+
+def test_joint_fit_beats_its_start():
+    rng, cfg = np.random.default_rng(3), EngineConfig(m_max=5)
+    bands = [curve(rng, 25, 1.3) for _ in range(3)]
+    sums = [moments(t, y - y.mean(), np.full(25, 1e4), 1.3, 5) for t, y in bands]
+    normal = lambda: fit.Normal(*(np.array([[s[i] for s in sums]]) for i in range(5)), 5)
+    counts, gaps = np.full((1, 3), 25.0), np.full((1, 3), 0.1)
+    got = fit.shapes(normal(), counts, gaps, counts.max(axis=1), cfg, 5)
+    plain = fit.shapes(normal(), counts, gaps, counts.max(axis=1), EngineConfig(m_max=5, use_optim=False), 5)
+    assert got["objective"][0] <= plain["objective"][0] + 1e-9
+    # the objective from the points
+    c, chi = got["shape"][0], 0.0
+    for j, (t, y) in enumerate(bands):
+        r = y - y.mean() - got["m0"][0, j] - got["amp"][0, j] * (fit.harmonics((t / 1.3) % 1, 5) @ c)
+        chi += 1e4 * (r * r).sum()
+    chi /= 75 - 18
+    penalty = cfg.lam_spike * fit.spike(c[None], 50)[0][0] + 10 * (np.tile(np.arange(1, 6) ** 4.0, 2) * c * c).sum()
+    assert got["chi2"][0] == pytest.approx(chi, rel=1e-6) and got["objective"][0] == pytest.approx(chi + penalty, rel=1e-6)
+    assert np.isinf(fit.shapes(normal(), np.full((1, 3), 5.0), gaps, np.full(1, 5.0), cfg, 5)["chi2"][0])
+
+
+def test_injected_periods_are_recovered(spark):
+    rng, cfg, rows = np.random.default_rng(1), EngineConfig(m_max=5, pmin=0.5), []
+    truth = {"a": 1.37, "b": 2.9, "c": 0.83}
+    for name, period in truth.items():
+        t, y = curve(rng, 75, period)
+        rows += [(name, ("g", "bp", "rp")[i % 3], float(t[i]), float(y[i]), 0.01, i) for i in range(75)]
+    rows += [("few", "g", float(i), 15.0 + i % 2, 0.01, i) for i in range(6)] + [("none", "x", 1.0, 15.0, 0.1, 0), ("bad", "g", 1.0, float("nan"), 0.1, 0)]
+    d = spark.createDataFrame(rows, "source_id string, band string, t double, mag double, emag double, ord long")
+    labels = spark.createDataFrame([("a", "RRab")], "source_id string, pulsation string")
+    got = {r["ID"]: r for r in decompose.fourier_decomposition(d, cfg, labels=labels).collect()}
+    assert set(got) == set(truth) and got["a"]["pulsation"] == "RRab" and got["b"]["pulsation"] is None
+    assert all(abs(got[k]["P"] / p - 1) < 0.01 and cfg.m_min <= got[k]["M_fit"] <= 5 and got[k]["flag"] == 0 and got[k]["rms_g"] < 0.03 for k, p in truth.items())
+    given = decompose.template_start(spark.createDataFrame([("a", 1.37, 1), ("b", 2.9, 9)], "ID string, P double, T int"), spark.createDataFrame([("T1",)], "name string"))
+    start = decompose.fourier_decomposition(d.repartition(3), cfg, given).collect()
+    assert [r["ID"] for r in start] == ["a"] and start[0]["P"] == 1.37 and start[0]["Zmax"] is None
+    quality = jobs.quality_table(d, decompose.fourier_decomposition(d, cfg), cfg).collect()
+    assert len(quality) == 9 and all(q["N"] == 25 and len(q["residual_grid"]) == len(q["fval_grid"]) == 50 and sum(q["phase_mask"]) == round(50 * q["occupied_fraction"]) for q in quality)
+    plan, meta = jobs.build_plan(d, cfg)
+    assert {r["source_id"] for r in meta.collect()} >= set(truth) and plan.count() == sum(r["n_jobs"] for r in meta.collect())
+    mc = jobs.injection_recovery(d, [("T1", [1.0, 0.4], [0.2, 1.1])], cfg).where("source_id in ('a', 'b', 'c')").collect()
+    assert len(mc) == 6 and sum(abs(r["rel_err"] or 9) < 0.02 for r in mc) >= 4
+    assert decompose.fourier_decomposition(d.limit(0), cfg).count() == 0
+
+
+def test_peaks_against_definitions():
+    rng = np.random.default_rng(5)
+    p = np.round(rng.random(300) * 20) / 4
+    at = periodogram.local_maxima(p)
+    runs = [(i, j) for i in range(1, 299) for j in range(i, 299) if len(set(p[i : j + 1])) == 1 and p[i - 1] < p[i] and p[j + 1] < p[i]]
+    assert at.tolist() == [(i + j) // 2 for i, j in runs]
+    rise = periodogram.prominences(p, at)
+    for i, r in zip(at, rise, strict=True):
+        a, b = i, i
+        while a > 0 and p[a - 1] <= p[i]:
+            a -= 1
+        while b < 299 and p[b + 1] <= p[i]:
+            b += 1
+        assert r == p[i] - max(p[a : i + 1].min(), p[i : b + 1].min())
+    keep = at[periodogram.apart(at, p[at], 10)]
+    assert np.diff(keep).min() >= 10 and p[at].max() in p[keep]
+
+
+def test_run_jobs(spark, tmp_path):
+    plan = spark.createDataFrame([("s", "s_gbp_00", [0, 1], 0.5, 0, 0.2, 1.0, 0.05, 3.0, 1, 25), ("s", "s_gbp_01", [0, 1, 2], 0.5, 0, 0.2, 1.0, 0.05, 3.0, 1, 25)], "source_id string, job_id string, bands array<int>, P0 double, p0flag int, pmin double, pmax double, Amin double, Amax double, tmpl_start int, tmpl_end int")
+    got = {r["job_id"]: r for r in jobs.run_jobs(plan, ["sh", "-c", "printf 'P T\\n1 2\\n%s 4\\n' $(tail -1 lomb_scargle.txt | cut -d' ' -f2) > out.txt"], output="out.txt").collect()}
+    assert got["s_gbp_00"]["result"] == "P=0.5000000000 T=4" and got["s_gbp_00"]["returncode"] == 0 and got["s_gbp_01"]["returncode"] == -999
+    slow = jobs.run_jobs(plan.limit(1), ["sleep", "5"], timeout=1).first()
+    assert slow["returncode"] == -9 and jobs.run_jobs(plan.limit(1), ["no-such-program"]).first()["returncode"] == -999
+    jobs.save_plan(plan, plan.select("source_id").distinct(), str(tmp_path / "plan"))
+    own, meta = jobs.load_plan(spark, str(tmp_path / "plan"), spark.createDataFrame([("s",), ("t",)], "source_id string"))
+    assert own.count() == 2 and meta.count() == 1
 
 
 def test_capped_clusters(spark):
@@ -45,8 +154,8 @@ def test_capped_clusters(spark):
 def test_fitlc_round_trip(spark, tmp_path):
     e = spark.createDataFrame([("a", "g", 1.5, 12.25, 0.01), ("a", "rp", 2.5, 11.0, 0.02), ("a", "x", 0.0, 0.0, 0.0)], "source_id string, band string, t double, mag double, emag double")
     epochs.write_fitlc(e, str(tmp_path / "lc"), ("g", "bp", "rp"))
-    got = epochs.read_fitlc(spark, str(tmp_path / "lc" / "source_id=a"), ("g", "bp", "rp")).orderBy("t").collect()
-    assert [tuple(r) for r in got] == [("g", 1.5, 12.25, 0.01), ("rp", 2.5, 11.0, 0.02)]
+    got = epochs.read_fitlc(spark, str(tmp_path / "lc"), ("g", "bp", "rp")).orderBy("t").collect()
+    assert [tuple(r)[1:] for r in got] == [("g", 1.5, 12.25, 0.01), ("rp", 2.5, 11.0, 0.02)]
 
 
 def test_ogle_layout_and_idents(spark, tmp_path):
@@ -68,7 +177,19 @@ def test_constant_residuals_have_no_correlation(spark):
     assert stats.residual_autocorrelation(r, 5).first()["rho"] == 0.0
 
 
-def test_harmonic_penalty_weight():
-    shape = np.array([0.4, 0.1, 0.05, 0.2, 0.0, 0.1])
-    plain, full = (decompose.penalised(1.5, shape, EngineConfig(lam_spike=0.0, lam_harmonic=lam)) for lam in (0.0, 10.0))
-    assert plain == 1.5 and full - plain == pytest.approx(10 * (0.17 + 16 * 0.0425 + 81 * 0.01))
+def test_load_surveys(spark, tmp_path):
+    head = " ".join(x.split(" ")[0] for x in epochs.GAIA_WIDE.split(", "))
+    (tmp_path / "gaia").mkdir()
+    (tmp_path / "gaia" / "epphot_DR3_77.ecsv").write_text(f"# comment\n{head}\n1.0 15.0 100.0 1.0 1.1 15.0 100.0 1.0 1.2 15.0 100.0 1.0 false true false\n2.0 15.0 100.0 1.0 2.1 15.0 90.0 1.0 2.2 15.0 80.0 1.0 false false false\n")
+    (tmp_path / "gaia" / "epphot_DR3_78.ecsv").write_text(f"{head}\n1.0 15.0 100.0 1.0 1.1 15.0 100.0 1.0 1.2 15.0 100.0 1.0 false true false\n")
+    got = epochs.load(spark, "gaia", spark.createDataFrame([(77,)], "SOURCE_ID long"), str(tmp_path / "gaia")).collect()
+    assert sorted((r["source_id"], r["band"]) for r in got) == [(77, "bp"), (77, "g"), (77, "g"), (77, "rp"), (77, "rp")]
+    (tmp_path / "ztf" / "epoch_phot").mkdir(parents=True)
+    body = "mjd mag magerr catflags filtercode\n1.0 15.0 0.1 0 zg\n2.0 15.0 0.1 2 zg\n3.0 15.0 0.1 0 zx\n"
+    for p in ("ztf_5.ecsv", "epoch_phot/ztf_5.ecsv", "ztf_6.ecsv"):
+        (tmp_path / "ztf" / p).write_text(body)
+    match = spark.createDataFrame([(9, 5, 0.05), (9, 5, 0.06), (9, 6, 0.5)], "ID long, ztf_id long, sep double")
+    got = epochs.load(spark, "ztf", spark.createDataFrame([(9,)], "ID long"), str(tmp_path / "ztf"), match).collect()
+    assert [(r["source_id"], r["t"]) for r in got] == [(9, 1.0)]
+    with pytest.raises(ValueError):
+        epochs.load(spark, "other", match, "x")
