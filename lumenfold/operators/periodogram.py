@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenfold.sources.tables import saved
+from lumenfold.sources.tables import saved, spread
 
 
 def grids(epochs: DataFrame, n0: int = 2, pmin: float = 0.2, pmax: float = 300.0) -> DataFrame:
@@ -36,7 +36,7 @@ def _at_frequencies(epochs: DataFrame, grid: DataFrame) -> DataFrame:
 
 def window_power(epochs: DataFrame, grid: DataFrame) -> DataFrame:
     """Power of the sampling window, summed over bands, over its maximum: ``source_id, k, f, wpower``."""
-    s = _at_frequencies(epochs, grid).groupBy("source_id", "band", "k", "f").agg(F.sum(F.cos("x")).alias("c"), F.sum(F.sin("x")).alias("s"))
+    s = _at_frequencies(spread(epochs, "source_id", "band"), grid).groupBy("source_id", "band", "k", "f").agg(F.sum(F.cos("x")).alias("c"), F.sum(F.sin("x")).alias("s"))
     s = s.groupBy("source_id", "k", "f").agg(F.sum(F.col("c") * F.col("c") + F.col("s") * F.col("s")).alias("p"))
     return s.select("source_id", "k", "f", (F.col("p") / F.max("p").over(W.partitionBy("source_id"))).alias("wpower"))
 
@@ -48,7 +48,7 @@ def gls(epochs: DataFrame, grid: DataFrame, least: int = 4) -> DataFrame:
     array<struct<k, f>>``. Bands of fewer than ``least`` points are left out. Values are centred first, so that the sums keep their digits.
     """
     w = W.partitionBy("source_id", "band")
-    rows = epochs.withColumn("w", 1 / (F.col("emag") * F.col("emag"))).withColumn("n", F.count("*").over(w)).where(f"n >= {least}")
+    rows = spread(epochs, "source_id", "band").withColumn("w", 1 / (F.col("emag") * F.col("emag"))).withColumn("n", F.count("*").over(w)).where(f"n >= {least}")
     rows = rows.withColumn("w", F.col("w") / F.sum("w").over(w)).withColumn("w0", F.sum(1 / (F.col("emag") * F.col("emag"))).over(w))
     rows = rows.withColumn("y", F.col("mag") - F.sum(F.col("w") * F.col("mag")).over(w))
     rows = _at_frequencies(rows, grid).withColumn("c", F.cos("x")).withColumn("s", F.sin("x"))

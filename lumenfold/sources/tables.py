@@ -11,6 +11,15 @@ from pyspark.sql import DataFrame
 _written: list[tuple] = []
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows by ``keys`` into as many partitions as shuffles have.
+
+    For rows that are few bytes but much work: partitions of a stated number aren't
+    merged by their size, and windows and groups by the keys need no further exchange.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the folder of ``spark.checkpoint.dir`` and read it.
 
