@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.sources.tables import saved
+
+__all__ = ["ascii_lower", "bound", "connected_components", "crc_mod", "saved", "size_of", "table", "unused"]
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -17,9 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_written: list[tuple] = []
-
-
 def unused(df: DataFrame, stem: str) -> str:
     """``stem``, or with underscores behind it until no column of ``df`` has the name."""
     while stem.lower() in (c.lower() for c in df.columns):
@@ -27,35 +23,6 @@ def unused(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder of ``spark.checkpoint.dir`` and read it.
-
-    A table, unlike a checkpoint, has statistics, so that small ones are broadcast,
-    and carries no constraints from round to round. Where the setting is missing a
-    temporary folder is used in local mode only (tests); a cluster must name a
-    folder that all its machines share. The tables go when Python ends.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
-    _written.append((context, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for context, path in _written:
-        if context._jsc is not None:
-            folder = context._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -135,9 +135,9 @@ def tables(units: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in _batches(batches):
             slots, bits, _, sizes = _bits(batch.column("unit").to_pylist())
             n = np.repeat(batch.column("n").to_numpy(zero_copy_only=False), sizes).astype(float)
+            side = bits * np.int64(SLOTS)  # zeros, then ones
             for row in slots:
-                np.add.at(sums[0], row, n * (bits == 0))
-                np.add.at(sums[1], row, n * (bits == 1))
+                np.add.at(sums.reshape(-1), row + side, n)
         parts = sums.astype("<f4").reshape(2, -1, PART)
         used = np.flatnonzero(parts.any(axis=(0, 2)))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[:, i].tobytes() for i in used], pa.binary())], names=["part", "sums"])
@@ -239,11 +239,13 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
     which only sorts the training rows into groups and is no input of a score. Returns ``doc_id,
     n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte``,
     one row per input row. A null text is empty: its one token is the end. Without training
-    rows every token is unknown. Repeated rows are scored each on its own; other
-    columns are ignored; an empty table gives none.
+    rows every token is unknown. Repeated rows are scored each on its own; bytes that
+    are not UTF-8 count as replacement characters in words; other columns are ignored;
+    an empty table gives none.
     """
     kind = F.col(group) if group in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), kind.alias("kind"))
+    # ids go through pandas as text, which keeps long ones and nulls as they are
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), kind.alias("kind"))
     common_kinds = rows.where("train and kind is not null").groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(GROUPS).collect()
     number = F.lit(-1)
     for k, row in enumerate(common_kinds):
@@ -253,7 +255,7 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
     shares = np.log10([(r["count"] + 1) / (sum(x["count"] for x in common_kinds) + len(common_kinds)) for r in common_kinds] or [1.0])
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // BLOCK + 1)).cast("int"))
-    doc_kind = dict(rows.dtypes)["doc_id"]
+    doc_kind = dict(docs.dtypes)["doc_id"]
 
     def list_units(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, times, taught_by, places, buffers = [], [], [], [], []
@@ -277,7 +279,7 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
     listed = saved(rows.groupBy("block").applyInPandas(list_units, "block int, h long, unit binary, n int" + "".join(f", g{k} int" for k in groups)))
     by_group = [F.sum(f"g{k}").alias(f"g{k}") for k in groups]
     units = listed.groupBy("h").agg(F.first("unit").alias("unit"), F.sum("n").alias("n"), *by_group)
-    body = F.decode(F.substring("unit", 2, F.octet_length("unit") - 2), "UTF-8")
+    body = F.make_valid_utf8(F.substring("unit", 2, F.octet_length("unit") - 2).cast("string"))
     by_word = W.partitionBy("word")  # the spellings of one word
     units = units.withColumn("word", ascii_lower(body)).withColumn("c", F.sum("n").over(by_word)).withColumn("lead", F.min("h").over(by_word) == F.col("h"))
     units = saved(units.select("h", "unit", "n", *(f"g{k}" for k in groups), "lead", F.when(F.col("word") == "", -1).otherwise(F.col("c")).alias("c"))).withColumn("core", core(body))  # the core isn't written: it follows from the unit
@@ -326,9 +328,9 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
         return pd.DataFrame({"doc_id": texts["doc_id"].to_numpy(), "n_tokens": m[0].astype(np.int64), "n_known": m[1].astype(np.int64), "base_score": m[2], "score": score, "n_bytes": [len(t) for t in own]})
 
     groups = rows.select("doc_id", "text", "block").groupBy("block").cogroup(looked_up.groupBy("block"))
-    out = groups.applyInPandas(score_block, f"doc_id {doc_kind}, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    out = groups.applyInPandas(score_block, "doc_id string, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = -F.col("score") / F.log10(F.lit(2.0)) / F.greatest(F.lit(1), F.col("n_bytes"))
-    return out.withColumn("train_tokens", F.lit(n_all).cast("long")).withColumn("bits_per_byte", bits)
+    return out.withColumn("doc_id", F.col("doc_id").cast(doc_kind)).withColumn("train_tokens", F.lit(n_all).cast("long")).withColumn("bits_per_byte", bits)
 
 
 def held_out(modulus: int = 7, rest: int = 2):
