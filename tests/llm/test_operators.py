@@ -138,6 +138,26 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    monkeypatch.setattr(embeddings, "CODE_BLOCK", 100)
+    monkeypatch.setattr(embeddings, "CELLS", 3)
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(1500, 24))
+    v[:400] = v[0] + rng.normal(scale=0.09, size=(400, 24))  # many links, and many pairs just below
+    v[400:600] = v[600:800] + rng.normal(scale=0.14, size=(200, 24))
+    label = np.arange(1500) % 7 == 0
+    rows = [(i, x.tolist(), bool(b)) for i, (x, b) in enumerate(zip(v, label, strict=True))]
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    linked = (unit @ unit.T >= 0.98) & (label[:, None] == label)
+    low = np.arange(1500)
+    for _ in range(50):
+        low = np.where(linked, low[None], 1500).min(axis=1)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label boolean"), sample=500).collect()}
+    assert 20_000 < linked.sum() < 150_000
+    assert got == {i: (int(linked[i].sum()) - 1, int(low[i])) for i in range(1500)}
+
+
 def test_licenses(spark):
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, [*AWKWARD, (30, prose(1, 50) + "\nRELEASED under the  MIT license\n" + prose(2, 9), "a"), (31, "All rights reserved.", "a")])).collect()}
     assert got[30]["license"] == "MIT" and got[30]["dice"] == 1.0 and got[31]["license"] == "proprietary" and got[1]["license"] is None and got[5]["license"] is None
