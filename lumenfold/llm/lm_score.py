@@ -11,8 +11,10 @@ refined by an adaptive table over gate and mixed probability. A core's probabili
 refined once more by its own counts: discounted counts, and the bits' probability
 for what the discount leaves; then the same within each group of training texts (a
 language). A unit depends on itself, the sentence flag and the group alone, so each
-distinct unit is scored once; a text's probability is the mixture over the groups. The most frequent units, a fixed number, go
-to every block of texts; a block's other units are joined to it. Counts cover all
+distinct unit is scored once; a text's probability is the mixture over the groups and
+the counts of all training texts, which stand for texts of any further group or of none.
+The most frequent units, a fixed number, go to every block of texts; a block's other
+units are joined to it. Counts cover all
 training texts and grow with them; tables and weights have a fixed size.
 """
 
@@ -37,15 +39,13 @@ ORDERS, SLOTS, GATES, STEPS = len(ORDER_BITS), sum(1 << b for b in ORDER_BITS),
 _OFFSETS = [sum(1 << b for b in ORDER_BITS[:i]) for i in range(len(ORDER_BITS))]
 #: a byte that no UTF-8 text holds closes a text
 END, PART = b"\xff", 8192
-#: bytes of text of a block, and the share (one of so many, by hash) of the units that teach the mixing weights
-BLOCK, TEACH = 24 << 20, 4
+#: bytes of text of a block
+BLOCK = 24 << 20
 #: the most frequent units, so many at most, are sent to every block; the others are joined
 TOP = 1 << 18
 #: what each seen core leaves to unseen ones; the first byte of a core's string; the marks of a core's case in a shape
 DISCOUNT, CORE, CASES = 0.75, b"\x02", (b"\xf8", b"\xf9", b"\xfa", b"\xfb")
-#: strings seen so often always teach the weights
-OFTEN = 1000
-#: the most common values of the grouping column, so many at most, are groups of their own; other rows teach what all share
+#: the most common values of the grouping column, so many at most, are groups of their own; the counts of all rows serve the others
 GROUPS = 4
 _LETTERS, _BEGIN = re.compile(rb"[A-Za-z\x80-\xf7]+"), np.isin(np.arange(256), list(b".!?"))
 _ENDS = _SPACE.copy()
@@ -251,8 +251,10 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
     for k, row in enumerate(common_kinds):
         number = F.when(F.col("kind") == row["kind"], k).otherwise(number)
     rows = rows.withColumn("g", F.coalesce(number, F.lit(-1))).drop("kind")
-    groups = range(max(1, len(common_kinds)))
-    shares = np.log10([(r["count"] + 1) / (sum(x["count"] for x in common_kinds) + len(common_kinds)) for r in common_kinds] or [1.0])
+    groups, ends = range(len(common_kinds)), rows.where("train").count()
+    parts = (*groups, "all")
+    in_part = np.array([r["count"] for r in common_kinds] + [ends - sum(r["count"] for r in common_kinds)])
+    shares = np.log10((in_part + 1) / (ends + len(parts)))
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // BLOCK + 1)).cast("int"))
     doc_kind = dict(docs.dtypes)["doc_id"]
@@ -284,7 +286,6 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
     units = units.withColumn("word", ascii_lower(body)).withColumn("c", F.sum("n").over(by_word)).withColumn("lead", F.min("h").over(by_word) == F.col("h"))
     units = saved(units.select("h", "unit", "n", *(f"g{k}" for k in groups), "lead", F.when(F.col("word") == "", -1).otherwise(F.col("c")).alias("c"))).withColumn("core", core(body))  # the core isn't written: it follows from the unit
     known, tokens = units.where("lead and c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    ends = rows.where("train").count()
     n_all, vocabulary = tokens + ends, known + (ends > 0)
     context = docs.sparkSession.sparkContext
     strings = F.concat(F.lit(CORE), F.encode("core", "UTF-8"), F.lit(END)).alias("unit")
@@ -293,17 +294,18 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
     facts = cores.agg(*(x for c in ("n", *(f"g{k}" for k in groups)) for x in (F.count_if(F.col(c) > 0).alias(f"{c}_kinds"), F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_seen")))).first()
     taught = saved(shape_counts(units.where("n > 0"))).unionByName(cores.where("n > 0").select("unit", F.lit(1).cast("long").alias("n")))
     shared = context.broadcast(tables(taught))  # 2 x SLOTS numbers
-    model = context.broadcast(mixer(taught.where((F.pmod(F.xxhash64("unit"), F.lit(TEACH)) == 0) | (F.col("n") >= OFTEN)), shared))
+    model = context.broadcast(mixer(taught, shared))
     by_bits = F.pow(F.lit(10.0), F.greatest("lp", F.lit(-250.0)))
     refined = lambda c, below: (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * facts[f"{c}_kinds"] * below) / facts[f"{c}_seen"] if facts[f"{c}_seen"] else below
     cores = string_scores(cores.select("core", "n", *(f"g{k}" for k in groups), "unit"), shared, model).withColumn("p", refined("n", by_bits))
-    cores = cores.select("core", *(F.when(F.col("lp") > -250, F.log10(refined(f"g{k}", F.col("p")))).otherwise(F.col("lp")).alias(f"core{k}") for k in groups))
+    refined_by = {k: refined(f"g{k}", F.col("p")) for k in groups} | {"all": F.col("p")}
+    cores = cores.select("core", *(F.when(F.col("lp") > -250, F.log10(p)).otherwise(F.col("lp")).alias(f"core{k}") for k, p in refined_by.items()))
     often = frequent_from(units)
     scored = string_scores(units.select("h", "unit", "n", "c", "core"), shared, model, shapes=True).join(cores, "core", "left")
-    scored = saved(scored.select("h", "n", "c", *((F.col("lp") + F.coalesce(f"core{k}", F.lit(0.0))).cast("float").alias(f"lp{k}") for k in groups)))
+    scored = saved(scored.select("h", "n", "c", *((F.col("lp") + F.coalesce(f"core{k}", F.lit(0.0))).cast("float").alias(f"lp{k}") for k in parts)))
     top = scored.where(F.col("n") >= often).drop("n").toPandas().sort_values("h")  # TOP rows at most
     scored = scored.where(F.col("n") < often).drop("n")
-    columns = ("h", "c", *(f"lp{k}" for k in groups))
+    columns = ("h", "c", *(f"lp{k}" for k in parts))
     common = context.broadcast(tuple(top[k].to_numpy(np.float32 if k.startswith("lp") else np.int64) for k in columns))
     rare = listed.select("block", "h").join(F.broadcast(units.where(F.col("n") >= often).select("h")), "h", "left_anti")  # TOP rows at most
     looked_up = rare.join(scored, "h")
@@ -322,7 +324,7 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
             total = lambda v, doc=doc, n=b - a: np.bincount(doc, v, n)
             out.append(np.stack([total(c[at] >= 0) + 1, total(c[at] > 0) + (ends > 0), total(base[at]) + np.log10((ends + 1) / (n_all + vocabulary + 1)), *(total(lp[at]) for lp in lps)]))
         m = np.concatenate(out, axis=1) if out else np.zeros((3 + len(lps), 0))
-        each = m[3:] + shares[:, None]  # the mixture over the groups
+        each = m[3:] + shares[:, None]  # the mixture over the groups and all rows
         top = each.max(axis=0)
         score = top + np.log10((10 ** (each - top)).sum(axis=0))
         return pd.DataFrame({"doc_id": texts["doc_id"].to_numpy(), "n_tokens": m[0].astype(np.int64), "n_known": m[1].astype(np.int64), "base_score": m[2], "score": score, "n_bytes": [len(t) for t in own]})

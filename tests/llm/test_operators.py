@@ -265,6 +265,19 @@ def test_pii_em():
     assert all(abs((told["reliability"]["secret"][j][0] + told["reliability"]["secret"][j][1]) / 2 - r) < 0.06 for j, r in enumerate(right))
 
 
+def test_lm_score_further_groups(spark):
+    rng = np.random.default_rng(3)
+    words = [["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(40)] for _ in range(7)]
+    rows = [(200 * k + i, " ".join(rng.choice(words[k], 30)), None if k == 6 else f"l{k}", i > 3) for k in range(7) for i in range(24 - 2 * k)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, train boolean")
+    one, many = ({r["doc_id"]: r["score"] for r in lm_score.score_documents(x).collect()} for x in (d.drop("lang"), d))
+    # a text of a further group, or of none, costs at most the share of all rows more than without groups
+    rest = sum(t and lang not in ("l0", "l1", "l2", "l3") for _, _, lang, t in rows) + 1
+    share = np.log10(rest / (sum(r[3] for r in rows) + 5))
+    assert all(many[i] > one[i] + share - 0.1 for i, _, lang, _ in rows if lang not in ("l0", "l1", "l2", "l3"))
+    assert sum(many[i] > one[i] for i, _, lang, _ in rows if lang == "l0") == 24
+
+
 def test_lm_score(spark):
     rows = [(i, prose(i, 80), i % 5 != 0) for i in range(60)] + [(100, None, True), (101, "", False), (102, "new\x04word  x", False), (None, "alpha1", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
