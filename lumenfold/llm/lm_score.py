@@ -12,7 +12,8 @@ refined once more by its own counts: discounted counts, and the bits' probabilit
 for what the discount leaves; then the same within each group of training texts (a
 language). A unit depends on itself, the sentence flag and the group alone, so each
 distinct unit is scored once; a text's probability is the mixture over the groups and
-the counts of all training texts, which stand for texts of any further group or of none.
+the counts of all training texts; these stand for training texts of any further group or
+of none, and are left out where there are no such texts.
 The most frequent units, a fixed number, go to every block of texts; a block's other
 units are joined to it. Counts cover all
 training texts and grow with them; tables and weights have a fixed size.
@@ -252,8 +253,9 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
         number = F.when(F.col("kind") == row["kind"], k).otherwise(number)
     rows = rows.withColumn("g", F.coalesce(number, F.lit(-1))).drop("kind")
     groups, ends = range(len(common_kinds)), rows.where("train").count()
-    parts = (*groups, "all")
-    in_part = np.array([r["count"] for r in common_kinds] + [ends - sum(r["count"] for r in common_kinds)])
+    others = ends - sum(r["count"] for r in common_kinds)
+    parts = (*groups, "all") if others or not groups else tuple(groups)  # each part has training rows, if there are any
+    in_part = np.array([r["count"] for r in common_kinds] + [others])[: len(parts)]
     shares = np.log10((in_part + 1) / (ends + len(parts)))
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // BLOCK + 1)).cast("int"))
@@ -299,7 +301,7 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
     refined = lambda c, below: (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * facts[f"{c}_kinds"] * below) / facts[f"{c}_seen"] if facts[f"{c}_seen"] else below
     cores = string_scores(cores.select("core", "n", *(f"g{k}" for k in groups), "unit"), shared, model).withColumn("p", refined("n", by_bits))
     refined_by = {k: refined(f"g{k}", F.col("p")) for k in groups} | {"all": F.col("p")}
-    cores = cores.select("core", *(F.when(F.col("lp") > -250, F.log10(p)).otherwise(F.col("lp")).alias(f"core{k}") for k, p in refined_by.items()))
+    cores = cores.select("core", *(F.when(F.col("lp") > -250, F.log10(p)).otherwise(F.col("lp")).alias(f"core{k}") for k, p in refined_by.items() if k in parts))
     often = frequent_from(units)
     scored = string_scores(units.select("h", "unit", "n", "c", "core"), shared, model, shapes=True).join(cores, "core", "left")
     scored = saved(scored.select("h", "n", "c", *((F.col("lp") + F.coalesce(f"core{k}", F.lit(0.0))).cast("float").alias(f"lp{k}") for k in parts)))
