@@ -14,6 +14,14 @@ language). A unit depends on itself, the sentence flag and the group alone, so e
 distinct unit is scored once; a text's probability is the mixture over the groups and
 the counts of all training texts; these stand for training texts of any further group or
 of none, and are left out where there are no such texts.
+Across words a match model predicts: where the hash of the last four units falls on a
+fixed share of values, a passage begins, which ends at the next such place or with the
+text. In the context of those units (or of a text's beginning) a passage has the
+mixture of its count after the same context in the training texts and of its units'
+probability; a gate on how often the context was seen picks the mixture's weight,
+which is learned from the training passages, each left out of its own counts. A
+training text's own sight of a passage is left out of its score in the same way, so
+texts that repeat are told from texts that don't.
 The most frequent units, a fixed number, go to every block of texts; a block's other
 units are joined to it. Counts cover all
 training texts and grow with them; tables and weights have a fixed size.
@@ -32,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.llm._shared import ascii_lower, crc_mod, saved
-from lumenfold.llm._words import _BYTE, _SPACE, U, chunks, mix, powers
+from lumenfold.llm._words import _BYTE, _SPACE, _STEP, U, chunks, mix, powers
 
 #: bits of a slot number by context: none, one, two, three bytes, the whole prefix
 ORDER_BITS = (16, 18, 19, 20, 21)
@@ -48,6 +56,10 @@ TOP = 1 << 18
 DISCOUNT, CORE, CASES = 0.75, b"\x02", (b"\xf8", b"\xf9", b"\xfa", b"\xfb")
 #: the most common values of the grouping column, so many at most, are groups of their own; the counts of all rows serve the others
 GROUPS = 4
+#: units of a passage's context, and units of a passage on average
+LAST, PASSAGE = 4, 64
+#: contexts with at least one in so many of all passages, at most so many contexts, are broadcast; the others are joined
+HOT = 8192
 _LETTERS, _BEGIN = re.compile(rb"[A-Za-z\x80-\xf7]+"), np.isin(np.arange(256), list(b".!?"))
 _ENDS = _SPACE.copy()
 _ENDS[END[0]] = True
@@ -67,6 +79,52 @@ def unit_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return mix((total[stops] - total[starts]) * back[starts] + (stops - starts).astype(np.uint64) + begins * U(1 << 40)), starts, stops, begins, raw
 
 
+def text_of(sizes: list[int], stops: np.ndarray) -> np.ndarray:
+    """The text of each unit: the one that ends at a text's end mark closes the text; a mark within a text only ends a unit."""
+    return np.searchsorted(np.cumsum([n + 1 for n in sizes]), stops)
+
+
+def passages(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The passage of each unit; and of each passage its context, a hash of context and units, and its text."""
+    n = len(h)
+    last = np.append(text[1:] != text[:-1], np.ones(min(n, 1), bool))
+    rolled = np.zeros(n, np.uint64)
+    for j in range(LAST):
+        rolled[j:] += h[: max(n - j, 0)] * _STEP[j]
+    rolled = mix(rolled)
+    whole = np.zeros(n, bool)  # are the last units all of this text?
+    whole[LAST - 1 :] = text[LAST - 1 :] == text[: max(n - LAST + 1, 0)]
+    stops = np.flatnonzero(last | (whole & (rolled % U(PASSAGE) == 0))) + 1
+    starts = np.append(0, stops[:-1]) if len(stops) else stops
+    context = np.where((starts == 0) | last[starts - 1], U(0), rolled[starts - 1])
+    power, back = powers(n + 1)
+    total = np.append(U(0), np.cumsum(h * power[:n]))
+    own = mix((total[stops] - total[starts]) * back[starts] + (stops - starts).astype(np.uint64) + context * _STEP[LAST])
+    return np.repeat(np.arange(len(stops)), stops - starts), context, own, text[starts]
+
+
+def matches(listed: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """What the training texts tell of each listed passage, and the weight of the match by binary digits of its context's count.
+
+    ``listed`` has ``block, context, h, n``: ``n`` training sights, or 0 in a row for
+    sights that teach nothing. Returns ``block, h, n, of``, with the counts of the
+    passage and of its context, for contexts that others than the row's own sight tell of.
+    """
+    each = listed.groupBy("context", "h").agg(F.sum("n").alias("n"))
+    contexts = saved(each.groupBy("context").agg(F.sum("n").alias("of")).where("of > 0"))
+    passages = contexts.agg(F.coalesce(F.sum("of"), F.lit(0))).first()[0]
+    hot = F.col("of") * HOT >= passages
+    known = each.join(F.broadcast(contexts.where(hot).withColumnRenamed("of", "hot")), "context", "left")  # HOT rows at most
+    rest = known.where("hot is null").drop("hot").join(contexts.where(~hot), "context").select("h", "n", "of")
+    known = saved(known.where("hot is not null").select("h", "n", F.col("hot").alias("of")).unionByName(rest))
+    digits = F.floor(F.log2(F.col("of") - 1.0)).cast("int").alias("digits")
+    weights = np.zeros(64)
+    for row in known.where("n > 0 and of > 1").groupBy(digits).agg(F.sum("n").alias("seen"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("met")).collect():  # 64 rows at most
+        weights[row["digits"]] = (row["met"] + 0.5) / (row["seen"] + 1)
+    told = listed.select("block", "h", F.col("n").alias("own")).join(known, "h").where("of > 1 or own = 0")
+    return told.select("block", "h", "n", "of"), weights
+
+
 def shape(unit: bytes) -> bytes:
     """A unit with its flag in front, its first run of letters replaced by the mark of their case."""
     found = _LETTERS.search(unit, 1)
@@ -240,7 +298,8 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
     which only sorts the training rows into groups and is no input of a score. Returns ``doc_id,
     n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte``,
     one row per input row. A null text is empty: its one token is the end. Without training
-    rows every token is unknown. Repeated rows are scored each on its own; bytes that
+    rows every token is unknown. Repeated rows are scored each on its own, and a repeated
+training row has seen its twin; bytes that
     are not UTF-8 count as replacement characters in words; other columns are ignored;
     an empty table gives none.
     """
@@ -262,7 +321,7 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
     doc_kind = dict(docs.dtypes)["doc_id"]
 
     def list_units(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, times, taught_by, places, buffers = [], [], [], [], []
+        keys, times, taught_by, places, buffers, seen = [], [], [], [], [], ([], [])
         side = pdf["g"].where(pdf["train"], -2)  # -2: teaches nothing, -1: is in no group
         for k in sorted(side.unique()):
             texts = pdf["text"][side == k].tolist()
@@ -274,19 +333,30 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
                 taught_by.append(np.full(len(own), k, np.int8))
                 places.append(np.stack([np.full(len(own), len(buffers)), starts[first], stops[first], begins[first]]))
                 buffers.append(raw)
+                _, context, passage, _ = passages(h, text_of([len(t) for t in texts[a:b]], stops))
+                seen[int(k > -2)].append((context, passage))
         own, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         times, taught_by = np.concatenate(times), np.concatenate(taught_by)
         n = np.stack([np.bincount(which[taught_by == k], times[taught_by == k], len(own)).astype(np.int32) for k in (-1, *groups)])
         units = [bytes([flag]) + buffers[i][a:b] for i, a, b, flag in np.concatenate(places, axis=1)[:, first].T.tolist()]
-        return pd.DataFrame({"block": np.full(len(own), pdf["block"].iloc[0], np.int32), "h": own.view(np.int64), "unit": units, "n": n.sum(axis=0, dtype=np.int32)} | {f"g{k}": n[k + 1] for k in groups})
-
-    listed = saved(rows.groupBy("block").applyInPandas(list_units, "block int, h long, unit binary, n int" + "".join(f", g{k} int" for k in groups)))
+        out = [pd.DataFrame({"h": own.view(np.int64), "unit": units, "context": 0, "n": n.sum(axis=0, dtype=np.int32)} | {f"g{k}": n[k + 1] for k in groups})]
+        for taught, found in enumerate(seen):
+            if found:
+                context, passage = map(np.concatenate, zip(*found, strict=True))
+                own, first, count = np.unique(passage, return_index=True, return_counts=True)
+                out.append(pd.DataFrame({"h": own.view(np.int64), "unit": None, "context": context[first].view(np.int64), "n": (count * taught).astype(np.int32)} | {f"g{k}": np.int32(0) for k in groups}))
+        return pd.concat(out, ignore_index=True).assign(block=pdf["block"].iloc[0])
+
+    # units, and passages with a null in place of the unit
+    both = saved(rows.groupBy("block").applyInPandas(list_units, "block int, h long, unit binary, context long, n int" + "".join(f", g{k} int" for k in groups)))
+    told, match_weights = matches(both.where("unit is null").select("block", "context", "h", "n"))
+    listed = both.where("unit is not null").drop("context")
     by_group = [F.sum(f"g{k}").alias(f"g{k}") for k in groups]
     units = listed.groupBy("h").agg(F.first("unit").alias("unit"), F.sum("n").alias("n"), *by_group)
     body = F.make_valid_utf8(F.substring("unit", 2, F.octet_length("unit") - 2).cast("string"))
-    by_word = W.partitionBy("word")  # the spellings of one word
-    units = units.withColumn("word", ascii_lower(body)).withColumn("c", F.sum("n").over(by_word)).withColumn("lead", F.min("h").over(by_word) == F.col("h"))
-    units = saved(units.select("h", "unit", "n", *(f"g{k}" for k in groups), "lead", F.when(F.col("word") == "", -1).otherwise(F.col("c")).alias("c"))).withColumn("core", core(body))  # the core isn't written: it follows from the unit
+    by_word = W.partitionBy("word")  # the spellings of one word, which goes by its hash
+    units = units.withColumn("word", F.xxhash64(ascii_lower(body))).withColumn("c", F.sum("n").over(by_word)).withColumn("lead", F.min("h").over(by_word) == F.col("h"))
+    units = saved(units.select("h", "unit", "n", *(f"g{k}" for k in groups), "lead", F.when(F.octet_length("unit") == 2, -1).otherwise(F.col("c")).alias("c"))).withColumn("core", core(body))  # the core isn't written: it follows from the unit
     known, tokens = units.where("lead and c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n_all, vocabulary = tokens + ends, known + (ends > 0)
     context = docs.sparkSession.sparkContext
@@ -305,33 +375,47 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
     often = frequent_from(units)
     scored = string_scores(units.select("h", "unit", "n", "c", "core"), shared, model, shapes=True).join(cores, "core", "left")
     scored = saved(scored.select("h", "n", "c", *((F.col("lp") + F.coalesce(f"core{k}", F.lit(0.0))).cast("float").alias(f"lp{k}") for k in parts)))
-    top = scored.where(F.col("n") >= often).drop("n").toPandas().sort_values("h")  # TOP rows at most
+    top = scored.where(F.col("n") >= often).drop("n").toArrow().sort_by("h")  # TOP rows at most
     scored = scored.where(F.col("n") < often).drop("n")
     columns = ("h", "c", *(f"lp{k}" for k in parts))
-    common = context.broadcast(tuple(top[k].to_numpy(np.float32 if k.startswith("lp") else np.int64) for k in columns))
+    common = context.broadcast(tuple(top[k].to_numpy() for k in columns))
     rare = listed.select("block", "h").join(F.broadcast(units.where(F.col("n") >= often).select("h")), "h", "left_anti")  # TOP rows at most
-    looked_up = rare.join(scored, "h")
+    looked_up = rare.join(scored, "h").withColumn("of", F.lit(0).cast("long"))
+    no_scores = (F.lit(0).cast("float").alias(f"lp{k}") for k in parts)
+    looked_up = looked_up.unionByName(told.select("block", "h", F.col("n").alias("c"), *no_scores, "of"))  # a passage's context has a count, a unit none
 
     def score_block(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        match = found[found["of"] > 0].sort_values("h")
+        matched, sights, of = (np.append(match[k].to_numpy(np.int64), 0) for k in ("h", "c", "of"))
+        found = found[found["of"] == 0]
         order = np.argsort(np.concatenate([common.value[0], found["h"].to_numpy(np.int64)]))
         keys, c, *lps = (np.concatenate([mine, found[k].to_numpy(mine.dtype)])[order] for mine, k in zip(common.value, columns, strict=True))
         base = np.log10((np.maximum(c, 0) + 1) / (n_all + vocabulary + 1))
         base[c < 0] = 0.0
         own, out = texts["text"].tolist(), []
+        teaches = texts["train"].to_numpy(np.int64)
         for a, b in chunks(own):
             h, starts, stops, *_ = unit_hashes(own[a:b])
             at = np.searchsorted(keys, h.view(np.int64))
-            # the unit that ends at a text's end mark closes the text; a mark within a text only ends a unit
-            doc = np.searchsorted(np.cumsum([len(t) + 1 for t in own[a:b]]), stops)
+            doc = text_of([len(t) for t in own[a:b]], stops)
             total = lambda v, doc=doc, n=b - a: np.bincount(doc, v, n)
-            out.append(np.stack([total(c[at] >= 0) + 1, total(c[at] > 0) + (ends > 0), total(base[at]) + np.log10((ends + 1) / (n_all + vocabulary + 1)), *(total(lp[at]) for lp in lps)]))
+            passage, _, key, where = passages(h, doc)
+            place = np.searchsorted(matched[:-1], key.view(np.int64))
+            told = matched[place] == key.view(np.int64)
+            own_sight = teaches[a:b][where]
+            n, n_context = (np.where(told, np.maximum(v[place] - own_sight, 0), 0) for v in (sights, of))
+            weight = np.where(n_context > 0, match_weights[np.log2(np.maximum(n_context, 1)).astype(np.int64)], 0.0)
+            with np.errstate(divide="ignore"):
+                by_match, by_units = np.log(weight * n / np.maximum(n_context, 1)), np.log(1 - weight)
+            total_of = lambda lp, passage=passage, where=where, by_match=by_match, by_units=by_units, n=b - a: np.bincount(where, np.logaddexp(by_match, by_units + np.bincount(passage, lp) * np.log(10)) / np.log(10), n)
+            out.append(np.stack([total(c[at] >= 0) + 1, total(c[at] > 0) + (ends > 0), total(base[at]) + np.log10((ends + 1) / (n_all + vocabulary + 1)), *(total_of(lp[at]) for lp in lps)]))
         m = np.concatenate(out, axis=1) if out else np.zeros((3 + len(lps), 0))
         each = m[3:] + shares[:, None]  # the mixture over the groups and all rows
         top = each.max(axis=0)
         score = top + np.log10((10 ** (each - top)).sum(axis=0))
         return pd.DataFrame({"doc_id": texts["doc_id"].to_numpy(), "n_tokens": m[0].astype(np.int64), "n_known": m[1].astype(np.int64), "base_score": m[2], "score": score, "n_bytes": [len(t) for t in own]})
 
-    groups = rows.select("doc_id", "text", "block").groupBy("block").cogroup(looked_up.groupBy("block"))
+    groups = rows.select("doc_id", "text", "train", "block").groupBy("block").cogroup(looked_up.groupBy("block"))
     out = groups.applyInPandas(score_block, "doc_id string, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = -F.col("score") / F.log10(F.lit(2.0)) / F.greatest(F.lit(1), F.col("n_bytes"))
     return out.withColumn("doc_id", F.col("doc_id").cast(doc_kind)).withColumn("train_tokens", F.lit(n_all).cast("long")).withColumn("bits_per_byte", bits)

@@ -293,6 +293,38 @@ def test_lm_score(spark):
     assert zlib.crc32(b"12") % 7 == spark.range(12, 13).select(F.crc32(F.col("id").cast("string").cast("binary")) % 7).first()[0]
 
 
+def test_lm_passages():
+    """Passages of units against a loop: the same borders and contexts, and equal hashes for equal contexts and units alone."""
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 63, 40, dtype=np.uint64)[rng.integers(0, 40, 6000)]
+    h[3000:3400] = h[:400]
+    text = np.repeat(np.arange(5), [3000, 2, 998, 1, 1999])
+    which, context, own, where = lm_score.passages(h, text)
+    seen, start, before = {}, 0, ()
+    for i in range(len(h)):
+        closes = i + 1 == len(h) or text[i + 1] != text[i]
+        if closes or (i + 1 < len(h) and which[i + 1] != which[i]):
+            p = which[i]
+            assert set(which[start : i + 1]) == {p} and where[p] == text[i]
+            seen.setdefault((before, tuple(h[start : i + 1])), set()).add(own[p])
+            assert (context[p] == 0) == (before == ())
+            before, start = (() if closes else tuple(h[i + 1 - lm_score.LAST : i + 1])), i + 1
+    hashes = [x for v in seen.values() for x in v]
+    assert all(len(v) == 1 for v in seen.values()) and len(set(hashes)) == len(hashes) == len(set(own)) and 60 < len(own) < 150
+    assert [len(x) for x in lm_score.passages(h[:0], text[:0])] == [0, 0, 0, 0]
+
+
+def test_lm_repeats(spark):
+    """A repeated training text and a held-out copy of one are told from texts that occur once; a text's own sight doesn't help it."""
+    rows = [(i, prose(i, 120), i % 7 != 0) for i in range(60)] + [(100, prose(3, 120), True), (101, prose(5, 120), False), (102, prose(7, 120), False)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {r["doc_id"]: r for r in lm_score.score_documents(d).collect()}
+    copies, once = (3, 100, 101), [r["bits_per_byte"] for i, r in got.items() if i not in (3, 5, 7, 100, 101, 102)]
+    assert max(got[i]["bits_per_byte"] for i in copies) < 0.7 * min(once)
+    # the sight of 5 that is left in is its own; both sights of 7 teach nothing
+    assert got[5]["bits_per_byte"] > 0.8 * min(once) and got[7]["score"] == got[102]["score"] and got[7]["bits_per_byte"] > 0.8 * min(once)
+
+
 def test_lm_groups(spark):
     rows = [(i, (prose(i, 60) if i % 2 else " ".join(f"mot{j}" for j in np.random.default_rng(i).integers(0, 90, 60))), ("en", "fr")[1 - i % 2] if i % 9 else None, i % 4 != 0) for i in range(80)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, train boolean")
