@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame
 
-_written: list[tuple] = []
+_written: WeakKeyDictionary[DataFrame, tuple] = WeakKeyDictionary()
+_left: list[tuple] = []
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -20,7 +22,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the folder of ``spark.checkpoint.dir`` and read it.
 
     Unlike a checkpoint, a table has statistics, so that small ones are broadcast.
@@ -36,14 +38,27 @@ def saved(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
-    _written.append((context, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _left.append((context, path))
+    df.write.parquet(path, compression=codec)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = (context, path)
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` returned, once all that still runs reads other saved tables in their place."""
+    for table in tables:
+        _delete(*_written.pop(table))
+
+
+def _delete(context, path: str) -> None:
+    if context._jsc is not None and (context, path) in _left:
+        _left.remove((context, path))
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for context, path in _written:
-        if context._jsc is not None:
-            folder = context._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    for context, path in list(_left):
+        _delete(context, path)
