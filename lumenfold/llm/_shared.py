@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.sources.tables import saved
+from lumenfold.sources.tables import dropped, saved
 
-__all__ = ["ascii_lower", "bound", "connected_components", "crc_mod", "saved", "size_of", "table", "unused"]
+__all__ = ["ascii_lower", "bound", "connected_components", "crc_mod", "dropped", "saved", "size_of", "table", "unused"]
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -39,8 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenfold.llm._shared import ascii_lower, crc_mod, saved
-from lumenfold.llm._words import _BYTE, _SPACE, _STEP, U, chunks, mix, powers
+from lumenfold.llm._shared import ascii_lower, crc_mod, dropped, saved
+from lumenfold.llm._words import _BYTE, _SPACE, _STEP, PIECE, U, chunks, mix, powers
 
 #: bits of a slot number by context: none, one, two, three bytes, the whole prefix
 ORDER_BITS = (16, 18, 19, 20, 21)
@@ -57,7 +57,7 @@ DISCOUNT, CORE, CASES = 0.75, b"\x02", (b"\xf8", b"\xf9", b"\xfa", b"\xfb")
 #: the most common values of the grouping column, so many at most, are groups of their own; the counts of all rows serve the others
 GROUPS = 4
 #: units of a passage's context, and units of a passage on average
-LAST, PASSAGE = 4, 64
+LAST, PASSAGE = 4, 128
 #: contexts with at least one in so many of all passages, at most so many contexts, are broadcast; the others are joined
 HOT = 8192
 _LETTERS, _BEGIN = re.compile(rb"[A-Za-z\x80-\xf7]+"), np.isin(np.arange(256), list(b".!?"))
@@ -348,7 +348,7 @@ training row has seen its twin; bytes that
         return pd.concat(out, ignore_index=True).assign(block=pdf["block"].iloc[0])
 
     # units, and passages with a null in place of the unit
-    both = saved(rows.groupBy("block").applyInPandas(list_units, "block int, h long, unit binary, context long, n int" + "".join(f", g{k} int" for k in groups)))
+    both = saved(rows.groupBy("block").applyInPandas(list_units, "block int, h long, unit binary, context long, n int" + "".join(f", g{k} int" for k in groups)), "zstd")
     told, match_weights = matches(both.where("unit is null").select("block", "context", "h", "n"))
     listed = both.where("unit is not null").drop("context")
     by_group = [F.sum(f"g{k}").alias(f"g{k}") for k in groups]
@@ -356,15 +356,17 @@ training row has seen its twin; bytes that
     body = F.make_valid_utf8(F.substring("unit", 2, F.octet_length("unit") - 2).cast("string"))
     by_word = W.partitionBy("word")  # the spellings of one word, which goes by its hash
     units = units.withColumn("word", F.xxhash64(ascii_lower(body))).withColumn("c", F.sum("n").over(by_word)).withColumn("lead", F.min("h").over(by_word) == F.col("h"))
-    units = saved(units.select("h", "unit", "n", *(f"g{k}" for k in groups), "lead", F.when(F.octet_length("unit") == 2, -1).otherwise(F.col("c")).alias("c"))).withColumn("core", core(body))  # the core isn't written: it follows from the unit
+    written = saved(units.select("h", "unit", "n", *(f"g{k}" for k in groups), "lead", F.when(F.octet_length("unit") == 2, -1).otherwise(F.col("c")).alias("c")), "zstd")
+    units = written.withColumn("core", core(body))  # the core isn't written: it follows from the unit
     known, tokens = units.where("lead and c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n_all, vocabulary = tokens + ends, known + (ends > 0)
     context = docs.sparkSession.sparkContext
     strings = F.concat(F.lit(CORE), F.encode("core", "UTF-8"), F.lit(END)).alias("unit")
     cores = units.where("core <> ''").groupBy("core").agg(F.sum("n").alias("n"), *by_group).select("core", "n", *(f"g{k}" for k in groups), strings)
-    cores = saved(cores)
+    cores = written_cores = saved(cores)
     facts = cores.agg(*(x for c in ("n", *(f"g{k}" for k in groups)) for x in (F.count_if(F.col(c) > 0).alias(f"{c}_kinds"), F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_seen")))).first()
-    taught = saved(shape_counts(units.where("n > 0"))).unionByName(cores.where("n > 0").select("unit", F.lit(1).cast("long").alias("n")))
+    shapes = saved(shape_counts(units.where("n > 0")))
+    taught = shapes.unionByName(cores.where("n > 0").select("unit", F.lit(1).cast("long").alias("n")))
     shared = context.broadcast(tables(taught))  # 2 x SLOTS numbers
     model = context.broadcast(mixer(taught, shared))
     by_bits = F.pow(F.lit(10.0), F.greatest("lp", F.lit(-250.0)))
@@ -375,26 +377,30 @@ training row has seen its twin; bytes that
     often = frequent_from(units)
     scored = string_scores(units.select("h", "unit", "n", "c", "core"), shared, model, shapes=True).join(cores, "core", "left")
     scored = saved(scored.select("h", "n", "c", *((F.col("lp") + F.coalesce(f"core{k}", F.lit(0.0))).cast("float").alias(f"lp{k}") for k in parts)))
+    dropped(written, written_cores, shapes)  # what follows reads the scores
+    frequent = F.broadcast(scored.where(F.col("n") >= often).select("h"))  # TOP rows at most
     top = scored.where(F.col("n") >= often).drop("n").toArrow().sort_by("h")  # TOP rows at most
     scored = scored.where(F.col("n") < often).drop("n")
     columns = ("h", "c", *(f"lp{k}" for k in parts))
     common = context.broadcast(tuple(top[k].to_numpy() for k in columns))
-    rare = listed.select("block", "h").join(F.broadcast(units.where(F.col("n") >= often).select("h")), "h", "left_anti")  # TOP rows at most
-    looked_up = rare.join(scored, "h").withColumn("of", F.lit(0).cast("long"))
-    no_scores = (F.lit(0).cast("float").alias(f"lp{k}") for k in parts)
-    looked_up = looked_up.unionByName(told.select("block", "h", F.col("n").alias("c"), *no_scores, "of"))  # a passage's context has a count, a unit none
+    rare = listed.select("block", "h").join(frequent, "h", "left_anti")
+    # rows of passages have -2 - their count in place of a word's, which is -1 or more, and their context's count in place of the scores
+    counts = (F.col("of").cast("float").alias(f"lp{k}") for k in parts)
+    looked_up = rare.join(scored, "h").unionByName(told.select("block", "h", (-2 - F.col("n")).alias("c"), *counts))
 
     def score_block(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        match = found[found["of"] > 0].sort_values("h")
-        matched, sights, of = (np.append(match[k].to_numpy(np.int64), 0) for k in ("h", "c", "of"))
-        found = found[found["of"] == 0]
-        order = np.argsort(np.concatenate([common.value[0], found["h"].to_numpy(np.int64)]))
-        keys, c, *lps = (np.concatenate([mine, found[k].to_numpy(mine.dtype)])[order] for mine, k in zip(common.value, columns, strict=True))
+        match = np.flatnonzero(found["c"].to_numpy(np.int64) < -1)
+        match = match[np.argsort(found["h"].to_numpy(np.int64)[match])]
+        matched, sights, of = (np.append(found[k].to_numpy(np.int64)[match], 0) for k in columns[:3])
+        unit = np.append(np.ones(len(common.value[0]), bool), found["c"].to_numpy(np.int64) >= -1)
+        order = np.argsort(np.append(common.value[0], found["h"].to_numpy(np.int64)))
+        order = order[unit[order]]
+        keys, c, *lps = (np.append(mine, found[k].to_numpy(mine.dtype))[order] for mine, k in zip(common.value, columns, strict=True))
         base = np.log10((np.maximum(c, 0) + 1) / (n_all + vocabulary + 1))
         base[c < 0] = 0.0
         own, out = texts["text"].tolist(), []
         teaches = texts["train"].to_numpy(np.int64)
-        for a, b in chunks(own):
+        for a, b in chunks(own, PIECE):
             h, starts, stops, *_ = unit_hashes(own[a:b])
             at = np.searchsorted(keys, h.view(np.int64))
             doc = text_of([len(t) for t in own[a:b]], stops)
@@ -403,7 +409,7 @@ training row has seen its twin; bytes that
             place = np.searchsorted(matched[:-1], key.view(np.int64))
             told = matched[place] == key.view(np.int64)
             own_sight = teaches[a:b][where]
-            n, n_context = (np.where(told, np.maximum(v[place] - own_sight, 0), 0) for v in (sights, of))
+            n, n_context = (np.where(told, np.maximum(v[place] - own_sight, 0), 0) for v in (-2 - sights, of))
             weight = np.where(n_context > 0, match_weights[np.log2(np.maximum(n_context, 1)).astype(np.int64)], 0.0)
             with np.errstate(divide="ignore"):
                 by_match, by_units = np.log(weight * n / np.maximum(n_context, 1)), np.log(1 - weight)
