@@ -296,9 +296,9 @@ def test_lm_score(spark):
 def test_lm_passages():
     """Passages of units against a loop: the same borders and contexts, and equal hashes for equal contexts and units alone."""
     rng = np.random.default_rng(4)
-    h = rng.integers(0, 1 << 63, 40, dtype=np.uint64)[rng.integers(0, 40, 6000)]
-    h[3000:3400] = h[:400]
-    text = np.repeat(np.arange(5), [3000, 2, 998, 1, 1999])
+    h = rng.integers(0, 1 << 63, 40, dtype=np.uint64)[rng.integers(0, 40, 12000)]
+    h[8001:8801] = h[:800]
+    text = np.repeat(np.arange(5), [6000, 2, 1998, 1, 3999])
     which, context, own, where = lm_score.passages(h, text)
     seen, start, before = {}, 0, ()
     for i in range(len(h)):
