@@ -111,7 +111,8 @@ def _cut(texts: list[bytes]) -> list[tuple[int, bytes]]:
                 end = later.start() if later else len(t)
             out.append((i, t[start:end]))
             start = end + 1
-        out.append((i, t[start:]))
+        if start <= len(t):
+            out.append((i, t[start:]))
     return out
 
 
