@@ -32,8 +32,8 @@ from lumenfold.llm._words import _BYTE, U, mix, pieces, powers
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: bits of the table that tells frequent fingerprints: parts, bits of a part
 PARTS, PART_BITS = 256, 1 << 20
-#: bytes of text that are hashed at once, fingerprints or phrases that a task holds before it counts or emits them
-PIECE, HELD = 1 << 21, 1 << 22
+#: bytes of text that are hashed at once; fingerprints that a task holds before it counts them, phrases before it emits them
+PIECE, HELD, SPELT = 1 << 19, 1 << 20, 1 << 17
 #: groups of a language's phrases that are ranked on their own first
 SALTS = 64
 #: fixed values: what ends a piece, what else ends a word
@@ -245,7 +245,7 @@ def _spelt(texts: DataFrame, shared) -> DataFrame:
                     own = ids[first[:, None] + np.arange(n)].tolist()
                     for lang, x, c in zip(w.lang[first].tolist(), own, count.tolist(), strict=True):
                         held[lang, b" ".join([spelt[i] for i in x]), n] += c
-            if len(held) >= HELD // 8:
+            if len(held) >= SPELT:
                 yield flush()
         if held:
             yield flush()
@@ -266,11 +266,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     for orders, below in (((1,), 0), ((2,), 1), ((3, 4), 2)):
         counted = _counted(texts, orders, below, shared)
         counted = saved(counted.where(f"n >= {least} or f is null"))
+        if shared is not None:
+            shared.destroy()  # what it was for is written
         words = counted.where("f is null").select("lang", "n") if words is None else words
         own = bit_table(counted.where("f is not null"))
         table |= own
         shared = context.broadcast(own)  # PARTS x PART_BITS bits
-    return saved(_spelt(texts, context.broadcast(table)).where(f"f >= {least}")), words
+    shared.destroy()
+    shared = context.broadcast(table)
+    frequent = saved(_spelt(texts, shared).where(f"f >= {least}"))
+    shared.destroy()
+    return frequent, words
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
