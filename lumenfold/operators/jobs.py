@@ -6,15 +6,16 @@ import os
 import subprocess
 import tempfile
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.config import EngineConfig
-from lumenfold.operators import harmonics, periodogram, phase
-from lumenfold.sources.tables import saved
+from lumenfold.operators import periodogram, phase, spectrum, stats
+from lumenfold.sources.tables import saved, spread
 
 
 def period_windows(periods: DataFrame, pmin: float, pmax: float, tol: float = 0.1) -> DataFrame:
@@ -179,38 +180,76 @@ def quality_table(epochs: DataFrame, fd: DataFrame, cfg: EngineConfig, n_grid: i
     )
 
 
-def _uniform(*columns: Column) -> Column:
-    """A number in (0, 1) that depends on the columns alone."""
-    return (F.pmod(F.xxhash64(*columns), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+TRIALS = 250  # of a block
 
 
-def _normal(name: str, *columns: Column) -> Column:
-    return F.sqrt(-2 * F.ln(_uniform(F.lit(f"{name} radius"), *columns))) * F.cos(2 * np.pi * _uniform(F.lit(f"{name} angle"), *columns))
+def _block(cfg: EngineConfig, seed: int, sigma: float, snr: float):
+    """The trials of one source, template and block: curves are drawn, searched and dropped in the task.
 
+    Philox counters make the numbers of a trial depend on seed, source, template and
+    trial alone. The times are those of the source, so all trials share their trigonometric sums.
+    """
 
-def injection_recovery(epochs: DataFrame, templates: list[tuple[str, list[float], list[float]]], cfg: EngineConfig, periods: int = 2, repeats: int = 1, seed: int = 0, sigma: float = 0.1, level: float = 15.0) -> DataFrame:
+    def run(row: dict, curve: spectrum.Curve) -> list[tuple]:
+        key = np.frombuffer(blake2b(f"{seed}|{row['source_id']}|{row['template']}".encode(), digest_size=16).digest(), np.uint64)
+        trials = range(row["first"], row["last"])
+        error = np.maximum(1 / np.sqrt(curve.w), cfg.err_floor)
+        band = np.empty(len(curve.t), int)
+        for b, s in curve.parts:
+            band[s] = b
+        sizes = dict(row["amplitudes"])
+        own = [sizes.get(b) for b in row["bands"]]
+        sure = [a for a in own if a and np.isfinite(a)]
+        drawn, values = [], np.empty((len(curve.t), len(trials)))
+        j = 2 * np.pi * np.arange(1, len(row["A"]) + 1)
+        for i, trial in enumerate(trials):
+            rng = np.random.Generator(np.random.Philox(key=key, counter=[0, 0, 0, trial]))
+            period = float(np.exp(rng.uniform(np.log(cfg.pmin), np.log(cfg.pmax))))
+            epoch, scale = float(rng.uniform(0, period)), float(np.exp(sigma * rng.standard_normal()))
+            amplitude = np.array([a * scale if a and np.isfinite(a) else sure[0] * scale if sure else 1.0 for a in own])
+            shape = np.cos(j * ((curve.t - epoch) / period)[:, None] - row["Q"]) @ np.array(row["A"])
+            values[:, i] = amplitude[band] * shape + error * rng.standard_normal(len(curve.t))
+            drawn.append((trial, period, epoch + row["t0"], scale))
+        weighted = curve.w[:, None] * values
+        sums = [np.zeros((curve.bands, len(trials))) for _ in range(2)]
+        for b, s in curve.parts:
+            sums[0][b] += weighted[s].sum(0)
+            sums[1][b] += (weighted[s] * values[s]).sum(0)
+        grid = np.concatenate([spectrum.power(curve.totals, *x, sums=sums) for _, *x in curve.blocks(row["fmin"], row["df"], row["nf"], values)])
+        best = [spectrum.significant(np.nan_to_num(grid[:, i]), snr, 1) for i in range(len(trials))]
+        some = np.array([i for i, (at, _, _) in enumerate(best) if len(at)], int)
+        found = {}
+        if len(some):
+            f = row["fmin"] + row["df"] * np.array([best[i][0][0] for i in some])
+            values, sums = values[:, some], [x[:, some] for x in sums]
+            close = periodogram.near(f, row["df"], cfg.pmin, cfg.pmax)
+            f = np.where(row["df"] / f > cfg.period_tol, spectrum.refined(close, curve.own_power(close, values, sums)), f)
+            z = curve.own_power(f[:, None], values, sums)[:, 0]
+            found = {int(i): (1 / x, v) for i, x, v in zip(some, f.tolist(), z.tolist(), strict=True) if v > 3 * best[i][2]}
+        out = []
+        for i, (trial, period, epoch, scale) in enumerate(drawn):
+            p, z = found.get(i, (None, None))
+            out.append((row["template"], trial, period, epoch, scale, p, z, None if p is None else (p - period) / period))
+        return out
+
+    return run
+
+
+def injection_recovery(epochs: DataFrame, templates: list[tuple[str, list[float], list[float]]], cfg: EngineConfig, periods: int = 200, repeats: int = 5, seed: int = 0, sigma: float = 0.1, snr: float = 3.0) -> DataFrame:
     """Synthetic curves on each source's own sampling: known period, found period and relative error.
 
-    ``periods`` times ``repeats`` trials of every source and template; all numbers come
-    from hashes of seed, source, template and trial, so reruns agree on any cluster. A
-    trial without a significant peak has a null period. Times are shared, only the trial's
-    few numbers are sent to a source's points.
+    ``periods`` times ``repeats`` trials of every source and template (``name, A, Q``), each with a period drawn
+    log-uniformly from the range, an epoch, the source's own amplitudes by band (from clipped
+    points; a band without one takes the first other band's) times a log-normal factor, and noise. What is sent to
+    a task is a source's points once for each template and block of ``TRIALS`` trials; nothing of
+    the curves is written. Reruns agree on any cluster. A trial without a significant peak has a null period.
     """
+    points = epochs.where(F.col("band").isin(*cfg.activated))
+    sized = stats.amplitude(stats.sigma_clip(points, 3.0)).groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("band", "amp"))).alias("amplitudes"))
     kinds = F.array(*(F.struct(F.lit(n).alias("template"), F.array(*map(F.lit, a)).alias("A"), F.array(*map(F.lit, q)).alias("Q")) for n, a, q in templates))
-    span = epochs.groupBy("source_id").agg((F.max("t") - F.min("t")).alias("span")).where("span > 0")
-    tasks = span.withColumn("x", F.explode(kinds)).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(periods * repeats - 1)))).select("source_id", "span", "x.*", "trial")
-    own = [F.lit(seed), F.col("source_id").cast("string"), F.col("template"), F.floor(F.col("trial") / repeats)]
-    low, high = F.lit(2.0 * cfg.pmin), F.greatest(F.least(F.lit(cfg.pmax), F.col("span") / 3), F.lit(2.0 * cfg.pmin))
-    tasks = tasks.withColumn("P_true", F.exp(F.ln(low) + (F.ln(high) - F.ln(low)) * _uniform(F.lit("period"), *own)))
-    own = [*own[:3], F.col("trial")]
-    tasks = tasks.withColumn("E_true", F.col("P_true") * _uniform(F.lit("epoch"), *own)).withColumn("ampl_scale", F.exp(sigma * _normal("scale", *own)))
-    tasks = saved(tasks.withColumn("task", F.concat_ws("|", F.col("source_id").cast("string"), "template", F.col("trial").cast("string"))))
-    rows = epochs.where(F.col("band").isin(*cfg.activated)).join(tasks.drop("span"), "source_id")
-    phi = phase.phase(F.col("t"), F.col("P_true"), F.col("E_true"))
-    h = harmonics.template_arrays(phi, F.zip_with("A", "Q", lambda a, q: a * F.cos(q)), F.zip_with("A", "Q", lambda a, q: a * F.sin(q)))
-    error = F.greatest("emag", F.lit(cfg.err_floor))
-    mag = level + F.col("ampl_scale") * h + error * _normal("noise", *own, F.col("band"), F.col("ord"))
-    curves = saved(rows.select(F.col("task").alias("source_id"), "band", "t", mag.alias("mag"), error.alias("emag"), "ord"))
-    found = periodogram.search_periods(curves, cfg).groupBy("source_id").agg(F.max_by(F.struct("P", "Z"), F.struct("Z", -F.col("cand"))).alias("best"))
-    out = tasks.join(found.withColumnRenamed("source_id", "task"), "task", "left")
-    return out.select("source_id", "template", "trial", "P_true", "E_true", "ampl_scale", F.col("best.P").alias("P_recon"), F.col("best.Z").alias("Z_recon"), ((F.col("best.P") - F.col("P_true")) / F.col("P_true")).alias("rel_err"))
+    count = periods * repeats
+    blocks = F.sequence(F.lit(0), F.lit(count - 1), F.lit(TRIALS))
+    rows = periodogram.curves(points, cfg.n0, cfg.pmin, cfg.pmax, points=1 << 40).join(sized, "source_id")
+    tasks = rows.withColumn("x", F.explode(kinds)).withColumn("first", F.explode(blocks)).withColumn("last", F.least(F.col("first") + TRIALS, F.lit(count)))
+    tasks = tasks.select("*", "x.*").drop("x")
+    return periodogram.over_curves(spread(tasks, "source_id", "template", "first"), "template string, trial int, P_true double, E_true double, ampl_scale double, P_recon double, Z_recon double, rel_err double", _block(cfg, seed, sigma, snr))

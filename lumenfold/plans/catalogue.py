@@ -185,7 +185,7 @@ _AT = f"{_GRID}, fr as (select source_id, k, fmin+k*df f from gn, lateral (selec
 @query(f"EP, {_AT}, b as (select source_id, band, k, sum(cos(x)) c, sum(sin(x)) s from xf group by 1,2,3), p as (select source_id, k, sum(c*c+s*s) p from b group by 1,2) select source_id, k, round(p/max(p) over (partition by source_id),5) wpower from p")
 def window_power(spark, d):
     x = src.event_epochs(spark, d)
-    return _r(periodogram.window_power(x, periodogram.grids(x, 2, PMIN)), "wpower", digits=5).select("source_id", "k", "wpower")
+    return _r(periodogram.window_power(x, 2, PMIN), "wpower", digits=5).select("source_id", "k", "wpower")
 
 
 _GLS = f"""{_GRID}, w1 as (select *, 1/(emag*emag) w0, count(*) over (partition by source_id, band) n from ep), w2 as (select *, sum(w0) over (partition by source_id, band) wt from w1 where n >= 4),
@@ -196,14 +196,13 @@ _GLS = f"""{_GRID}, w1 as (select *, 1/(emag*emag) w0, count(*) over (partition
  pw as (select source_id, k, f, sum(wt*yy*p)/sum(wt*yy) power from pb group by 1,2,3)"""
 
 
-def _gls(spark, d):
-    x = src.event_epochs(spark, d)
-    return periodogram.gls(x, periodogram.grids(x, 2, PMIN))
+def _spectra(spark, d):
+    return periodogram.spectra(periodogram.curves(src.event_epochs(spark, d), 2, PMIN))
 
 
 @query(f"EP, {_GLS} select source_id, k, round(power,5) power from pw")
 def gls_periodogram(spark, d):
-    return _r(_gls(spark, d), "power", digits=5).select("source_id", "k", "power")
+    return _r(periodogram.gls(src.event_epochs(spark, d), 2, PMIN), "power", digits=5).select("source_id", "k", "power")
 
 
 _TOP = f"{_GLS}, pk as (select *, lag(power) over (partition by source_id order by k) a, lead(power) over (partition by source_id order by k) b from pw), tp as (select source_id, f, power, row_number() over (partition by source_id order by power desc, f desc) rank from pk where power > a and power > b)"
@@ -211,13 +210,13 @@ _TOP = f"{_GLS}, pk as (select *, lag(power) over (partition by source_id order
 
 @query(f"EP, {_TOP} select source_id, round(1/f,6) period, round(power,5) power, cast(rank as int) rank from tp where rank <= 5")
 def ls_topk(spark, d):
-    x = _r(periodogram.top_peaks(_gls(spark, d)), "period")
+    x = _r(periodogram.top_peaks(_spectra(spark, d)), "period")
     return _r(x, "power", digits=5).select("source_id", "period", "power", "rank")
 
 
 @query(f"EP, {_TOP} select source_id, round(1/f,6) period from tp where rank = 1")
 def best_period(spark, d):
-    x = periodogram.top_peaks(_gls(spark, d)).groupBy("source_id").agg(F.max_by("period", F.struct("power", "f")).alias("period"))
+    x = periodogram.top_peaks(_spectra(spark, d)).groupBy("source_id").agg(F.max_by("period", F.struct("power", "f")).alias("period"))
     return _r(x, "period")
 
 
@@ -243,9 +242,20 @@ def alias_mask(spark, d):
     return _periods(spark, d).select("source_id", periodogram.alias_mask(1 / F.col("period"), F.lit(0.05), 1.0, 2, 0.02).alias("masked"))
 
 
-@query(f"EP, {_GLS}, md as (select source_id, k, list(power) over (partition by source_id order by k rows between 100 preceding and 100 following) a from pw), m2 as (select source_id, k, a, list_median(a) mid from md) select source_id, k, round(greatest(1e-6, mid + 1.4826e0*list_median(list_transform(a, lambda v: abs(v-mid)))),5) background from m2")
+_ARRAYS = f"{_GLS}, ar as (select source_id, count(*) nf, list(power order by k) a from pw group by 1), ix as (select source_id, unnest(range(nf)) k, nf, a from ar)"
+_WINDOW = "list_median(list_transform(range(-100,101), lambda j: {0}[1+greatest(0,least(nf-1,k+j))]))"
+
+
+@query(f"EP, {_ARRAYS}, mb as (select source_id, k, nf, a[k+1] p, {_WINDOW.format('a')} bg from ix), dv as (select source_id, list(abs(p-bg) order by k) d from mb group by 1) select source_id, k, round(bg,5) bg, round(greatest(1e-6, 1.4826e0*{_WINDOW.format('d')}),5) sig from mb join dv using(source_id)")
 def local_background(spark, d):
-    return _r(periodogram.local_background(_gls(spark, d).select("source_id", "k", "power")), "background", digits=5)
+    return _r(periodogram.local_background(_spectra(spark, d)), "bg", "sig", digits=5)
+
+
+@query(f"""EP, {_ARRAYS}, pk as (select source_id, k, nf, a, a[k+1] p from ix where k > 0 and k < nf-1 and a[k+1] > a[k] and a[k+1] > a[k+2]),
+ lr as (select *, coalesce(list_max(list_filter(range(0,k), lambda j: a[j+1] > p)),-1) l, coalesce(list_min(list_filter(range(k+1,nf), lambda j: a[j+1] > p)),nf) r from pk)
+ select source_id, k, round(p,5) height, round(p-greatest(list_min(a[l+2:k+1]),list_min(a[k+1:r])),5) prominence from lr""")
+def peak_prominence(spark, d):
+    return _r(periodogram.peak_prominences(_spectra(spark, d)), "height", "prominence", digits=5)
 
 
 _GROUPED = "with q as (select s_nationkey source_id, log10(0.3e0+abs(s_acctbal::double)/100) x from supplier)"
@@ -523,4 +533,5 @@ def rrfit_plan(spark, d):
 
 @query()
 def mc_alias(spark, d):
+    """200 periods x 5 repeats for each source and template."""
     return jobs.injection_recovery(src.event_epochs(spark, d), TEMPLATES, CONFIG)
