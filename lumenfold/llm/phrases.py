@@ -2,13 +2,14 @@
 
 Rabin-Karp fingerprints: within a task, prefix polynomials over the bytes give every
 word a hash, and prefix polynomials over the words give every n-gram of a piece of
-text a fingerprint, all in NumPy. Tasks count fingerprints before the shuffle adds them
+text a fingerprint, all in NumPy; a second polynomial of other numbers gives it a check.
+Tasks count fingerprints, with a pointer to one occurrence, before the shuffle adds them
 up. An n-gram can be frequent only if its parts are, so the rounds (words, pairs, three
 and four words) count only what the frequent fingerprints of the round before leave; these are
 told to the tasks by a bit table of a fixed size, whose errors let too much through, never too
-little. The last round finds what is frequent again, with a pointer to the first occurrence
-in the task: each further occurrence is compared with it word by word, words are compared
-byte by byte, and only there does a phrase become text; its count is that of the text, so no collision counts.
+little. The last round reads the texts once more: it compares the occurrences of what is
+frequent word by word, and words byte by byte, so that a collision is found, and turns into text
+only what a pointer names: each frequent phrase, once.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -27,47 +29,64 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.llm._shared import saved
-from lumenfold.llm._words import _BYTE, U, mix, pieces, powers
+from lumenfold.llm._words import _BYTE, _STEP, U, mix, pieces, powers, ranges
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: bits of the table that tells frequent fingerprints: parts, bits of a part
 PARTS, PART_BITS = 256, 1 << 20
-#: bytes of text that are hashed at once; fingerprints that a task holds before it counts them, phrases before it emits them
-PIECE, HELD, SPELT = 1 << 19, 1 << 20, 1 << 17
+#: bytes of text that are hashed at once; fingerprints that a task holds before it counts them
+PIECE, HELD = 1 << 19, 1 << 20
 #: groups of a language's phrases that are ranked on their own first
 SALTS = 64
 #: fixed values: what ends a piece, what else ends a word
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _ENDS_PIECE = np.isin(np.arange(256), list(BREAKS))
 _ENDS_WORD = _ENDS_PIECE | np.isin(np.arange(256), list(BLANKS))
+#: numbers of the second polynomial
+_OTHER = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _BREAK = re.compile(b"[" + re.escape(BREAKS) + b"]")
 
 
+def _polynomial(values: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Prefix sums of ``values`` times powers; those of a run follow from two of them."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(numbers * powers(len(values) + 1)[0][: len(values)], out=total[1:])
+    return total
+
+
 class Words:
-    """The words of some texts: hash, place, piece, and the number of the text's language."""
+    """The words of some texts: two hashes, place, piece, and the language's number and the row of the text."""
 
-    def __init__(self, texts: list[bytes], langs: np.ndarray) -> None:
+    def __init__(self, texts: list[bytes], langs: np.ndarray, rows: np.ndarray) -> None:
         self.text = b"\n".join(texts).lower() + b"\n"
         buffer = np.frombuffer(self.text, np.uint8)
         ends = _ENDS_WORD[buffer]
         edge = np.flatnonzero(np.diff(ends.view(np.int8), prepend=np.int8(1)))
         self.starts, self.stops = edge[::2], edge[1::2]
         self.piece = np.cumsum(_ENDS_PIECE[buffer], dtype=np.int32)[self.starts]
-        power, back = powers(len(buffer) + 1)
-        total = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(_BYTE[buffer] * power[: len(buffer)], out=total[1:])
-        self.hash = mix((total[self.stops] - total[self.starts]) * back[self.starts] + (self.stops - self.starts).astype(np.uint64))
-        of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.starts, side="right")
+        back, size = powers(len(buffer) + 1)[1][self.starts], (self.stops - self.starts).astype(np.uint64)
+        self.hash, self.check = (mix((total[self.stops] - total[self.starts]) * back + size) for total in (_polynomial(buffer, numbers[buffer]) for numbers in (_BYTE, _OTHER)))
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        of = np.searchsorted(begin[1:], self.starts, side="right")
         self.lang = langs[of] if len(texts) else np.zeros(0, np.int64)
-        n = len(self.hash)
-        power, self.back = powers(n + 1)
-        self.total = np.append(U(0), np.cumsum(self.hash * power[:n]))
+        self.place = mix(rows[of] + (self.starts - begin[of]).astype(np.uint64) * U(0x9E3779B97F4A7C15)) if len(texts) else np.zeros(0, np.uint64)
+        self.back = powers(len(self.hash) + 1)[1]
+        self.totals = [_polynomial(h, h) for h in (self.hash, self.check)]
+
+    def grams(self, n: int, salts: np.ndarray, which: int = 0) -> np.ndarray:
+        """Fingerprints (or checks) of the runs of ``n`` words, one for each first word."""
+        m = max(0, len(self.hash) - n + 1)
+        total = self.totals[which]
+        return mix((total[n : n + m] - total[:m]) * self.back[:m] + salts[self.lang[:m]] + U(n))
 
-    def grams(self, n: int, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints of the runs of ``n`` words, one for each first word, and whether a run stays in its piece."""
+    def inside(self, n: int) -> np.ndarray:
+        """Whether a run of ``n`` words stays in its piece."""
         m = max(0, len(self.hash) - n + 1)
-        own = (self.total[n : n + m] - self.total[:m]) * self.back[:m]
-        return mix(own + salts[self.lang[:m]] + U(n)), self.piece[:m] == self.piece[n - 1 : n - 1 + m]
+        return self.piece[:m] == self.piece[n - 1 : n - 1 + m]
+
+    def pointers(self, at: np.ndarray, n: int) -> np.ndarray:
+        """A number for each occurrence of ``n`` words, the same whenever the text is read."""
+        return mix(self.place[at] + U(n)).view(np.int64)
 
 
 def _places(f: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -99,8 +118,8 @@ def listed(table: np.ndarray, f: np.ndarray) -> np.ndarray:
     return found
 
 
-def _cut(texts: list[bytes]) -> list[tuple[int, bytes]]:
-    """The texts, long ones cut where a piece ends anyway: number of the text, part."""
+def _cut(texts: list[bytes]) -> list[tuple[int, int, bytes]]:
+    """The texts, long ones cut where a piece ends anyway: number of the text, start, part."""
     out = []
     for i, t in enumerate(texts):
         start = 0
@@ -109,26 +128,22 @@ def _cut(texts: list[bytes]) -> list[tuple[int, bytes]]:
             if end < 0:  # a piece of more than that
                 later = _BREAK.search(t, start + PIECE)
                 end = later.start() if later else len(t)
-            out.append((i, t[start:end]))
+            out.append((i, start, t[start:end]))
             start = end + 1
         if start <= len(t):
-            out.append((i, t[start:]))
+            out.append((i, start, t[start:]))
     return out
 
 
 def _read(batches: Iterator[pa.RecordBatch], langs: dict[str, int]) -> Iterator[Words]:
     """The words of the texts, in pieces of bounded size; ``langs`` gets a number for each new language."""
     for part, texts in pieces(batches, most=PIECE):
-        own = np.array([langs.setdefault(x or "und", len(langs)) for x in part.column("lang").to_pylist()], np.int64)
+        own = np.array([langs.setdefault(x, len(langs)) for x in part.column("lang").to_pylist()], np.int64)
+        rows = part.column("row").to_numpy(zero_copy_only=False).view(np.uint64)
         cut = _cut(texts)
-        at = 0
-        while at < len(cut):
-            stop, size = at + 1, len(cut[at][1])
-            while stop < len(cut) and size + len(cut[stop][1]) <= PIECE:
-                size += len(cut[stop][1])
-                stop += 1
-            yield Words([t for _, t in cut[at:stop]], own[[i for i, _ in cut[at:stop]]])
-            at = stop
+        for a, b in ranges([len(t) for _, _, t in cut], PIECE):
+            of = [i for i, _, _ in cut[a:b]]
+            yield Words([t for _, _, t in cut[a:b]], own[of], rows[of] + np.array([k for _, k, _ in cut[a:b]], np.uint64) * _STEP[0])
 
 
 def _salts(langs: dict[str, int]) -> np.ndarray:
@@ -136,59 +151,62 @@ def _salts(langs: dict[str, int]) -> np.ndarray:
     return np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], np.uint64)
 
 
+def _summed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Counts of fingerprints and checks, and the smallest pointer of each."""
+    f, g, pointer = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(f, kind="stable")
+    f, g, pointer = f[order], g[order], pointer[order]
+    start = np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (g[1:] != g[:-1]))[: len(f)])
+    least = np.minimum.reduceat(pointer, start) if len(start) else pointer
+    return pa.RecordBatch.from_arrays([pa.array(f[start].view(np.int64)), pa.array(g[start]), pa.nulls(len(start), pa.string()), pa.array(np.diff(np.append(start, len(f)))), pa.array(least)], names=_COUNTS)
+
+
+_COUNTS = ["f", "g", "lang", "n", "pointer"]
+
+
 def _counted(texts: DataFrame, orders: tuple[int, ...], below: int, shared) -> DataFrame:
-    """Counts ``f, lang, n`` of the fingerprints of the orders, of those whose parts of ``below`` words are all listed.
+    """Counts ``f, g, n`` of the fingerprints of the orders, of those whose parts of ``below`` words are all listed, and a pointer to one occurrence.
 
-    With order 1, also rows without a fingerprint: all words of a language.
+    With order 1, also rows without a fingerprint: all words of a language, ``lang, n``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict[str, int] = {}
         held, size, words = [], 0, Counter()
-
-        def flush() -> pa.RecordBatch:
-            f, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.nulls(len(f), pa.string()), pa.array(n)], names=["f", "lang", "n"])
-
         for w in _read(batches, langs):
             salts = _salts(langs)
             if below:
-                f, inside = w.grams(below, salts)
-                good = inside & listed(shared.value, f)
+                good = w.inside(below)
+                good[good] = listed(shared.value, w.grams(below, salts)[good])
             else:
                 words.update(dict(enumerate(np.bincount(w.lang, minlength=len(langs)).tolist())))
             for n in orders:
-                f, keep = w.grams(n, salts)
+                keep = w.inside(n)
                 for k in range(n - below + 1 if below else 0):
-                    keep = keep & good[k : k + len(f)]
-                held.append(f[keep])
-                size += len(held[-1])
+                    keep = keep & good[k : k + len(keep)]
+                at = np.flatnonzero(keep)
+                held.append((w.grams(n, salts)[at], (w.grams(n, salts, 1)[at] >> U(32)).astype(np.uint32).view(np.int32), w.pointers(at, n)))
+                size += len(at)
             if size >= HELD:
-                yield flush()
-                size = 0
+                yield _summed(held)
+                held, size = [], 0
         if held:
-            yield flush()
-        names = list(langs)
+            yield _summed(held)
         if words:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array([names[k] for k in words]), pa.array(list(words.values()), pa.int64())], names=["f", "lang", "n"])
-
-    return texts.mapInArrow(run, "f long, lang string, n long").groupBy("f", "lang").agg(F.sum("n").alias("n"))
+            names, empty = list(langs), pa.nulls(len(words), pa.int64())
+            yield pa.RecordBatch.from_arrays([empty, pa.nulls(len(words), pa.int32()), pa.array([names[k] for k in words]), pa.array(list(words.values()), pa.int64()), empty], names=_COUNTS)
 
+    return texts.mapInArrow(run, "f long, g int, lang string, n long, pointer long").groupBy("f", "g", "lang").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"))
 
-def occurrences(w: Words, f: np.ndarray, at: np.ndarray, n: int, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """First places and counts of the distinct phrases that start ``at``, told by language and word ids, not by fingerprints.
 
-    Places are grouped by fingerprint; those that are other words than their group's first come again on their own.
-    """
-    while len(at):
-        _, first, which, count = np.unique(f, return_index=True, return_inverse=True, return_counts=True)
-        mine, other = at[first][which], np.zeros(len(at), bool)
-        for k in range(n):
-            other |= ids[at + k] != ids[mine + k]
-        other |= w.lang[at] != w.lang[mine]
-        yield at[first], count - np.bincount(which[other], minlength=len(first))
-        f, at = f[other], at[other]
+def collided(w: Words, at: np.ndarray, f: np.ndarray, g: np.ndarray, n: int, ids: np.ndarray) -> bool:
+    """Whether some of the occurrences ``at`` with one fingerprint and one check are different words or of different languages."""
+    _, first, which = np.unique(f, return_index=True, return_inverse=True)
+    mine = first[which]
+    other = w.lang[at] != w.lang[at[mine]]
+    for k in range(n):
+        other |= ids[at + k] != ids[at[mine] + k]
+    return bool((other & (g == g[mine])).any())
 
 
 def word_ids(w: Words) -> tuple[np.ndarray, list[bytes]]:
@@ -217,41 +235,45 @@ def word_ids(w: Words) -> tuple[np.ndarray, list[bytes]]:
 
 
 def _spelt(texts: DataFrame, shared) -> DataFrame:
-    """Counts ``lang, phrase, size, n`` of the phrases whose fingerprints are listed."""
+    """``lang, phrase, size`` of the occurrences that listed pointers name, with their ``f, g, pointer``; some more may come along.
+
+    All occurrences with listed fingerprints are compared as words; a collision of both polynomials is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict[str, int] = {}
-        held: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            names, keys = list(langs), list(held)
-            arrays = [pa.array([names[k[0]] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(held.values()), pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "size", "n"])
-
+        seen: set[int] = set()  # pointers of repeated rows
         for w in _read(batches, langs):
-            salts = _salts(langs)
+            salts, names = _salts(langs), list(langs)
+            fingerprints, pointers = shared.value
             ids, spelt = word_ids(w)
-            good = None
+            good, columns = None, [[] for _ in range(6)]
             for n in range(1, LONGEST + 1):
-                f, keep = w.grams(n, salts)
+                keep = w.inside(n)
                 if good is not None:  # what is frequent has frequent parts
-                    keep = keep & good[: len(f)] & good[1 : len(f) + 1]
+                    keep = keep & good[: len(keep)] & good[1 : len(keep) + 1]
                 at = np.flatnonzero(keep)
-                at = at[listed(shared.value, f[at])]
-                good = np.zeros(len(f), bool)
+                f = w.grams(n, salts)[at]
+                found = listed(fingerprints, f)
+                at, f = at[found], f[found]
+                good = np.zeros(len(keep), bool)
                 good[at] = True
-                for first, count in occurrences(w, f[at], at, n, ids):
-                    own = ids[first[:, None] + np.arange(n)].tolist()
-                    for lang, x, c in zip(w.lang[first].tolist(), own, count.tolist(), strict=True):
-                        held[lang, b" ".join([spelt[i] for i in x]), n] += c
-            if len(held) >= SPELT:
-                yield flush()
-        if held:
-            yield flush()
-
-    out = texts.mapInArrow(run, "lang string, phrase binary, size int, n long")
-    return out.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).withColumn("phrase", F.col("phrase").cast("string"))
+                g = (w.grams(n, salts, 1)[at] >> U(32)).astype(np.uint32).view(np.int32)
+                if collided(w, at, f, g, n, ids):
+                    raise ValueError("two phrases share both fingerprints")
+                pointer = w.pointers(at, n)
+                named = np.flatnonzero(listed(pointers, pointer.view(np.uint64)))
+                named = named[[p not in seen for p in pointer[named].tolist()]] if len(named) else named
+                seen.update(pointer[named].tolist())
+                words = ids[at[named][:, None] + np.arange(n)].tolist()
+                values = (f[named].view(np.int64).tolist(), g[named].tolist(), pointer[named].tolist(), [names[k] for k in w.lang[at[named]].tolist()], [b" ".join([spelt[i] for i in x]) for x in words], [n] * len(named))
+                for column, more in zip(columns, values, strict=True):
+                    column.extend(more)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["f", "g", "pointer", "lang", "phrase", "size"])
+
+    out = texts.mapInArrow(run, "f long, g int, pointer long, lang string, phrase binary, size int")
+    return out.withColumn("phrase", F.col("phrase").cast("string")).dropDuplicates(["f", "g", "pointer"])
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -260,23 +282,24 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     ``lang, phrase, size, f`` and ``lang, n``. Words and pieces are those of the texts with A-Z lowered; a null text has
     none, a null language is ``und``; repeated rows count each.
     """
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
+    row = F.xxhash64(*(F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")))
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", row.alias("row")).where("text is not null")
     context = docs.sparkSession.sparkContext
-    table, words, shared = np.zeros((PARTS, PART_BITS // 8), np.uint8), None, None
+    rounds, shared, fingerprints = [], None, np.zeros((PARTS, PART_BITS // 8), np.uint8)
     for orders, below in (((1,), 0), ((2,), 1), ((3, 4), 2)):
-        counted = _counted(texts, orders, below, shared)
-        counted = saved(counted.where(f"n >= {least} or f is null"))
+        counted = saved(_counted(texts, orders, below, shared).where(f"n >= {least} or f is null"))
         if shared is not None:
             shared.destroy()  # what it was for is written
-        words = counted.where("f is null").select("lang", "n") if words is None else words
-        own = bit_table(counted.where("f is not null"))
-        table |= own
+        rounds.append(counted)
+        own = bit_table(counted.where("f is not null").select("f"))
+        fingerprints |= own
         shared = context.broadcast(own)  # PARTS x PART_BITS bits
     shared.destroy()
-    shared = context.broadcast(table)
-    frequent = saved(_spelt(texts, shared).where(f"f >= {least}"))
+    counted = reduce(DataFrame.unionByName, rounds).where("f is not null").drop("lang")
+    shared = context.broadcast((fingerprints, bit_table(counted.select(F.col("pointer").alias("f")))))
+    frequent = saved(_spelt(texts, shared).join(counted, ["f", "g", "pointer"]).select("lang", "phrase", "size", F.col("n").alias("f")))
     shared.destroy()
-    return frequent, words
+    return frequent, rounds[0].where("f is null").select("lang", "n")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:

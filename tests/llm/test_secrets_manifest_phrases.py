@@ -193,19 +193,20 @@ def test_phrase_parts():
     try:
         phrases.PIECE = 40
         parts = phrases._cut([text, b"", b"y" * 99, b"a b"])
-        assert max(len(p) for i, p in parts if i == 0) <= 51 and [i for i, _ in parts if i] == [1, 2, 3]
-        assert b"|".join(p for i, p in parts if i == 0).translate(None, phrases.BREAKS + b"|") == text.translate(None, phrases.BREAKS)
+        assert max(len(p) for i, _, p in parts if i == 0) <= 51 and [i for i, _, _ in parts if i] == [1, 2, 3]
+        assert b"|".join(p for i, _, p in parts if i == 0).translate(None, phrases.BREAKS + b"|") == text.translate(None, phrases.BREAKS)
+        assert all(text[k : k + len(p)] == p for i, k, p in parts if i == 0)
     finally:
         phrases.PIECE = old
-    w = phrases.Words([b"a bb a bb a ccccccccccc ddddddddddd a bb", b"a bb"], np.array([0, 1]))
+    w = phrases.Words([b"a bb a bb a ccccccccccc ddddddddddd a bb", b"a bb"], np.array([0, 1]), np.array([5, 6], np.uint64))
     w.hash = w.hash * np.uint64(0)  # all words collide
     ids, spelt = phrases.word_ids(w)
     assert [spelt[i] for i in ids] == w.text.split()
-    at = np.array([0, 2, 4, 7, 9])
-    found = Counter()
-    for first, count in phrases.occurrences(w, np.zeros(5, np.uint64), at, 2, ids):
-        for i, c in zip(first.tolist(), count.tolist(), strict=True):
-            found[int(w.lang[i]), spelt[ids[i]], spelt[ids[i + 1]]] += c
-    assert found == {(0, b"a", b"bb"): 3, (0, b"a", b"ccccccccccc"): 1, (1, b"a", b"bb"): 1}
+    f, g = np.zeros(4, np.uint64), np.zeros(4, np.int32)
+    assert not phrases.collided(w, np.array([0, 2, 7]), f[:3], g[:3], 2, ids)
+    assert phrases.collided(w, np.array([0, 2, 7, 4]), f, g, 2, ids) and phrases.collided(w, np.array([0, 9]), f[:2], g[:2], 2, ids)
+    assert not phrases.collided(w, np.array([0, 2, 7, 4]), f, np.array([0, 0, 0, 1], np.int32), 2, ids)
+    again = phrases.Words([b"a bb"], np.array([0]), np.array([6], np.uint64))
+    assert w.pointers(np.array([9]), 2) == again.pointers(np.array([0]), 2) != w.pointers(np.array([9]), 1) and len(set(w.pointers(np.arange(10), 1).tolist())) == 10
     table = np.zeros((phrases.PARTS, phrases.PART_BITS // 8), np.uint8)
     assert not phrases.listed(table, np.arange(9, dtype=np.uint64)).any() and phrases.listed(table | 255, np.arange(9, dtype=np.uint64)).all()
