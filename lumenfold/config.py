@@ -25,7 +25,12 @@ class EngineConfig:
     bic_tol_weight: float = 0.1
     corr_weight: float = 3.0
     amp: tuple[float, float] = (0.05, 2.0)
-    amp_harmonic: float = 1.5
+    #: largest coefficient or, in ``AQ`` mode, amplitude of a harmonic: one number, or one for each order
+    amp_harmonic: float | tuple[float, ...] = 1.5
+    coef_mode: str = "ab"
+    #: whether the fit frees the period, within a tenth
+    period_fit: bool = False
+    tie_breaker: str = "minimum"
     pmin: float = 0.2
     pmax: float = 300.0
     n0: int = 2
@@ -50,6 +55,10 @@ class EngineConfig:
     def __post_init__(self) -> None:
         if self.mode not in BANDS:
             raise ValueError(f"unknown mode {self.mode!r}")
+        if self.coef_mode not in ("ab", "AQ") or self.tie_breaker not in ("minimum", "M_trunc"):
+            raise ValueError(f"unknown coef_mode {self.coef_mode!r} or tie_breaker {self.tie_breaker!r}")
+        if isinstance(self.amp_harmonic, tuple) and len(self.amp_harmonic) < self.m_max:
+            raise ValueError("amp_harmonic needs a bound for each order")
 
     @property
     def bands(self) -> tuple[str, ...]:

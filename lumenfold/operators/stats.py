@@ -146,12 +146,17 @@ def chi2_level(rows: DataFrame, floor: float = 0.001) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.try_divide(F.sum(z * z), F.greatest(F.count("*") - 2, F.lit(0))).alias("chi2"))
 
 
-def select_order(scores: DataFrame) -> DataFrame:
-    """Per source the smallest ``m`` whose ``score`` is within ``tol`` of the best one's."""
+def select_order(scores: DataFrame, tie_breaker: str = "minimum") -> DataFrame:
+    """Per source one ``m`` whose ``score`` is within ``tol`` of the best one's: ``source_id, m, score``.
+
+    ``tie_breaker``: the smallest ``m``, or with ``M_trunc`` the one nearest to the column ``trunc``, of two
+    the smaller.
+    """
     w = W.partitionBy("source_id")
     best = F.min(F.struct("score", "m", "tol")).over(w)
     near = scores.withColumn("best", best).where("score - best.score <= best.tol")
-    return near.groupBy("source_id").agg(F.min("m").alias("m"), F.min_by("score", "m").alias("score"))
+    rank = F.struct(F.abs(F.col("m") - F.col("trunc")), "m") if tie_breaker == "M_trunc" else F.struct("m")
+    return near.groupBy("source_id").agg(F.min_by("m", rank).alias("m"), F.min_by("score", rank).alias("score"))
 
 
 def truncation_order(coefficients: DataFrame, share: float = 0.98) -> DataFrame:

@@ -6,6 +6,7 @@ Doubles are rounded alike on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -506,6 +507,18 @@ def fourier_decomp(spark, d):
     return decompose.fourier_decomposition(src.event_epochs(spark, d), CONFIG, labels=_table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_mktsegment").alias("pulsation")))
 
 
+@query()
+def fourier_decomp_free_period(spark, d):
+    """The same with the period free within a tenth of a candidate's."""
+    return decompose.fourier_decomposition(src.event_epochs(spark, d), replace(CONFIG, period_fit=True))
+
+
+@query()
+def fourier_decomp_aq(spark, d):
+    """The same with a bound for each order's amplitude, and ties going to the order next to the truncation."""
+    return decompose.fourier_decomposition(src.event_epochs(spark, d), replace(CONFIG, coef_mode="AQ", amp_harmonic=(1.5, 0.75, 0.5, 0.4, 0.3), tie_breaker="M_trunc"))
+
+
 @query()
 def fourier_decomp_rrfit(spark, d):
     """The same from given periods, as after a template fit."""

@@ -58,7 +58,7 @@ def test_minimise_and_spike():
         r = np.einsum("nij,nj->ni", a[which], x) - goal[which]
         return (r * r).sum(1), 2 * np.einsum("nij,ni->nj", a[which], r)
 
-    x, value = fit.minimise(f, np.zeros((5, 4)), 10.0, tol=1e-14)
+    x, value = fit.minimise(f, np.zeros((5, 4)), fit.box_bounds(np.full(4, 10.0)), tol=1e-14)
     want = np.array([np.linalg.lstsq(p, g, rcond=None)[0] for p, g in zip(a, goal, strict=True)])
     assert np.allclose(x, want, atol=1e-5) and np.allclose(value, [((p @ w - g) ** 2).sum() for p, w, g in zip(a, want, goal, strict=True)])
     c = rng.normal(size=(3, 6))
@@ -92,6 +92,131 @@ def test_joint_fit_beats_its_start():
     assert np.isinf(fit.shapes(normal(), np.full((1, 3), 5.0), gaps, np.full(1, 5.0), cfg, 5)["chi2"][0])
 
 
+def branch_penalty(phi, y, e, band, c, m0, amp, cfg):
+    """The slope penalty over points, as it is defined."""
+    order = len(c) // 2
+    z = np.clip((y - m0[band] - amp[band] * (fit.harmonics(phi, order) @ c)) / np.sqrt(np.maximum(e, cfg.err_floor) ** 2 + (cfg.branch_error * amp.max()) ** 2), -8, 8)
+    grid = np.arange(cfg.n_grid) / cfg.n_grid
+    h = fit.harmonics(grid, order) @ c
+    peak, trough = grid[h.argmin()], grid[h.argmax()]
+    loss, count = 0.0, 0
+    for a, b in ((peak, trough), (trough, peak)):
+        inside = (phi >= a) & (phi <= b) if a <= b else (phi >= a) | (phi <= b)
+        if inside.sum() < cfg.branch_points:
+            continue
+        place = np.clip(np.floor((phi - a) % 1 / ((b - a) % 1) * cfg.branch_bins), 0, cfg.branch_bins - 1)
+        for g in {(i, j) for i, j in zip(band[inside], place[inside], strict=True)}:
+            own = inside & (band == g[0]) & (place == g[1])
+            if own.sum() >= 2:
+                m = abs(z[own].mean())
+                loss += own.sum() * (0.5 * m * m if m <= cfg.huber_delta else cfg.huber_delta * (m - cfg.huber_delta / 2))
+                count += own.sum()
+    return loss / count if count else 0.0
+
+
+def sketched(rng, n=60, order=4, cfg=EngineConfig(m_max=4, lam_slope=0.5)):
+    phi = (rng.permutation(200)[:n] + rng.random(n)) / 200
+    band, e = rng.integers(0, 3, n), rng.uniform(0.01, 0.05, n)
+    y = 0.4 * np.cos(2 * np.pi * phi) + 0.2 * np.cos(4 * np.pi * phi + 1) + rng.normal(0, 0.05, n) + 0.1 * (phi > 0.7)
+    one = np.ones((1, n))
+    return phi, band, e, y, fit.Sketch(phi[None], y[None], np.maximum(e, cfg.err_floor)[None] ** 2, one, band[None], cfg, order), cfg
+
+
+def test_branch_sketch_is_the_penalty_and_its_slope():
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        phi, band, e, y, sketch, cfg = sketched(rng)
+        c, which = rng.normal(0, 0.3, 8), np.zeros(1, int)
+        m_of, a_of = rng.normal(size=(3, 8)), rng.normal(size=(3, 8))
+        levels = lambda c, m_of=m_of, a_of=a_of: (0.1 * m_of @ c, 0.6 + 0.1 * a_of @ c)
+
+        def value(c, sketch=sketch, which=which, m_of=m_of, a_of=a_of, levels=levels):
+            m0, amp = levels(c)
+            return sketch.penalty(c[None], which, amp[None], m0[None], 0.1 * a_of[None], 0.1 * m_of[None])
+
+        got, slope = value(c)
+        assert got[0] == pytest.approx(branch_penalty(phi, y, e, band, c, *levels(c), cfg), rel=1e-9)
+        numeric = [(value(c + d)[0] - value(c - d)[0])[0] / 2e-7 for d in np.eye(8) * 1e-7]
+        assert np.allclose(numeric, slope[0], atol=2e-5)
+
+
+def test_slope_bends_the_shape():
+    """With the penalty in the optimiser the whole objective, told from the points, is never above that of the shape fitted without."""
+    rng, better = np.random.default_rng(12), 0
+    for _ in range(15):
+        phi, band, e, y, sketch, cfg = sketched(rng)
+        order, w = 4, 1 / np.maximum(e, cfg.err_floor) ** 2
+        k = 2 * np.pi * np.arange(2 * order + 1)[:, None] * phi
+        sums = [np.array([[(f * own).sum(1) for own in ((band == b) * w for b in range(3))]]) for f in (np.cos(k), np.sin(k), np.cos(k) * y, np.sin(k) * y)]
+        yy = np.array([[((band == b) * w * y * y).sum() for b in range(3)]])
+        counts = np.array([[(band == b).sum() for b in range(3)]], float)
+        run = lambda s, sums=sums, yy=yy, counts=counts, cfg=cfg: fit.shapes(fit.Normal(*sums, yy, 4), counts, np.full((1, 3), 0.04), counts.max(axis=1), cfg, 4, s)
+        with_, without = run(sketch), run(None)
+        branch = lambda r, phi=phi, y=y, e=e, band=band, cfg=cfg: branch_penalty(phi, y, e, band, r["shape"][0], r["m0"][0], r["amp"][0], cfg)
+        before = without["objective"][0] + cfg.lam_slope * branch(without)
+        smooth = with_["chi2"][0] + cfg.lam_spike * fit.spike(with_["shape"], cfg.n_grid)[0][0] + cfg.lam_harmonic * (np.tile(np.arange(1, 5) ** 4.0, 2) * with_["shape"][0] ** 2).sum()
+        assert with_["objective"][0] == pytest.approx(smooth + cfg.lam_slope * branch(with_), rel=1e-6) and with_["objective"][0] <= before + 1e-9
+        better += with_["objective"][0] < before - 1e-5
+    assert better > 5
+
+
+def test_amplitude_bounds_are_optimal():
+    rng = np.random.default_rng(13)
+    a, goal, bound = rng.normal(size=(6, 20, 6)), rng.normal(size=(6, 20)) * 3, np.array([0.5, 0.2, 0.05])
+
+    def f(x, which):
+        r = np.einsum("nij,nj->ni", a[which], x) - goal[which]
+        return (r * r).sum(1), 2 * np.einsum("nij,ni->nj", a[which], r)
+
+    x, _ = fit.minimise(f, rng.normal(size=(6, 6)), fit.disc_bounds(bound), rounds=500, tol=1e-15)
+    slope, size = f(x, np.arange(6))[1], np.hypot(x[:, :3], x[:, 3:])
+    assert np.all(size <= bound + 1e-12) and (np.abs(size - bound) < 1e-9).any()
+    for n in range(6):
+        for j in range(3):
+            g, p = slope[n, [j, j + 3]], x[n, [j, j + 3]]
+            if size[n, j] < bound[j] - 1e-9:
+                assert np.abs(g).max() < 1e-3  # inside: flat
+            else:
+                assert abs(g[0] * p[1] - g[1] * p[0]) < 1e-3 and g @ p <= 1e-9  # at the edge: straight out
+    cfg = EngineConfig(m_max=3, coef_mode="AQ", amp_harmonic=(0.5, 0.2, 0.05))
+    project, _ = fit.coefficient_bounds(cfg, 2)
+    assert np.allclose(project(np.array([[3.0, 0.1, 4.0, 0.1]])), [[0.3, 0.1, 0.4, 0.1]])
+    assert np.allclose(fit.coefficient_bounds(EngineConfig(), 2)[0](np.array([[3.0, 0.1, -4.0, 0.1]])), [[1.5, 0.1, -1.5, 0.1]])
+    for bad in ({"coef_mode": "x"}, {"tie_breaker": "x"}, {"amp_harmonic": (1.0,)}):
+        with pytest.raises(ValueError):
+            EngineConfig(**bad)
+
+
+def test_frequency_step_is_the_slope_of_the_misfit():
+    rng = np.random.default_rng(14)
+    t, y, w = np.sort(rng.uniform(0, 30, 50)), rng.normal(size=50), rng.random(50) + 0.5
+    shape, m0, amp = rng.normal(size=(1, 6)), rng.normal(size=(1, 1)), np.array([[0.7]])
+
+    def misfit(f):
+        return (w * (y - m0[0, 0] - amp[0, 0] * (fit.harmonics(f * t, 3) @ shape[0])) ** 2).sum()
+
+    f, k = 0.73, 2 * np.pi * np.arange(7)[:, None] * 0.73 * t
+    sums = lambda v: [np.array([[(g(k) * v).sum(1)]]) for g in (np.cos, np.sin)]
+    _, slope = fit.frequency_step(sums(w), [*sums(w * t), *sums(w * t * y)], sums(w * t * t), shape, m0, amp, np.ones((1, 1), bool), np.zeros(6))
+    assert slope[0] == pytest.approx((misfit(f + 1e-7) - misfit(f - 1e-7)) / 2e-7, rel=1e-5)
+
+
+def test_free_periods(spark):
+    """Periods one per cent off come back to 1e-5 of the truth; one that is further off than the bounds stays within them."""
+    rng, cfg, rows = np.random.default_rng(15), EngineConfig(m_max=5, pmin=0.5, period_fit=True), []
+    truth = {"a": 1.37, "b": 2.9, "c": 0.83}
+    for name, period in truth.items():
+        t, y = curve(rng, 90, period, noise=0.001)
+        rows += [(name, ("g", "bp", "rp")[i % 3], float(t[i]), float(y[i]), 0.001, i) for i in range(90)]
+    d = spark.createDataFrame(rows, "source_id string, band string, t double, mag double, emag double, ord long")
+    given = spark.createDataFrame([("a", 0, 1.37 * 1.01, None), ("b", 0, 2.9 * 0.99, None), ("c", 0, 0.83 * 1.01, None), ("c", 1, 0.83 * 1.3, None)], "source_id string, cand int, P double, Z double")
+    got = {r["ID"]: r for r in decompose.fourier_decomposition(d, cfg, given).collect()}
+    assert {k: abs(got[k]["P"] / p - 1) < 1e-5 for k, p in truth.items()} == dict.fromkeys(truth, True)
+    assert got["a"]["P0"] == 1.37 * 1.01 and all(r["E"] >= 0 for r in got.values())
+    moved = {(r["source_id"], r["cand"]): r["P"] for r in decompose.free_periods(decompose.clean_points(d, cfg), given, cfg).collect()}
+    assert len(moved) == 4 and 0.9 <= moved["c", 1] / (0.83 * 1.3) <= 1.1 and abs(moved["c", 0] / 0.83 - 1) < 1e-5
+
+
 def test_injected_periods_are_recovered(spark):
     rng, cfg, rows = np.random.default_rng(1), EngineConfig(m_max=5, pmin=0.5), []
     truth = {"a": 1.37, "b": 2.9, "c": 0.83}
