@@ -8,6 +8,7 @@ bands, ``M`` the order; coefficients are M cosines, then M sines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 
@@ -153,10 +154,15 @@ def minimise(f: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]
     return x, value
 
 
+@cache
+def _second_difference(n_grid: int, order: int) -> np.ndarray:
+    h = harmonics(np.arange(n_grid) / n_grid, order)
+    return np.roll(h, -1, axis=0) - 2 * h + np.roll(h, 1, axis=0)
+
+
 def spike(c: np.ndarray, n_grid: int, ratio: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """p99 of the model's |second circular difference| on a grid, squared, plus its mean square times ``ratio``; and the gradient."""
-    h = harmonics(np.arange(n_grid) / n_grid, c.shape[1] // 2)
-    second = np.roll(h, -1, axis=0) - 2 * h + np.roll(h, 1, axis=0)
+    second = _second_difference(n_grid, c.shape[1] // 2)
     d = c @ second.T
     order = np.argsort(np.abs(d), axis=1)
     place = 0.99 * (n_grid - 1)

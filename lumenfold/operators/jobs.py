@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import subprocess
 import tempfile
+import time
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -134,6 +135,57 @@ def run_jobs(jobs: DataFrame, command: list[str], timeout: int = 300, output: st
     return jobs.mapInPandas(run, f"job_id string, source_id {dict(jobs.dtypes)['source_id']}, returncode int, result string, stderr string")
 
 
+def _finished(spark: SparkSession, path: str) -> list[str]:
+    """The waves under ``path`` that were written whole."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    waves = [x.getPath() for x in store.listStatus(folder) if x.isDirectory()]
+    return [str(x) for x in waves if store.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+
+
+_LOG = "job_id string, source_id string, window_idx int, bandpair string, P0 double, pmin double, pmax double, p0flag int, returncode int, result_ok boolean, result string, stderr string"
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log of ``run_plan``, one row for each job that has run; a job that ran again has its last row."""
+    waves = _finished(spark, path)
+    if not waves:
+        return spark.createDataFrame([], _LOG)
+    rows = spark.read.schema(_LOG).parquet(*waves).withColumn("wave", F.regexp_extract(F.input_file_name(), "wave-([0-9]+)-", 1))
+    last = F.max_by(F.struct(*(x.split()[0] for x in _LOG.split(", "))), "wave").alias("x")
+    return rows.groupBy("job_id").agg(last).select("x.*")
+
+
+def run_plan(jobs: DataFrame, command: list[str], path: str, wave: int = 10_000, retry: bool = False, timeout: int = 300, output: str | None = None) -> DataFrame:
+    """Run the jobs of a plan that the log under ``path`` doesn't have yet, about ``wave`` at a time, and return the log.
+
+    A wave's results are a folder of their own that counts once it is whole, so after a killed driver or
+    executor a rerun of the same call starts the unfinished jobs only, at most one wave of them a second time.
+    ``retry`` also runs those again that failed. ``source_log`` rolls the log up.
+    """
+    spark = jobs.sparkSession
+    log = read_log(spark, path)
+    done = log.where("result_ok") if retry else log
+    todo = saved(jobs.join(done.select("job_id").distinct(), "job_id", "left_anti"))
+    waves = -(-todo.count() // wave)
+    facts = [c for c in ("window_idx", "bandpair", "P0", "pmin", "pmax", "p0flag") if c in jobs.columns]
+    for k in range(waves):
+        part = todo.where(F.pmod(F.xxhash64("job_id"), F.lit(waves)) == k)
+        ran = run_jobs(spread(part, "job_id"), command, timeout, output).withColumn("result_ok", F.col("result").isNotNull() & (F.col("returncode") == 0))
+        rows = ran.join(part.select("job_id", *facts), "job_id")
+        columns = (x.split() for x in _LOG.split(", "))
+        whole = rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in columns))
+        whole.write.parquet(f"{path}/wave-{time.time_ns():020d}-{k}")
+    return read_log(spark, path)
+
+
+def source_log(jobs: DataFrame, log: DataFrame) -> DataFrame:
+    """``source_id, n_jobs_total, n_jobs_finished, n_jobs_success`` of a plan's sources, from the log so far."""
+    return roll_up(jobs.select("source_id", "job_id").join(log.select("job_id", "returncode", "result"), "job_id", "left"))
+
+
 def run_counts(results: DataFrame) -> DataFrame:
     """``status, n``: how many jobs are ok, failed, or not finished."""
     status = F.when(F.col("returncode").isNull(), "open").when((F.col("returncode") == 0) & F.col("result").isNotNull(), "ok").otherwise("failed")

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.operators import spectrum as kernels
-from lumenfold.sources.tables import saved
+from lumenfold.sources.tables import saved, spread
 
 #: most points of a source in one row
 POINTS = 200_000
@@ -45,7 +45,7 @@ def curves(epochs: DataFrame, n0: int = 2, pmin: float = 0.2, pmax: float = 300.
     source's parts are dealt by hash, so none needs an order over all its points.
     """
     grid = _extent(epochs, n0, pmin, pmax).withColumn("parts", F.ceil(F.col("points") / points))
-    rows = epochs.join(grid, "source_id").withColumn("part", F.pmod(F.xxhash64("t", "mag", "emag", "band"), F.col("parts")))
+    rows = spread(epochs, "source_id").join(grid, "source_id").withColumn("part", F.pmod(F.xxhash64("t", "mag", "emag", "band"), F.col("parts")))
     point = F.struct("band", (F.col("t") - F.col("t0")).alias("t"), (F.col("mag") - F.col("level")).alias("y"), F.col("emag").alias("e"))
     key = ["source_id", "part", "parts", "t0", "fmin", "df", "nf"]
     lists = rows.groupBy(*key).agg(F.array_sort(F.collect_list(point)).alias("x"))
@@ -139,7 +139,8 @@ def spectra(rows: DataFrame, window: bool = False, least: int = 4) -> DataFrame:
 
     Generalised Lomb-Scargle power with a floating mean by band, bands of ``least`` points or
     more weighted by their scatter; or, with ``window``, the power of the sampling window
-    summed over bands, over its maximum. An exchange happens for sources of several rows only.
+    summed over bands, over its maximum. ``rows`` should be ``saved``: they are read again where a source has
+    several, and only for these there is an exchange.
     """
     whole = lambda row, curve: [(row["fmin"], row["df"], (_window(row, curve) if window else grid_power(row, curve, least)).tolist())]
     light = over_curves(rows.where("parts = 1"), "fmin double, df double, power array<double>", whole)
@@ -149,6 +150,8 @@ def spectra(rows: DataFrame, window: bool = False, least: int = 4) -> DataFrame:
             yield _part_sums(k, row["fmin"] + row["df"] * np.arange(k, k + second.shape[1]), row, curve, first, second)
 
     many = rows.where("parts > 1")
+    if not many.limit(1).count():
+        return light
     added = _added(over_curves(many.repartition("source_id", "part"), _PARTS, partial), least)
     arrays = added.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("block", "window" if window else "power"))).alias("x"))
     values = F.flatten(F.transform("x", lambda b: b["window" if window else "power"]))
@@ -166,12 +169,12 @@ def spread_out(spectrum: DataFrame, name: str = "power") -> DataFrame:
 
 def gls(epochs: DataFrame, n0: int = 2, pmin: float = 0.2, pmax: float = 300.0, least: int = 4) -> DataFrame:
     """The power of ``spectra`` as ``source_id, k, f, power``."""
-    return spread_out(spectra(curves(epochs, n0, pmin, pmax), least=least))
+    return spread_out(spectra(saved(curves(epochs, n0, pmin, pmax)), least=least))
 
 
 def window_power(epochs: DataFrame, n0: int = 2, pmin: float = 0.2, pmax: float = 300.0) -> DataFrame:
     """The sampling window's power of ``spectra`` as ``source_id, k, f, wpower``."""
-    return spread_out(spectra(curves(epochs, n0, pmin, pmax), window=True), "wpower")
+    return spread_out(spectra(saved(curves(epochs, n0, pmin, pmax)), window=True), "wpower")
 
 
 def powers_at(rows: DataFrame, wanted: DataFrame, least: int = 4) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lumenfold.config import EngineConfig
 from lumenfold.operators import decompose, harmonics, jobs, periodogram, phase, stats
 from lumenfold.sources import epochs as src
+from lumenfold.sources.tables import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -198,7 +199,7 @@ _GLS = f"""{_GRID}, w1 as (select *, 1/(emag*emag) w0, count(*) over (partition
 
 
 def _spectra(spark, d):
-    return periodogram.spectra(periodogram.curves(src.event_epochs(spark, d), 2, PMIN))
+    return periodogram.spectra(saved(periodogram.curves(src.event_epochs(spark, d), 2, PMIN)))
 
 
 @query(f"EP, {_GLS} select source_id, k, round(power,5) power from pw")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.config import ZERO_POINT, ZERO_POINT_ERROR
+from lumenfold.sources import ecsv
 
 _POINT = "t double, mag double, emag double"
 
@@ -19,13 +23,6 @@ def read_ogle(spark: SparkSession, root: str, bands: tuple[str, ...] = ("V", "I"
     return rows.select(part(2).alias("source_id"), part(1).alias("band"), "t", "mag", "emag", F.xxhash64("t", "mag", "emag").alias("ord")).where(F.col("band").isin(*bands))
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A ``.csv``, ``.dat`` (space) or ``.ecsv`` (space, # comments) table with a header."""
-    if not path.endswith((".csv", ".dat", ".ecsv")):
-        raise ValueError(f"unknown suffix: {path}")
-    return spark.read.schema(schema).option("header", True).option("comment", "#").option("sep", "," if path.endswith(".csv") else " ").csv(path)
-
-
 def read_ogle_ident(spark: SparkSession, paths: list[str], widths: list[tuple[str, int, int]]) -> DataFrame:
     """Fixed-width identifier files: (column, start from 1, length); the catalogue is the file's stem without ``_ident``."""
     text = spark.read.text(paths).withColumn("path", F.input_file_name())
@@ -33,24 +30,51 @@ def read_ogle_ident(spark: SparkSession, paths: list[str], widths: list[tuple[st
     return text.select(*(F.nullif(F.trim(F.substring("value", a, n)), F.lit("")).alias(c) for c, a, n in widths), catalogue.alias("catalogue"))
 
 
-def read_fitlc(spark: SparkSession, path: str, bands: tuple[str, ...]) -> DataFrame:
-    """Light curves written by ``write_fitlc``: band number, time, magnitude, error; the header line is skipped.
+#: points of a bucket of light curves
+BUCKET = 5_000_000
 
-    The source is that of the file's folder ``source_id=...`` or else the file's stem.
-    """
-    rows = spark.read.option("recursiveFileLookup", True).text(path).withColumn("path", F.input_file_name()).where(~F.col("value").startswith("Band"))
-    f = F.split(F.trim("value"), r"\s+")
-    folder, stem = F.regexp_extract("path", r"source_id=([^/]+)/", 1), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
-    return rows.select(F.when(folder != "", folder).otherwise(stem).alias("source_id"), F.get(F.array(*map(F.lit, bands)), f[0].cast("int")).alias("band"), f[1].cast("double").alias("t"), f[2].cast("double").alias("mag"), f[3].cast("double").alias("emag"))
 
+def write_fitlc(epochs: DataFrame, path: str, bands: tuple[str, ...], bucket: int = BUCKET) -> None:
+    """Light curves of all sources in files of about ``bucket`` points, with an index: no file or folder for each source.
 
-def write_fitlc(epochs: DataFrame, path: str, bands: tuple[str, ...]) -> None:
-    """One folder for each source with lines ``band t mag emag`` under a header; sorted within a file, so the header is first."""
+    ``{path}/curves/bucket=N`` has lines ``source_id<tab>band t mag emag``, a source's together and by time;
+    ``{path}/index`` has ``source_id, bucket, points``. ``curve_file`` writes one source's own file where a
+    fitter needs it.
+    """
+    rows = epochs.where(F.col("band").isin(*bands))
+    buckets = rows.count() // bucket + 1
     number = F.array_position(F.array(*map(F.lit, bands)), F.col("band")).cast("int") - 1
     line = F.format_string("%d %.8f %.6f %.6f", number, "t", "mag", "emag")
-    head = epochs.select("source_id").distinct().select("source_id", F.lit("Band time(days) mag(mag) mag_err").alias("value"), F.lit(-1).alias("n"))
-    rows = head.unionByName(epochs.where(F.col("band").isin(*bands)).select("source_id", line.alias("value"), F.lit(0).alias("n")))
-    rows.repartition("source_id").sortWithinPartitions("source_id", "n").select("source_id", "value").write.mode("overwrite").partitionBy("source_id").text(path)
+    rows = rows.select(F.col("source_id").cast("string").alias("source_id"), "t", line.alias("line")).withColumn("bucket", F.pmod(F.xxhash64("source_id"), F.lit(buckets)).cast("int"))
+    lines = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "source_id", "t", "line").select("bucket", F.concat_ws("\t", "source_id", "line").alias("value"))
+    lines.write.mode("overwrite").partitionBy("bucket").option("maxRecordsPerFile", 4 * bucket).text(f"{path}/curves")
+    rows.groupBy("source_id", "bucket").agg(F.count("*").alias("points")).write.mode("overwrite").parquet(f"{path}/index")
+
+
+def read_fitlc(spark: SparkSession, path: str, bands: tuple[str, ...], sources: list[str] | None = None) -> DataFrame:
+    """Light curves that ``write_fitlc`` wrote, of all sources or of a few, whose buckets alone are read; or a folder of single files.
+
+    Single files have a line ``band t mag emag`` for each point under a header; the source is the file's stem.
+    """
+    f = lambda line: F.split(F.trim(line), r"\s+")
+    names = F.array(*map(F.lit, bands))
+    point = lambda x: (F.get(names, x[0].cast("int")).alias("band"), x[1].cast("double").alias("t"), x[2].cast("double").alias("mag"), x[3].cast("double").alias("emag"))
+    try:
+        index = spark.read.parquet(f"{path}/index")
+    except AnalysisException:  # single files
+        rows = spark.read.option("recursiveFileLookup", True).text(path).withColumn("path", F.input_file_name()).where(~F.col("value").startswith("Band"))
+        return rows.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1).alias("source_id"), *point(f(F.col("value"))))
+    rows = spark.read.text(f"{path}/curves")
+    if sources is not None:
+        asked = index.where(F.col("source_id").isin(*sources)).select("bucket").distinct().collect()  # one for each source asked for, at most
+        rows = rows.where(F.col("bucket").isin(*(r["bucket"] for r in asked)))
+    rows = rows.select(F.substring_index("value", "\t", 1).alias("source_id"), *point(f(F.substring_index("value", "\t", -1))))
+    return rows if sources is None else rows.where(F.col("source_id").isin(*sources))
+
+
+def curve_file(lines: list[str]) -> str:
+    """The text of one source's own file, for a fitter: a header and its lines."""
+    return "\n".join(["Band time(days) mag(mag) mag_err", *lines]) + "\n"
 
 
 def write_fd(rows: DataFrame, path: str) -> None:
@@ -68,36 +92,47 @@ def write_quality(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
-def _files(spark: SparkSession, pattern: str, schema: str, stem: str) -> DataFrame:
-    """Comma- or space-separated files with a header under # comments, bad ones skipped, and their id, the number after ``stem``."""
-    reader = spark.read.schema(schema).option("header", True).option("comment", "#").option("sep", " ").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("pathGlobFilter", f"{stem}*.ecsv").option("recursiveFileLookup", True)
-    rows = reader.csv(pattern).withColumn("path", F.input_file_name())
-    return rows.withColumn("file_id", F.regexp_extract("path", rf"{stem}([0-9]+)\.ecsv$", 1).cast("long")).drop("path")
-
-
 #: fixed values: columns of the surveys' files, in their order
-GAIA_WIDE = "g_transit_time double, g_transit_mag double, g_transit_flux double, g_transit_flux_error double, bp_obs_time double, bp_mag double, bp_flux double, bp_flux_error double, rp_obs_time double, rp_mag double, rp_flux double, rp_flux_error double, variability_flag_g_reject boolean, variability_flag_bp_reject boolean, variability_flag_rp_reject boolean"
+GAIA_WIDE = "g_transit_time double, g_transit_mag double, g_transit_flux double, g_transit_flux_error double, bp_obs_time double, bp_mag double, bp_flux double, bp_flux_error double, rp_obs_time double, rp_mag double, rp_flux double, rp_flux_error double, variability_flag_g_reject boolean, variability_flag_bp_reject boolean, variability_flag_rp_reject boolean, g_obs_time double, g_mag double, g_flux double, g_flux_error double"
 ZTF_POINT = "mjd double, mag double, magerr double, catflags int, filtercode string"
 
 
+def survey_files(spark: SparkSession, mode: str, phot: str) -> DataFrame:
+    """All photometry files of a survey by the names of their columns, with ``file_id``, ``path, ord, error`` (see ``ecsv.read_files``).
+
+    ``gaia``: ``epphot_DR3_{id}.ecsv`` anywhere under ``phot``, the g band from ``g_transit_*`` or else ``g_*`` columns. ``ztf``: ``ztf_{id}.ecsv`` in ``phot`` itself or
+    else in its folder ``epoch_phot``: where both are there the first counts, even if it is a bad one.
+    """
+    if mode == "gaia":
+        rows = ecsv.read_files(spark, phot, "epphot_DR3_*.ecsv", GAIA_WIDE, ("bp_obs_time", "rp_obs_time"))
+        pairs = {f"g_transit_{x}": f"g_{y}" for x, y in (("time", "obs_time"), ("mag", "mag"), ("flux", "flux"), ("flux_error", "flux_error"))}
+        rows = rows.withColumns({a: F.coalesce(a, b) for a, b in pairs.items()}).drop(*pairs.values())
+        return rows.withColumn("file_id", F.regexp_extract("path", r"epphot_DR3_([0-9]+)\.ecsv$", 1).try_cast("long")).where("file_id is not null")
+    rows = ecsv.read_files(spark, phot, "ztf_*.ecsv", ZTF_POINT, ("mjd", "mag", "magerr", "catflags", "filtercode"))
+    rows = rows.withColumn("file_id", F.regexp_extract("path", r"/ztf_([0-9]+)\.ecsv$", 1).try_cast("long")).where("file_id is not null")
+    folder = re.escape(re.sub(r"^[a-z]+:/*", "/", phot).rstrip("/"))
+    place = F.when(F.col("path").rlike(rf"{folder}/[^/]+$"), 0).when(F.col("path").rlike(rf"{folder}/epoch_phot/[^/]+$"), 1)
+    first = F.min("place").over(W.partitionBy("file_id"))
+    return rows.withColumn("place", place).withColumn("first", first).where("place = first").drop("place", "first")
+
+
 def load(spark: SparkSession, mode: str, ident: DataFrame, phot: str, match: DataFrame | None = None) -> DataFrame:
     """The canonical epochs of the identified sources, from a survey's folder of photometry.
 
     ``ogle``: ``{phot}/{catalogue}/{band}/{ID}.dat`` and ident ``ID``; ``gaia``: files
     ``epphot_DR3_{SOURCE_ID}.ecsv`` anywhere under ``phot`` and ident ``SOURCE_ID``;
     ``ztf``: ``ztf_{ztf_id}.ecsv`` files, ident ``ID`` and the cross-match table
-    ``ID, ztf_id, sep``; a file found twice is read once. Sources without files have no rows.
+    ``ID, ztf_id, sep``. Sources without files, or with bad ones only, have no rows (``survey_files`` and ``ecsv.bad_files`` tell them).
     """
     if mode == "ogle":
         return read_ogle(spark, phot).join(ident.select(F.col("ID").alias("source_id")).distinct(), "source_id", "left_semi")
     if mode == "gaia":
-        wide = _files(spark, phot, GAIA_WIDE, "epphot_DR3_").withColumnRenamed("file_id", "source_id")
-        wide = wide.withColumn("ord", F.xxhash64(*(c for c in wide.columns if c != "source_id")))
+        wide = survey_files(spark, mode, phot).where("error is null").withColumnRenamed("file_id", "source_id")
         return unpivot_gaia(wide).join(ident.select(F.col("SOURCE_ID").cast("long").alias("source_id")).distinct(), "source_id", "left_semi")
     if mode == "ztf":
         if match is None:
             raise ValueError("ztf needs a cross-match table")
-        rows = _files(spark, phot, ZTF_POINT, "ztf_").withColumnRenamed("file_id", "ztf_id").distinct()
+        rows = survey_files(spark, mode, phot).where("error is null").withColumnRenamed("file_id", "ztf_id").drop("ord", "path", "error")
         own = crossmatch(match.join(ident.select("ID").distinct(), "ID", "left_semi"), rows)
         epochs = ztf_epochs(own.withColumn("source_id", F.col("ID")))
         return epochs.withColumn("ord", F.xxhash64("t", "mag", "emag"))

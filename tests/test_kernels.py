@@ -5,7 +5,7 @@ import pytest
 
 from lumenfold.config import EngineConfig
 from lumenfold.operators import decompose, fit, jobs, periodogram, spectrum, stats
-from lumenfold.sources import epochs
+from lumenfold.sources import ecsv, epochs
 
 
 def moments(t, y, w, period, order):
@@ -206,7 +206,7 @@ def test_free_periods(spark):
     rng, cfg, rows = np.random.default_rng(15), EngineConfig(m_max=5, pmin=0.5, period_fit=True), []
     truth = {"a": 1.37, "b": 2.9, "c": 0.83}
     for name, period in truth.items():
-        t, y = curve(rng, 90, period, noise=0.001)
+        t, y = curve(rng, 90, period, noise=0.0002)
         rows += [(name, ("g", "bp", "rp")[i % 3], float(t[i]), float(y[i]), 0.001, i) for i in range(90)]
     d = spark.createDataFrame(rows, "source_id string, band string, t double, mag double, emag double, ord long")
     given = spark.createDataFrame([("a", 0, 1.37 * 1.01, None), ("b", 0, 2.9 * 0.99, None), ("c", 0, 0.83 * 1.01, None), ("c", 1, 0.83 * 1.3, None)], "source_id string, cand int, P double, Z double")
@@ -344,10 +344,52 @@ def test_capped_clusters(spark):
 
 
 def test_fitlc_round_trip(spark, tmp_path):
-    e = spark.createDataFrame([("a", "g", 1.5, 12.25, 0.01), ("a", "rp", 2.5, 11.0, 0.02), ("a", "x", 0.0, 0.0, 0.0)], "source_id string, band string, t double, mag double, emag double")
-    epochs.write_fitlc(e, str(tmp_path / "lc"), ("g", "bp", "rp"))
-    got = epochs.read_fitlc(spark, str(tmp_path / "lc"), ("g", "bp", "rp")).orderBy("t").collect()
-    assert [tuple(r)[1:] for r in got] == [("g", 1.5, 12.25, 0.01), ("rp", 2.5, 11.0, 0.02)]
+    rows = [(f"s{i}", ("g", "bp", "rp")[k % 3], k + 0.5, 12.25 + i, 0.01) for i in range(40) for k in range(5)] + [("s0", "x", 0.0, 0.0, 0.0)]
+    e = spark.createDataFrame(rows, "source_id string, band string, t double, mag double, emag double")
+    epochs.write_fitlc(e, str(tmp_path / "lc"), ("g", "bp", "rp"), bucket=60)
+    files = list((tmp_path / "lc" / "curves").rglob("*.txt"))
+    assert 1 < len(files) <= 4  # buckets, not sources
+    got = epochs.read_fitlc(spark, str(tmp_path / "lc"), ("g", "bp", "rp")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(rows[:-1])
+    few = epochs.read_fitlc(spark, str(tmp_path / "lc"), ("g", "bp", "rp"), ["s3", "none"])
+    assert sorted(tuple(r) for r in few.collect()) == sorted(r for r in rows if r[0] == "s3")
+    assert spark.read.parquet(str(tmp_path / "lc" / "index")).where("source_id = 's3'").first()["points"] == 5
+    (tmp_path / "own").mkdir()
+    (tmp_path / "own" / "a.fitlc").write_text(epochs.curve_file(["0 1.5 12.25 0.01", "2 2.5 11.0 0.02"]))
+    single = epochs.read_fitlc(spark, str(tmp_path / "own"), ("g", "bp", "rp")).orderBy("t").collect()
+    assert [tuple(r) for r in single] == [("a", "g", 1.5, 12.25, 0.01), ("a", "rp", 2.5, 11.0, 0.02)]
+
+
+def test_runs_resume(spark, tmp_path):
+    """A run that stops in the middle goes on with the jobs that are left; whole waves are never run again."""
+    plan = spark.createDataFrame([(f"s{i % 4}", f"j{i}", i % 3, "gbp", 0.5, 0.2, 1.0, 1) for i in range(12)], "source_id string, job_id string, window_idx int, bandpair string, P0 double, pmin double, pmax double, p0flag int")
+    mark, log = tmp_path / "ran", str(tmp_path / "log")
+    mark.mkdir()
+    script = f"echo x >> {mark}/{{job_id}}; [ {{job_id}} != j7 ] && echo ok"
+    calls, write = [], jobs.run_jobs
+
+    def dies(*a, **k):
+        calls.append(1)
+        if len(calls) == 3:
+            raise KeyboardInterrupt
+        return write(*a, **k)
+
+    jobs.run_jobs = dies
+    try:
+        with pytest.raises(KeyboardInterrupt):
+            jobs.run_plan(plan, ["sh", "-c", script], log, wave=3)
+    finally:
+        jobs.run_jobs = write
+    first = {r["job_id"] for r in jobs.read_log(spark, log).collect()}
+    assert 0 < len(first) < 12
+    (tmp_path / "log" / "wave-0-9").mkdir()  # a wave that was cut off
+    got = {r["job_id"]: r for r in jobs.run_plan(plan, ["sh", "-c", script], log, wave=5).collect()}
+    assert len(got) == 12 and all((mark / j).read_text() == "x\n" for j in got)  # each job once
+    assert not got["j7"]["result_ok"] and got["j1"]["result"] == "ok" and got["j1"]["P0"] == 0.5
+    again = {r["job_id"]: r for r in jobs.run_plan(plan, ["sh", "-c", script.replace("!= j7", "!= j0")], log, retry=True).collect()}
+    assert len(again) == 12 and again["j7"]["result_ok"] and (mark / "j7").read_text() == "x\nx\n" and (mark / "j1").read_text() == "x\n"
+    total = {r["source_id"]: (r["n_jobs_total"], r["n_jobs_finished"], r["n_jobs_success"]) for r in jobs.source_log(plan, jobs.read_log(spark, log)).collect()}
+    assert total == dict.fromkeys(("s0", "s1", "s2", "s3"), (3, 3, 3))
 
 
 def test_ogle_layout_and_idents(spark, tmp_path):
@@ -358,8 +400,6 @@ def test_ogle_layout_and_idents(spark, tmp_path):
     (tmp_path / "lmc_dsct_ident.dat").write_text("S-1  RRab \n")
     ident = epochs.read_ogle_ident(spark, [str(tmp_path / "lmc_dsct_ident.dat")], [("ID", 1, 5), ("pulsation", 6, 5)]).first()
     assert (ident["ID"], ident["pulsation"], ident["catalogue"]) == ("S-1", "RRab", "lmc_dsct")
-    with pytest.raises(ValueError):
-        epochs.read_delimited(spark, "x.txt", "a int")
     with pytest.raises(ValueError):
         EngineConfig(mode="other")
 
@@ -369,19 +409,66 @@ def test_constant_residuals_have_no_correlation(spark):
     assert stats.residual_autocorrelation(r, 5).first()["rho"] == 0.0
 
 
+ECSV = "# %ECSV 1.0\n# ---\n# delimiter: '{0}'\n# datatype:\n# - {{name: variability_flag_g_reject, datatype: bool}}\n# - {{name: solution_id, datatype: int64, description: 'a, b'}}\n# - {{name: bp_obs_time, unit: d, datatype: float64}}\n# - name: bp_flux\n#   datatype: float64\n# - {{name: bp_mag, datatype: float32}}\n# - {{name: rp_obs_time, datatype: float64}}\n# - {{name: bp_flux_error, datatype: float64}}\n# - {{name: variability_flag_bp_reject, datatype: bool}}\n# schema: astropy-2.0\n"
+
+
+@pytest.mark.parametrize("sep", [" ", ","])
+def test_files_by_name(spark, tmp_path, sep):
+    """Any order of columns, further and absent ones, masked cells, and bad files."""
+    names = ["variability_flag_g_reject", "solution_id", "bp_obs_time", "bp_flux", "bp_mag", "rp_obs_time", "bp_flux_error", "variability_flag_bp_reject"]
+    lines = [["False", "1", "1.5", "100.0", "15.0", "1.6", "1.0", "False"], ["False", "1", "2.5", "90.0", '""', "2.6", "1.0", "False"], ["True", "1", "3.5", "80.0", "15.2", '""', '""', "True"]]
+    whole = ECSV.format(sep) + "\n".join(sep.join(x) for x in [names, *lines]) + "\n"
+    (tmp_path / "epphot_DR3_5.ecsv").write_text(whole)
+    order = [2, 7, 0, 6, 5, 3, 4, 1]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "epphot_DR3_6.ecsv").write_text("# a comment\n" + "\n".join(" ".join(x[i] for i in order) for x in [names, *lines]))
+    (tmp_path / "epphot_DR3_7.ecsv").write_text(whole.replace("bp_obs_time", "other_time"))
+    (tmp_path / "epphot_DR3_8.ecsv").write_text(whole.replace("90.0", "ninety"))
+    (tmp_path / "epphot_DR3_9.ecsv").write_text("\n# only a comment\n")
+    (tmp_path / "epphot_DR3_10.ecsv").write_bytes(b"\xff\xfe\x00")
+    (tmp_path / "epphot_DR3_11.ecsv").write_text(whole + "1 2\n")
+    (tmp_path / "epphot_DR3_12.ecsv").write_text(whole.replace("name: solution_id", "name: solution"))
+    files = epochs.survey_files(spark, "gaia", str(tmp_path))
+    good = files.where("error is null").orderBy("file_id", "ord").collect()
+    for k, file in ((0, 5), (3, 6)):
+        own = good[k : k + 3]
+        assert [(r["file_id"], r["bp_obs_time"], r["bp_flux"], r["bp_mag"], r["rp_obs_time"], r["variability_flag_bp_reject"]) for r in own] == [(file, 1.5, 100.0, 15.0, 1.6, False), (file, 2.5, 90.0, None, 2.6, False), (file, 3.5, 80.0, 15.2, None, True)]
+        assert own[0]["g_transit_mag"] is None and own[2]["bp_flux_error"] is None
+    bad = {r["path"].rsplit("_", 1)[1]: r["error"] for r in ecsv.bad_files(files).collect()}
+    assert len(good) == 6 and set(bad) == {f"{i}.ecsv" for i in range(7, 13)} and bad["7.ecsv"] == "no column bp_obs_time" and "length" in bad["11.ecsv"] and "differs" in bad["12.ecsv"]
+    got = epochs.load(spark, "gaia", spark.createDataFrame([(i,) for i in range(5, 13)], "SOURCE_ID long"), str(tmp_path)).collect()
+    assert sorted((r["source_id"], r["band"], r["t"]) for r in got) == [(5, "bp", 1.5), (6, "bp", 1.5)]
+
+
+def test_tables_by_name(spark, tmp_path):
+    head = "# %ECSV 1.0\n# ---\n# delimiter: ','\n# datatype:\n# - {name: sep, datatype: float64}\n"
+    texts = {"a.ecsv": head + 'more,sep,ztf_id,ID\nx,0.05,7,1\nx,"",-1,2\n', "b.ecsv": '# c\nmore sep ztf_id ID\n"x y" 0.05 7 1\nx "" -1 2\n', "c.csv": "more,sep,ztf_id,ID\n\"x,y\",0.05,7,1\nx,,-1,2\n", "d.dat": '# c\nmore   sep ztf_id  ID\n"x y"  0.05  7   1\n x    nan -1  2\n'}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+        got = ecsv.read_table(spark, str(tmp_path / name), "ID long, ztf_id long, sep double").orderBy("ID").collect()
+        assert [tuple(r) for r in got[:1]] == [(1, 7, 0.05)] and got[1]["ztf_id"] == -1 and (got[1]["sep"] is None or np.isnan(got[1]["sep"])), name
+        with pytest.raises(ValueError, match="no column absent"):
+            ecsv.read_table(spark, str(tmp_path / name), "ID long, absent int")
+    with pytest.raises(ValueError):
+        ecsv.read_table(spark, "x.txt", "a int")
+
+
 def test_load_surveys(spark, tmp_path):
-    head = " ".join(x.split(" ")[0] for x in epochs.GAIA_WIDE.split(", "))
+    head = " ".join(x.split(" ")[0] for x in epochs.GAIA_WIDE.split(", ")[:15])
     (tmp_path / "gaia").mkdir()
     (tmp_path / "gaia" / "epphot_DR3_77.ecsv").write_text(f"# comment\n{head}\n1.0 15.0 100.0 1.0 1.1 15.0 100.0 1.0 1.2 15.0 100.0 1.0 false true false\n2.0 15.0 100.0 1.0 2.1 15.0 90.0 1.0 2.2 15.0 80.0 1.0 false false false\n")
     (tmp_path / "gaia" / "epphot_DR3_78.ecsv").write_text(f"{head}\n1.0 15.0 100.0 1.0 1.1 15.0 100.0 1.0 1.2 15.0 100.0 1.0 false true false\n")
     got = epochs.load(spark, "gaia", spark.createDataFrame([(77,)], "SOURCE_ID long"), str(tmp_path / "gaia")).collect()
     assert sorted((r["source_id"], r["band"]) for r in got) == [(77, "bp"), (77, "g"), (77, "g"), (77, "rp"), (77, "rp")]
     (tmp_path / "ztf" / "epoch_phot").mkdir(parents=True)
-    body = "mjd mag magerr catflags filtercode\n1.0 15.0 0.1 0 zg\n2.0 15.0 0.1 2 zg\n3.0 15.0 0.1 0 zx\n"
-    for p in ("ztf_5.ecsv", "epoch_phot/ztf_5.ecsv", "ztf_6.ecsv"):
-        (tmp_path / "ztf" / p).write_text(body)
-    match = spark.createDataFrame([(9, 5, 0.05), (9, 5, 0.06), (9, 6, 0.5)], "ID long, ztf_id long, sep double")
+    (tmp_path / "ztf" / "other").mkdir()
+    body = "mag mjd oid catflags magerr filtercode\n15.0 {0} 3 0 0.1 zg\n15.0 2.0 3 2 0.1 zg\n15.0 3.0 3 0 0.1 zx\n"
+    for p, t in (("ztf_5.ecsv", 1.0), ("epoch_phot/ztf_5.ecsv", 4.0), ("ztf_6.ecsv", 5.0), ("epoch_phot/ztf_7.ecsv", 6.0), ("other/ztf_8.ecsv", 7.0)):
+        (tmp_path / "ztf" / p).write_text(body.format(t))
+    (tmp_path / "ztf" / "ztf_10.ecsv").write_text("bad\n1 2\n")
+    (tmp_path / "ztf" / "epoch_phot" / "ztf_10.ecsv").write_text(body.format(8.0))
+    match = spark.createDataFrame([(9, 5, 0.05), (9, 5, 0.06), (9, 6, 0.5), (9, 7, 0.01), (9, 8, 0.01), (9, 10, 0.01)], "ID long, ztf_id long, sep double")
     got = epochs.load(spark, "ztf", spark.createDataFrame([(9,)], "ID long"), str(tmp_path / "ztf"), match).collect()
-    assert [(r["source_id"], r["t"]) for r in got] == [(9, 1.0)]
+    assert sorted((r["source_id"], r["t"], r["mag"]) for r in got) == [(9, 1.0, 15.0), (9, 6.0, 15.0)]
     with pytest.raises(ValueError):
         epochs.load(spark, "other", match, "x")
