@@ -109,7 +109,7 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     wanted = StructType.fromDDL(schema)
     if path.endswith(".dat"):
         lines = spark.read.text(path).where(r"not value rlike '^\\s*#' and value rlike '\\S'")
-        cells = lambda line: F.transform(F.regexp_extract_all(line, F.lit(r'"[^"]*"|\S+'), F.lit(0)), lambda x: F.trim(F.lit('"'), x))
+        cells = lambda line: F.transform(F.regexp_extract_all(line, F.lit(r'"[^"]*"|\S+'), F.lit(0)), lambda x: F.trim(x, F.lit('"')))
         first = lines.select("value", cells(F.col("value")).alias("x")).first()
         names = first["x"] if first else []
         rows = lines.where(F.col("value") != (first["value"] if first else "")).select(cells(F.col("value")).alias("x"))
