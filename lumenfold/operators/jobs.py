@@ -104,6 +104,12 @@ def last_row(path: str) -> str | None:
     return " ".join(f"{k}={v}" for k, v in zip(lines[0], lines[-1], strict=False)) if len(lines) > 1 else None
 
 
+def last_rows(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The last row of each ``key`` by ``order``."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(key, "x.*")
+
+
 def run_jobs(jobs: DataFrame, command: list[str], timeout: int = 300, output: str | None = None) -> DataFrame:
     """Run an external fitter for each job (``{job_id}`` and such in its arguments); off unless called.
 
@@ -154,8 +160,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     if not waves:
         return spark.createDataFrame([], _LOG)
     rows = spark.read.schema(_LOG).parquet(*waves).withColumn("wave", F.regexp_extract(F.input_file_name(), "wave-([0-9]+)-", 1))
-    last = F.max_by(F.struct(*(x.split()[0] for x in _LOG.split(", "))), "wave").alias("x")
-    return rows.groupBy("job_id").agg(last).select("x.*")
+    return last_rows(rows, "job_id", "wave").drop("wave")
 
 
 def run_plan(jobs: DataFrame, command: list[str], path: str, wave: int = 10_000, retry: bool = False, timeout: int = 300, output: str | None = None) -> DataFrame:

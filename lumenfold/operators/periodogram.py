@@ -317,6 +317,11 @@ def search_windows(epochs: DataFrame, cfg, peaks: int = 5, aliases: int = 10, sn
     rows = saved(curves(epochs, n0, cfg.pmin, cfg.pmax))
     coarse = saved(pick_peaks(spectra(rows), "power", peaks, snr))
     window = saved(pick_peaks(spectra(rows, window=True), "window", aliases, n0=n0))
+    return windows_of(coarse, window, cfg, harmonics, tol, width)
+
+
+def windows_of(coarse: DataFrame, window: DataFrame, cfg, harmonics: int = 2, tol: float = 0.1, width: float = 1.0) -> DataFrame:
+    """The windows of ``search_windows`` from each source's peaks ``source_id, f, height`` and alias frequencies ``source_id, rank, f``."""
     pairs = coarse.select("source_id", F.col("f").alias("own")).join(window.select("source_id", F.col("f").alias("fa")), "source_id")
     signs = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(s).alias("sign")) for n in range(1, harmonics + 1) for s in (1, -1))))
     alias = pairs.withColumn("x", signs).select("source_id", F.try_divide(F.lit(1.0), F.abs(F.col("x.n") * F.col("own") + F.col("x.sign") * F.col("fa"))).alias("period"))

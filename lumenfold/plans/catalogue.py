@@ -500,7 +500,108 @@ def run_counts(spark, d):
 
 @query("select l_orderkey source_id, arg_max(l_partkey, (l_linenumber, l_partkey)) last from lineitem group by 1")
 def last_row(spark, d):
-    return _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("source_id")).agg(F.max_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("last"))
+    x = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), "l_linenumber", F.col("l_partkey").alias("last"))
+    return jobs.last_rows(x, "source_id", "l_linenumber", "last").select("source_id", "last")
+
+
+# models with given coefficients, for the stages behind a fit
+_LEVEL, _AMP, _EPOCH = {"g": 21.0, "bp": 20.7, "rp": 20.0}, {"g": 0.5, "bp": 0.6, "rp": 0.4}, 0.25
+_FITTED = "ft as (select c_custkey source_id, 0.4e0+abs(c_acctbal::double)/4000 P, 1+0.1e0*(c_custkey%3) s, m from customer, range(3,6) x(m))"
+_HM = "s*(" + "+".join(f"case when m>={j} then {0.3 / j!r}e0*cos(2*pi()*{j}*{{0}})+{0.1 * j!r}e0*sin(2*pi()*{j}*{{0}}) else 0 end" for j in range(1, 6)) + ")"
+_BY_BAND = lambda v: "case band " + " ".join(f"when '{b}' then {x}e0" for b, x in v.items()) + " end"
+_MODEL = f"""{_FITTED}, mo as (select source_id, band, ord, mag, emag, m, s, P, (t-{_EPOCH}e0)/P-floor((t-{_EPOCH}e0)/P) ph, t/P-floor(t/P) p0 from ep join ft using(source_id)),
+ rs as (select *, mag-({_BY_BAND(_LEVEL)})-({_BY_BAND(_AMP)})*{_HM.format('ph')} residual from mo)"""
+_CHI2 = "ch as (select source_id, m, sum(power(residual/greatest(emag,0.001),2))/nullif(greatest(count(*)-(8+2*m),0),0) chi2 from rs group by 1,2)"
+
+
+def _fitted(spark, d):
+    x = _table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), F.lit(0).alias("cand"), (0.4 + F.abs(F.col("c_acctbal").cast("double")) / 4000).alias("P"), (1 + 0.1 * (F.col("c_custkey") % 3)).alias("s"))
+    x = x.withColumn("m", F.explode(F.array(*map(F.lit, (3, 4, 5))))).withColumn("j", F.sequence(F.lit(1), F.col("m")))
+    a, b = F.transform("j", lambda j: F.col("s") * 0.3 / j), F.transform("j", lambda j: F.col("s") * 0.1 * j)
+    levels = {"m0": _LEVEL, "amp": _AMP}
+    return x.select("source_id", "cand", "m", "P", F.lit(_EPOCH).alias("E"), a.alias("a"), b.alias("b"), *(F.array(*(F.lit(v[b]) for b in CONFIG.activated)).alias(k) for k, v in levels.items()))
+
+
+def _points(spark, d):
+    return decompose.clean_points(src.event_epochs(spark, d), CONFIG)
+
+
+@query(f"EP, {_MODEL}, {_CHI2} select source_id, m, round(coalesce(chi2,'infinity'::double),3) chi2 from ch")
+def chi2_fitted(spark, d):
+    return _r(decompose.model_chi2(_points(spark, d), _fitted(spark, d), CONFIG), "chi2", digits=3).select("source_id", "m", "chi2")
+
+
+@query(f"""EP, {_MODEL}, {_CHI2}, nf as (select source_id, least(count(*),count(distinct least(cast(floor(p0*50) as int),49)))::double n_eff from rs where m = 3 group by 1),
+ ld as (select source_id, m, band, residual/greatest(emag,0.001) z, lead(residual/greatest(emag,0.001)) over (partition by source_id, m, band order by ph, ord) nx from rs),
+ bd as (select source_id, m, count(*) n, abs(covar_pop(z,nx)/nullif(stddev_pop(case when nx is not null then z end)*stddev_pop(nx),0)) r from ld group by source_id, m, band having count(*) >= m+2),
+ rh as (select source_id, m, sum(r*n)/sum(n) rho from bd where r is not null group by 1,2),
+ sc as (select source_id, m, chi2, n_eff, coalesce(rho,0) rho, chi2*greatest(n_eff-(8+2*m),1)+(8+2*m)*ln(greatest(n_eff,1))+3*coalesce(rho,0) score, greatest(2,0.1e0*sqrt(2*greatest(n_eff-m,1))*greatest(1,min(chi2) over (partition by source_id))) tol from ch join nf using(source_id) left join rh using(source_id, m) where chi2 is not null),
+ be as (select *, min(score) over (partition by source_id) top, first_value(tol) over (partition by source_id order by score, m) own from sc), pi as (select source_id, min(m) picked from be where score-top <= own group by 1)
+ select source_id, m, round(chi2,3) chi2, n_eff, round(rho,6) rho, round(score,2) score, round(tol,3) tol, m = picked chosen from be join pi using(source_id)""")
+def order_scores(spark, d):
+    points, fitted = _points(spark, d), _fitted(spark, d)
+    whole = fitted.join(decompose.model_chi2(points, fitted, CONFIG), ["source_id", "cand", "m"])
+    at = points.join(fitted.where("m = 3").select("source_id", "P"), "source_id").withColumn("phi", phase.phase(F.col("t"), F.col("P")))
+    facts = at.groupBy("source_id").agg(F.least(F.count("*"), F.count_distinct(phase.bins(CONFIG.n_grid))).cast("double").alias("n_eff")).withColumn("trunc", F.lit(3))
+    return _r(_r(_r(decompose.order_scores(points, whole, facts, CONFIG), "rho"), "chi2", "tol", digits=3), "score", digits=2)
+
+
+@query(f"""EP, {_MODEL}, gr as (select source_id, m, i/50e0 g, {_HM.format('(i/50e0)')} h from ft, range(50) x(i)), en as (select source_id, m, arg_min(g, (h, g)) pk, arg_max(g, (h, -g)) tr from gr group by 1,2),
+ z as (select rs.source_id, rs.m, band, ph, least(greatest(residual/sqrt(power(greatest(emag,0.001),2)+power(0.03e0*0.6e0,2)),-8e0),8e0) z, pk, tr from rs join en using(source_id, m)),
+ br as (select *, 0 br, pk a, tr b from z union all select *, 1, tr, pk from z), inb as (select *, b-a-floor(b-a) w from br where case when a <= b then ph between a and b else ph >= a or ph <= b end),
+ ce as (select source_id, m, br, band, least(greatest(floor((ph-a-floor(ph-a))/w*5),0),4) bin, count(*) n, avg(z) av from inb group by all),
+ lo as (select source_id, m, br, sum(n) points, sum(n) filter (where n>=2) used, sum(n*case when abs(av)<=2.5e0 then 0.5e0*av*av else 2.5e0*(abs(av)-1.25e0) end) filter (where n>=2) loss from ce group by 1,2,3)
+ select source_id, m, round(sum(loss)/sum(used),4) slope from lo where points >= 5 and used > 0 group by 1,2""")
+def slope_fitted(spark, d):
+    return _r(decompose.branch_residuals(_points(spark, d), _fitted(spark, d), CONFIG), "slope", digits=4).select("source_id", "m", "slope")
+
+
+_VALUE = "(" + "+".join(f"s*{0.3 / j!r}e0*cos(2*pi()*{j}*{{0}}-{0.5 * j!r}e0)" for j in range(1, 6)) + ")"
+_QUALITY = f"""ft as (select c_custkey source_id, 0.4e0+abs(c_acctbal::double)/4000 P, 1+0.1e0*(c_custkey%3) s from customer),
+ q as (select source_id, band, s, (t-{_EPOCH}e0)/P-floor((t-{_EPOCH}e0)/P) phi, mag, ord from ep join ft using(source_id)),
+ g as (select *, least(cast(floor(phi*50) as int),49) bin, mag-({_BY_BAND(_LEVEL)})-({_BY_BAND(_AMP)})*{_VALUE.format('phi')} residual, coalesce(lead(phi) over (partition by source_id, band order by phi), min(phi) over (partition by source_id, band)+1)-phi gap from q)"""
+
+
+def _given_fd(spark, d):
+    x = _table(spark, d, "customer").select(F.col("c_custkey").alias("ID"), (0.4 + F.abs(F.col("c_acctbal").cast("double")) / 4000).alias("P"), (1 + 0.1 * (F.col("c_custkey") % 3)).alias("s")).withColumn("E", F.lit(_EPOCH))
+    n = range(1, CONFIG.m_max + 1)
+    return x.withColumns({f"A{j}": F.col("s") * 0.3 / j for j in n} | {f"Q{j}": F.lit(0.5 * j) for j in n} | {f"m0_{b}": F.lit(v) for b, v in _LEVEL.items()} | {f"amp_{b}": F.lit(v) for b, v in _AMP.items()}).drop("s")
+
+
+@query(f'EP, {_QUALITY}, b as (select source_id, band, bin, count(*) n, max(gap) gap from g group by 1,2,3), p as (select *, n/sum(n) over (partition by source_id, band) p from b) select source_id "ID", band, sum(n)::bigint "N", round(count(*)/50e0,6) occupied_fraction, round(case when sum(n)<2 then 1 else max(gap) end,6) gmax, round(-sum(p*ln(p))/ln(50e0),6)+0e0 coverage_entropy from p group by 1,2')
+def quality_rows(spark, d):
+    x = jobs.quality_table(src.event_epochs(spark, d), _given_fd(spark, d), CONFIG).select("ID", "band", "N", "occupied_fraction", "gmax", "coverage_entropy")
+    return _r(x, "occupied_fraction", "gmax", "coverage_entropy").withColumn("coverage_entropy", F.col("coverage_entropy") + 0.0)
+
+
+for _name, _expr in {"mean": "avg(residual)", "median": "quantile_cont(residual,0.5)", "rms": "sqrt(avg(residual*residual))"}.items():
+
+    def _grids(spark, d, how=_name):
+        x = jobs.quality_table(src.event_epochs(spark, d), _given_fd(spark, d), CONFIG, statistic=how)
+        x = x.select("ID", "band", F.posexplode(F.arrays_zip("residual_grid", "fval_grid", "phase_mask")).alias("bin", "x")).select("ID", "band", "bin", "x.*")
+        return _r(x, "residual_grid", "fval_grid", digits=5).withColumn("residual_grid", F.col("residual_grid") + 0.0).withColumn("phase_mask", F.col("phase_mask").cast("int"))
+
+    QUERIES[f"quality_grid_{_name}"] = _grids
+    SQL[f"quality_grid_{_name}"] = f'{EP}, {_QUALITY}, v as (select source_id, band, bin, {_expr} value from g group by 1,2,3), k as (select distinct source_id, band, s from g) select k.source_id "ID", k.band, cast(i as int) bin, round(value,5)+0e0 residual_grid, round({_BY_BAND(_LEVEL)}+({_BY_BAND(_AMP)})*{_VALUE.format("(i/50e0)")},5) fval_grid, cast(value is not null as int) phase_mask from (select source_id, band, s, unnest(range(50)) i from k) k left join (select source_id v_id, band v_band, bin, value from v) v on v_id=k.source_id and v_band=k.band and v.bin=i'
+
+
+@query(f"""EP, {_TOP}, co as (select source_id, f own from tp where rank <= 3), al as (select source_id, 1/abs(n*own+sg*fa) p from co, (values (1e0),(0.0027e0),(2e0)) a(fa), (values (1),(2)) h(n), (values (1),(-1)) s(sg)),
+ sq as (select source_id, log10(p) x, row_number() over (partition by source_id order by p) i from al where p between 0.2e0 and 300e0),
+ fo2 as (with recursive r(source_id, i, lo, hi, grp) as (select source_id, i, x-0.1e0, x+0.1e0, 1 from sq where i=1 union all
+  select sq.source_id, sq.i, case when x-0.1e0<=hi and x+0.1e0-lo<=1 then lo else x-0.1e0 end, x+0.1e0, grp+case when x-0.1e0<=hi and x+0.1e0-lo<=1 then 0 else 1 end from r join sq on sq.source_id=r.source_id and sq.i=r.i+1) select * from r)
+ select source_id, cast(grp-1 as int) i, round(min(lo),5) lo, round(max(hi),5) hi from fo2 group by 1,2""")
+def alias_windows(spark, d):
+    peaks = periodogram.top_peaks(_spectra(spark, d), 3).withColumn("height", F.col("power"))
+    alias = F.posexplode(F.array(*map(F.lit, (1.0, 0.0027, 2.0)))).alias("rank", "f")
+    found = periodogram.windows_of(saved(peaks), peaks.select("source_id").distinct().select("source_id", alias), CONFIG)
+    return _r(found.select("source_id", F.posexplode("windows").alias("i", "x")).select("source_id", "i", "x.lo", "x.hi"), "lo", "hi", digits=5)
+
+
+@query(f"""EP, so as (select distinct source_id from ep), wi as (select * from (values (0, log10({CONFIG.pmin}e0), log10({CONFIG.pmax}e0)), (1, log10(0.5e0), log10(20e0))) v(i, lo, hi))
+ select source_id, concat(source_id, '_', pair, '_0', i) job_id, cast(i as int) window_idx, pair bandpair, second, round(power(10,(lo+hi)/2),6) P0, 1 p0flag, round(power(10,greatest(lo-0.1e0,log10({CONFIG.pmin}e0))),6) pmin, round(power(10,least(hi+0.1e0,log10({CONFIG.pmax}e0))),6) pmax, 0.05e0 Amin, 3e0 Amax, 1 tmpl_start, 25 tmpl_end from so, wi, (values ('gbp', 1), ('grp', 2)) b(pair, second)""")
+def rrfit_plan_bounds(spark, d):
+    plan, _ = jobs.build_plan(src.event_epochs(spark, d), CONFIG, bounds=(0.5, 20.0))
+    return _r(plan.withColumn("second", F.col("bands")[1]).drop("bands"), "P0", "pmin", "pmax")
 
 
 @query()
