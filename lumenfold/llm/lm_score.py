@@ -19,9 +19,8 @@ fixed share of values, a passage begins, which ends at the next such place or wi
 text. In the context of those units (or of a text's beginning) a passage has the
 mixture of its count after the same context in the training texts and of its units'
 probability; a gate on how often the context was seen picks the mixture's weight,
-which is learned from the training passages, each left out of its own counts. A
-training text's own sight of a passage is left out of its score in the same way, so
-texts that repeat are told from texts that don't.
+which is learned from the training passages, each left out of its own counts. One
+model scores all rows: a training text meets its own passages in it, as any copy would.
 The most frequent units, a fixed number, go to every block of texts; a block's other
 units are joined to it. Counts cover all
 training texts and grow with them; tables and weights have a fixed size.
@@ -108,7 +107,7 @@ def matches(listed: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     ``listed`` has ``block, context, h, n``: ``n`` training sights, or 0 in a row for
     sights that teach nothing. Returns ``block, h, n, of``, with the counts of the
-    passage and of its context, for contexts that others than the row's own sight tell of.
+    passage and of its context, for contexts that training texts tell of.
     """
     each = listed.groupBy("context", "h").agg(F.sum("n").alias("n"))
     contexts = saved(each.groupBy("context").agg(F.sum("n").alias("of")).where("of > 0"))
@@ -121,8 +120,7 @@ def matches(listed: DataFrame) -> tuple[DataFrame, np.ndarray]:
     weights = np.zeros(64)
     for row in known.where("n > 0 and of > 1").groupBy(digits).agg(F.sum("n").alias("seen"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("met")).collect():  # 64 rows at most
         weights[row["digits"]] = (row["met"] + 0.5) / (row["seen"] + 1)
-    told = listed.select("block", "h", F.col("n").alias("own")).join(known, "h").where("of > 1 or own = 0")
-    return told.select("block", "h", "n", "of"), weights
+    return listed.select("block", "h").join(known, "h").select("block", "h", "n", "of"), weights
 
 
 def shape(unit: bytes) -> bytes:
@@ -298,9 +296,8 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
     which only sorts the training rows into groups and is no input of a score. Returns ``doc_id,
     n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte``,
     one row per input row. A null text is empty: its one token is the end. Without training
-    rows every token is unknown. Repeated rows are scored each on its own, and a repeated
-training row has seen its twin; bytes that
-    are not UTF-8 count as replacement characters in words; other columns are ignored;
+    rows every token is unknown. Repeated rows are scored each on its own, and alike, as are a
+    training row and a held-out copy of it; bytes that are not UTF-8 count as replacement characters in words; other columns are ignored;
     an empty table gives none.
     """
     kind = F.col(group) if group in docs.columns else F.lit(None).cast("string")
@@ -399,7 +396,6 @@ training row has seen its twin; bytes that
         base = np.log10((np.maximum(c, 0) + 1) / (n_all + vocabulary + 1))
         base[c < 0] = 0.0
         own, out = texts["text"].tolist(), []
-        teaches = texts["train"].to_numpy(np.int64)
         for a, b in chunks(own, PIECE):
             h, starts, stops, *_ = unit_hashes(own[a:b])
             at = np.searchsorted(keys, h.view(np.int64))
@@ -408,8 +404,7 @@ training row has seen its twin; bytes that
             passage, _, key, where = passages(h, doc)
             place = np.searchsorted(matched[:-1], key.view(np.int64))
             told = matched[place] == key.view(np.int64)
-            own_sight = teaches[a:b][where]
-            n, n_context = (np.where(told, np.maximum(v[place] - own_sight, 0), 0) for v in (-2 - sights, of))
+            n, n_context = (np.where(told, v[place], 0) for v in (-2 - sights, of))
             weight = np.where(n_context > 0, match_weights[np.log2(np.maximum(n_context, 1)).astype(np.int64)], 0.0)
             with np.errstate(divide="ignore"):
                 by_match, by_units = np.log(weight * n / np.maximum(n_context, 1)), np.log(1 - weight)
@@ -421,7 +416,7 @@ training row has seen its twin; bytes that
         score = top + np.log10((10 ** (each - top)).sum(axis=0))
         return pd.DataFrame({"doc_id": texts["doc_id"].to_numpy(), "n_tokens": m[0].astype(np.int64), "n_known": m[1].astype(np.int64), "base_score": m[2], "score": score, "n_bytes": [len(t) for t in own]})
 
-    groups = rows.select("doc_id", "text", "train", "block").groupBy("block").cogroup(looked_up.groupBy("block"))
+    groups = rows.select("doc_id", "text", "block").groupBy("block").cogroup(looked_up.groupBy("block"))
     out = groups.applyInPandas(score_block, "doc_id string, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = -F.col("score") / F.log10(F.lit(2.0)) / F.greatest(F.lit(1), F.col("n_bytes"))
     return out.withColumn("doc_id", F.col("doc_id").cast(doc_kind)).withColumn("train_tokens", F.lit(n_all).cast("long")).withColumn("bits_per_byte", bits)
