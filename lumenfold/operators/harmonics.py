@@ -39,6 +39,19 @@ def template_arrays(phi: Column, a: Column, b: Column) -> Column:
     return F.aggregate(term, F.lit(0.0), lambda s, v: s + v)
 
 
+def model(phi: Column, m0: Column, amp: Column, A: Column, Q: Column) -> Column:
+    """``m0 + amp`` times the sum of ``A_j cos(2 pi j phi - Q_j)``, amplitudes and phases as arrays."""
+    terms = F.transform(F.zip_with(A, Q, lambda a, q: F.struct(a.alias("a"), q.alias("q"))), lambda c, j: c["a"] * F.cos(TAU * (j + 1) * phi - c["q"]))
+    return m0 + amp * F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+
+
+def model_grid(models: DataFrame, n: int = 200) -> DataFrame:
+    """``name, i, h``: models ``name, a, b, P, E`` of unit amplitude at ``n`` steps of a cycle, shifted by the epoch's share of its period."""
+    rows = models.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    shift = F.pmod(F.col("E") / F.col("P"), F.lit(1.0))
+    return rows.select("name", "i", template_arrays(F.col("i") / float(n) - shift, F.col("a"), F.col("b")).alias("h"))
+
+
 def on_grid(templates: DataFrame, n: int, closed: bool = False) -> DataFrame:
     """``name, i, phi, h`` of templates ``name, a, b`` on n steps (and 1 itself if closed)."""
     grid = F.explode(F.sequence(F.lit(0), F.lit(n if closed else n - 1)))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.config import EngineConfig
-from lumenfold.operators import periodogram, phase, spectrum, stats
+from lumenfold.operators import harmonics, periodogram, phase, spectrum, stats
 from lumenfold.sources.tables import saved, spread
 
 
@@ -220,9 +220,9 @@ def quality_table(epochs: DataFrame, fd: DataFrame, cfg: EngineConfig, n_grid: i
     n, own = range(1, cfg.m_max + 1), bands or cfg.bands
     level = lambda k: F.create_map(*(x for b in cfg.bands for x in (F.lit(b), F.col(f"{k}_{b}"))))
     model = saved(fd).select(F.col("ID").alias("source_id"), "P", "E", level("m0").alias("m0s"), level("amp").alias("amps"), F.array(*(F.col(f"A{j}") for j in n)).alias("A"), F.array(*(F.col(f"Q{j}") for j in n)).alias("Q"))
-    value = lambda phi: F.aggregate(F.transform(F.zip_with("A", "Q", lambda a, q: F.struct(a.alias("a"), q.alias("q"))), lambda c, j: c["a"] * F.cos(2 * np.pi * (j + 1) * phi - c["q"])), F.lit(0.0), lambda s, v: s + v)
+    value = lambda phi: harmonics.model(phi, F.col("m0"), F.col("amp"), F.col("A"), F.col("Q"))
     rows = epochs.where(F.col("band").isin(*own)).join(model, "source_id").withColumn("phi", phase.phase(F.col("t"), F.col("P"), F.col("E"))).withColumn("m0", F.col("m0s")[F.col("band")]).withColumn("amp", F.col("amps")[F.col("band")])
-    rows = rows.withColumn("residual", F.col("mag") - F.col("m0") - F.col("amp") * value(F.col("phi"))).select("source_id", "band", "phi", "residual", "m0", "amp", "A", "Q")
+    rows = rows.withColumn("residual", F.col("mag") - value(F.col("phi"))).select("source_id", "band", "phi", "residual", "m0", "amp", "A", "Q")
     key = ["source_id", "band"]
     cells = phase.with_gaps(rows).groupBy(*key, phase.bins(n_grid).alias("bin")).agg(F.count("*").alias("n"), F.max("gap").alias("gap"), how[statistic].alias("value"), F.first(F.struct("m0", "amp", "A", "Q")).alias("fit"))
     one = cells.groupBy(*key).agg(F.sum("n").alias("N"), F.count("*").alias("k"), F.max("gap").alias("gap"), F.map_from_entries(F.collect_list(F.struct("bin", F.struct("n", "value")))).alias("x"), F.first("fit").alias("fit"))
@@ -232,7 +232,7 @@ def quality_table(epochs: DataFrame, fd: DataFrame, cfg: EngineConfig, n_grid: i
     one = one.withColumns({c: F.col(f"fit.{c}") for c in ("m0", "amp", "A", "Q")})
     return one.select(
         F.col("source_id").alias("ID"), "band", "N", (F.col("k") / n_grid).alias("occupied_fraction"), F.when(F.col("N") < 2, 1.0).otherwise(F.col("gap")).alias("gmax"), entropy.alias("coverage_entropy"),
-        F.transform(grid, lambda i: F.col("m0") + F.col("amp") * value(i / float(n_grid))).alias("fval_grid"), F.transform(grid, lambda i: F.try_element_at("x", i)["value"]).alias("residual_grid"),
+        F.transform(grid, lambda i: value(i / float(n_grid))).alias("fval_grid"), F.transform(grid, lambda i: F.try_element_at("x", i)["value"]).alias("residual_grid"),
         F.transform(grid, lambda i: F.map_contains_key("x", i).cast("tinyint")).alias("phase_mask"),
     )
 

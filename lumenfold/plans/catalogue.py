@@ -287,6 +287,11 @@ def design_row(spark, d):
     return x.withColumn("x", F.round("x", 6) + 0.0)
 
 
+#: levels, amplitudes and epoch of models that are given
+_LEVEL, _AMP, _EPOCH = {"g": 21.0, "bp": 20.7, "rp": 20.0}, {"g": 0.5, "bp": 0.6, "rp": 0.4}, 0.25
+_BY_BAND = lambda v: "case band " + " ".join(f"when '{b}' then {x}e0" for b, x in v.items()) + " end"
+
+
 _H = "(0.8e0*cos(2*pi()*phi)+0.3e0*sin(2*pi()*phi)+0.2e0*cos(4*pi()*phi)-0.1e0*sin(4*pi()*phi))"
 _A, _B = [0.8, 0.2], [0.3, -0.1]
 
@@ -296,6 +301,20 @@ def model_eval(spark, d):
     return _folded(spark, d).select("source_id", "band", "ord", (F.round(harmonics.template(F.col("phi"), _A, _B), 6) + 0.0).alias("h"))
 
 
+@query(f"EPselect source_id, band, ord, round(({_BY_BAND(_LEVEL)})+({_BY_BAND(_AMP)})*(0.5e0*cos(2*pi()*phi-0.3e0)+0.2e0*cos(4*pi()*phi-2e0)),6) f from fo")
+def model_eval_aq(spark, d):
+    of = lambda v: F.create_map(*(F.lit(x) for kv in v.items() for x in kv))[F.col("band")]
+    f = harmonics.model(F.col("phi"), of(_LEVEL), of(_AMP), F.array(F.lit(0.5), F.lit(0.2)), F.array(F.lit(0.3), F.lit(2.0)))
+    return _folded(spark, d).select("source_id", "band", "ord", F.round(f, 6).alias("f"))
+
+
+@query("with f as (select p_partkey name, 0.1e0*(p_size%7) a1, 0.1e0*(p_size%5) b1, 0.05e0*(p_size%3) a2, 0.5e0+0.01e0*p_size P, 0.3e0*p_size E from part), g as (select *, i/50e0-(E/P-floor(E/P)) x from f, range(50) r(i)) select name, cast(i as int) i, round(a1*cos(2*pi()*x)+b1*sin(2*pi()*x)+a2*cos(4*pi()*x),6)+0e0 h from g")
+def model_grid(spark, d):
+    n = F.col("p_size")
+    models = _table(spark, d, "part").select(F.col("p_partkey").alias("name"), F.array(0.1 * (n % 7), 0.05 * (n % 3)).alias("a"), F.array(0.1 * (n % 5), F.lit(0.0)).alias("b"), (0.5 + 0.01 * n).alias("P"), (0.3 * n).alias("E"))
+    return _r(harmonics.model_grid(models, 50), "h").withColumn("h", F.col("h") + 0.0)
+
+
 _M = "f as (select p_partkey name, 0.1e0*(p_size%7) a1, 0.1e0*(p_size%5) b1, 0.05e0*(p_size%3) a2 from part)"
 
 
@@ -504,11 +523,9 @@ def last_row(spark, d):
     return jobs.last_rows(x, "source_id", "l_linenumber", "last").select("source_id", "last")
 
 
-# models with given coefficients, for the stages behind a fit
-_LEVEL, _AMP, _EPOCH = {"g": 21.0, "bp": 20.7, "rp": 20.0}, {"g": 0.5, "bp": 0.6, "rp": 0.4}, 0.25
+# stages behind a fit, from models with given coefficients
 _FITTED = "ft as (select c_custkey source_id, 0.4e0+abs(c_acctbal::double)/4000 P, 1+0.1e0*(c_custkey%3) s, m from customer, range(3,6) x(m))"
 _HM = "s*(" + "+".join(f"case when m>={j} then {0.3 / j!r}e0*cos(2*pi()*{j}*{{0}})+{0.1 * j!r}e0*sin(2*pi()*{j}*{{0}}) else 0 end" for j in range(1, 6)) + ")"
-_BY_BAND = lambda v: "case band " + " ".join(f"when '{b}' then {x}e0" for b, x in v.items()) + " end"
 _MODEL = f"""{_FITTED}, mo as (select source_id, band, ord, mag, emag, m, s, P, (t-{_EPOCH}e0)/P-floor((t-{_EPOCH}e0)/P) ph, t/P-floor(t/P) p0 from ep join ft using(source_id)),
  rs as (select *, mag-({_BY_BAND(_LEVEL)})-({_BY_BAND(_AMP)})*{_HM.format('ph')} residual from mo)"""
 _CHI2 = "ch as (select source_id, m, sum(power(residual/greatest(emag,0.001),2))/nullif(greatest(count(*)-(8+2*m),0),0) chi2 from rs group by 1,2)"

@@ -392,6 +392,27 @@ def test_runs_resume(spark, tmp_path):
     assert total == dict.fromkeys(("s0", "s1", "s2", "s3"), (3, 3, 3))
 
 
+def test_result_files(spark, tmp_path):
+    """Decomposition rows as text under their header, appended, and a quality table with its arrays."""
+    cfg = EngineConfig(m_max=2)
+    schema = decompose.fd_schema(cfg, "string")
+    names = [x.split()[0] for x in schema.split(", ")]
+    assert len(names) == 11 + 6 * 3 + 2 * 2 and names[:3] == ["ID", "pulsation", "N_g"] and names[-1] == "flag"
+    row = [("a" if c == "ID" else "RR" if c == "pulsation" else None if c == "phi_rise" else 3 if c[:2] in ("N_", "M_") or c == "flag" else 0.1 + i) for i, c in enumerate(names)]
+    for name in ("a", "b"):
+        epochs.write_fd(spark.createDataFrame([[name, *row[1:]]], schema), str(tmp_path / "fd"))
+    head = {p.read_text().split("\n")[0] for p in (tmp_path / "fd").glob("part*")}
+    assert head == {" ".join(names)}
+    got = epochs.read_fd(spark, str(tmp_path / "fd"), schema).orderBy("ID").collect()
+    assert [tuple(r) for r in got] == [("a", *row[1:]), ("b", *row[1:])]
+    d = spark.createDataFrame([("a", "g", 0.1 * i, 15.0, 0.1, i) for i in range(9)], "source_id string, band string, t double, mag double, emag double, ord long")
+    fd = got[0].asDict() | {"P": 1.0, "E": 0.0}
+    table = jobs.quality_table(d, spark.createDataFrame([tuple(fd[c] for c in names)], schema), cfg)
+    epochs.write_quality(table, str(tmp_path / "quality"))
+    back = spark.read.parquet(str(tmp_path / "quality")).collect()
+    assert back == table.collect() and len(back[0]["phase_mask"]) == 50 and back[0]["N"] == 9
+
+
 def test_ogle_layout_and_idents(spark, tmp_path):
     (tmp_path / "cat" / "I").mkdir(parents=True)
     (tmp_path / "cat" / "I" / "S-1.dat").write_text("1.0 15.0 0.1\n2.0 15.5 0.1\n")
