@@ -1,6 +1,6 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Base patterns always count. Looser patterns propose further spans. On every
+Base patterns always count. Much looser patterns propose further spans. On every
 candidate, base ones too, six labelers vote 1, -1 or 0 (abstain): a strict form, a
 check of its digits or characters, a gazetteer, words before it that speak for the
 kind, words before it that speak against, and what follows. No labeler knows
@@ -31,25 +31,34 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: looser proposals, kind -> pattern
+#: looser proposals, kind -> pattern: any run of 7 to 15 digits, any long token, titles with a name and any two capitalised words;
+#: most of them are nothing personal, so that the labelers' errors can be told
 LOOSE = {
-    "phone": r"(?<![0-9+.()-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
+    "phone": r"(?<![0-9A-Za-z+.(-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![0-9A-Za-z]|[.-][0-9])",
     "ssn": r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9.-])",
-    "secret": r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*+[0-9])[0-9A-Za-z_-]{20,}+",
-    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]+(?![A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z_-])[0-9A-Za-z_-]{16,}+",
+    "name": r"(?<![A-Za-z])(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|[A-Z][a-z]+)\x20[A-Z][a-z]+(?![A-Za-z])",
 }
 KINDS = ["email", "ip", "card", "phone", "ssn", "secret", "name"]
 LABELERS = ["form", "check", "gazetteer", "for", "against", "after"]
 BUCKETS = 4  # of a candidate's length
 #: a cheap condition on the text that a pattern needs
-_NEEDS = {"email": "instr(text, '@') > 0", "ip": r"text rlike '[0-9]\\.[0-9]'", "card": r"text rlike '[0-9]([\\x20-]?[0-9]){12}'", "phone": "instr(text, '+') > 0", "loose_phone": "text rlike '[0-9]{3}'", "ssn": "text rlike '[0-9]{3}-[0-9]'", "secret": "text rlike '[0-9A-Za-z_-]{20}'", "name": r"text rlike '(Mr|Mrs|Ms|Dr|Prof)\\.? [A-Z]'"}
+_NEEDS = {"email": "instr(text, '@') > 0", "ip": r"text rlike '[0-9]\\.[0-9]'", "card": r"text rlike '[0-9]([\\x20-]?[0-9]){12}'", "phone": "instr(text, '+') > 0", "loose_phone": r"text rlike '[0-9]([\\x20().-]{0,2}[0-9]){6}'", "ssn": "text rlike '[0-9]{3}-[0-9]'", "secret": "text rlike '[0-9A-Za-z_-]{16}'", "name": r"text rlike '([a-z]|[MDP][rs]*\\.) [A-Z][a-z]'"}
 #: fixed values: words before a span that speak for a kind, and such that speak against any
 CUES = {"email": "mail|contact|write|reach", "ip": "ip|address|host|server|login", "card": "card|visa|credit|pay", "phone": "call|phone|tel|fax|mobile", "ssn": "ssn|social|security", "secret": "token|key|secret|password|passwd|auth|bearer", "name": "by|from|contact|dear|signed"}
 AGAINST = "version|isbn|page|order|chapter|section|item|sku|commit|sha|hash|checksum|md5|uuid|build|example|sample"
 #: fixed values: public top domains, area codes that aren't personal, common family names, country codes of large countries, card numbers of manuals
 TOP_DOMAINS = "com|org|net|edu|gov|io|de|fr|es|uk|eu|info|it|nl|pl|ru|cn|jp|in|br|ca|au|ch|at|be|se|dev|me|co"
 FREE_CODES = "800|888|877|866|855|844|833|822"
-NAMES = "Smith|Johnson|Williams|Brown|Jones|Miller|Davis|Garcia|Wilson|Anderson|Taylor|Thomas|Moore|Martin|Müller|Schmidt|Dubois|Bernard|Lopez|Martinez"
+NAMES = (
+    "Smith|Johnson|Williams|Brown|Jones|Miller|Davis|Garcia|Wilson|Anderson|Taylor|Thomas|Moore|Martin|Jackson|Thompson|White|Lee|Harris|Clark|Lewis|Robinson|Walker|Young|Allen|King|Wright|Scott|Hill|Green|Adams|Baker|Nelson|Carter|"
+    "Mitchell|Roberts|Turner|Phillips|Campbell|Parker|Evans|Edwards|Collins|Schmidt|Schneider|Fischer|Weber|Meyer|Wagner|Becker|Schulz|Hoffmann|Dubois|Bernard|Petit|Durand|Leroy|Moreau|Simon|Laurent|Lopez|Martinez|Gonzalez|Rodriguez|"
+    "Fernandez|Perez|Sanchez|Ramirez|Torres|Flores|Rivera|Gomez|Diaz|Rossi|Russo|Ferrari|Silva|Santos|Oliveira|Novak|Kowalski|Ivanov|Nguyen|Chen|Wang|Zhang|Kim|Patel|Singh|Khan"
+)
+GIVEN = (
+    "James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Daniel|Matthew|Anthony|Mark|Paul|Steven|Andrew|George|Edward|Peter|Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Jessica|Sarah|Karen|Nancy|Lisa|Anna|Laura|"
+    "Emma|Maria|Jane|Alice|Julia|Sophie|Hans|Klaus|Stefan|Andreas|Monika|Petra|Pierre|Jean|Marie|Claire|Luc|Carlos|Juan|Jose|Luis|Carmen|Ana|Marco|Paolo|Giulia|Olga|Ivan|Wei|Li|Yuki|Ali|Fatima"
+)
 COUNTRIES = "1|7|20|27|30|31|32|33|34|36|39|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 MANUAL_CARDS = "4111111111111111|4242424242424242|5555555555554444|378282246310005"
 
@@ -124,26 +133,27 @@ def _votes(s: Column) -> Column:
         "email": sign(m.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9]+-?)+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$") & ~m.contains("..")),
         "ip": sign(m.rlike(r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$")),
         "card": sign(m.rlike(r"^(?:[0-9]+|[0-9]{4}(?:[\x20-][0-9]{4}){2,3}[\x20-]?[0-9]*|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})$")),
-        "phone": sign(m.rlike(r"^(?:\+[1-9][0-9]{0,2}[\x20.-]?)?\(?[0-9]{2,5}\)?(?:[\x20.-]?[0-9]{2,5}){1,4}$")),
+        "phone": sign((m.startswith("+") | m.rlike(r"[^0-9]")) & m.rlike(r"^(?:\+[1-9][0-9]{0,2}[\x20.-]?)?\(?[0-9]{2,5}\)?(?:[\x20.-]?[0-9]{2,5}){1,4}$")),
         "ssn": F.lit(1),
         "secret": sign(m.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk[-_][A-Za-z0-9_-]{20,})$")),
-        "name": F.lit(1),
+        "name": sign(m.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof)\b")),
     })
     check = by_kind({
         "email": sign(F.length(m) <= 80),
         "ip": sign(~m.rlike(r"^(?:0|10|127|192\.168|169\.254|22[4-9]|2[3-5][0-9])\.")),
         "card": sign(digits.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)") & F.length(digits).isin(15, 16)),
-        "phone": sign(F.length(digits).between(10, 13) & ~digits.rlike(r"([0-9])\1{6}")),
+        "phone": sign((m.startswith("+") | m.rlike("[^0-9]")) & F.length(digits).between(10, 13) & ~digits.rlike(r"([0-9])\1{6}")),
         "ssn": sign(~m.rlike("^(?:000|666|9)|-00-|-0000$")),
         "secret": sign((F.size(F.array_distinct(F.split(F.lower(m), ""))) >= 10) & (F.length(digits) >= 4) & (F.length(digits) < F.length(m))),
+        "name": F.when(m.rlike(r"^([A-Za-z]+)\x20\1$"), -1).otherwise(0),
     })
     listed = by_kind({
         "email": sign(m.rlike(rf"(?i)\.({TOP_DOMAINS})$")),
         "ip": F.when(m.isin("8.8.8.8", "1.1.1.1", "1.2.3.4", "255.255.255.0", "0.0.0.0"), -1).otherwise(0),
         "card": F.when(digits.rlike(f"^(?:{MANUAL_CARDS})$"), -1).otherwise(0),
-        "phone": F.when(m.rlike(rf"^(?:\+1[\x20.-]?)?\(?({FREE_CODES})\)?[^0-9]"), -1).when(m.startswith("+"), sign(m.rlike(rf"^\+(?:{COUNTRIES})"))).otherwise(sign(~m.rlike(r"^\(?[01]"))),
+        "phone": F.when(m.rlike(rf"^(?:\+1[\x20.-]?)?\(?({FREE_CODES})\)?[^0-9]"), -1).when(m.startswith("+"), sign(m.rlike(rf"^\+(?:{COUNTRIES})"))).when(~m.rlike("[^0-9]"), 0).otherwise(sign(~m.rlike(r"^\(?[01]") & ~m.rlike(r"^(?:19|20)[0-9]{2}[-.][01]?[0-9][-.][0-3]?[0-9]$"))),
         "ssn": F.when(m.isin("078-05-1120", "123-45-6789", "219-09-9999"), -1).otherwise(0),
-        "name": F.when(m.rlike(rf" ({NAMES})$"), 1).otherwise(0),
+        "name": sign(m.rlike(rf"(?:^({GIVEN}) | ({NAMES})$)")),
     })
     cue = F.when(by_kind({k: before.rlike(rf"(^|[^a-z])({words})") for k, words in CUES.items()}, F.lit(False)), 1).otherwise(0)
     against = F.when(before.rlike(rf"({AGAINST})[^a-z]*$"), -1).otherwise(0)
