@@ -20,6 +20,7 @@ from lumenfold.llm._words import pieces
 
 #: the bound of the fitted sample: texts of each language at most, bytes that end it, languages
 TEXTS, DICTIONARY, LANGUAGES = 1_000, 110_000, 500
+SALTS = 64
 NOT_LETTERS = r"[^\p{L}]+"
 _PIECE = 1 << 17  # a compressor forgets its dictionary over long texts, so they go in pieces
 
@@ -41,7 +42,9 @@ def dictionaries(training: DataFrame) -> dict[str, bytes]:
     rows = training.where("lang is not null").select("lang", "pick", F.xxhash64("text").alias("h"), F.col("text").alias("raw")).where(F.col("raw").rlike(r"\p{L}"))
     order = [F.octet_length("raw") > DICTIONARY, "pick", F.octet_length("raw"), "h"]
     sizes = rows.select("lang", "pick", "h", F.octet_length("raw").alias("size"), *(F.struct(*order).alias(k) for k in ("rank",)))
-    first = sizes.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("rank"))).where(f"n <= {TEXTS}")
+    # the first of each of SALTS shares of a language, then the first of these: no task sees a whole language
+    near = sizes.withColumn("salt", F.pmod(F.xxhash64("pick", "h"), F.lit(SALTS))).withColumn("n", F.row_number().over(W.partitionBy("lang", "salt").orderBy("rank"))).where(f"n <= {TEXTS}")
+    first = near.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("rank"))).where(f"n <= {TEXTS}")
     before = F.coalesce(F.sum("size").over(W.partitionBy("lang").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     chosen = saved(first.withColumn("before", before).where(f"before < {DICTIONARY}").groupBy("lang").agg(F.max("rank").alias("last")))
     if chosen.count() > LANGUAGES:
@@ -64,12 +67,12 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], level: int = 9, margin: f
     language by name. Repeated rows are told each on its own; an empty table gives
     none. Other columns are ignored.
     """
-    names = sorted(dicts)
+    names, shared = sorted(dicts), docs.sparkSession.sparkContext.broadcast(dicts)  # LANGUAGES x 2 DICTIONARY bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = []
         for name in names:
-            raw = zstandard.ZstdCompressionDict(dicts[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw = zstandard.ZstdCompressionDict(shared.value[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(level=level)  # else every text would load the dictionary anew
             own.append(zstandard.ZstdCompressor(dict_data=raw, level=level, write_checksum=False, write_content_size=False, write_dict_id=False))
         for part, texts in pieces(batches):

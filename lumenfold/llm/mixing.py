@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from lumenfold.llm._shared import saved, size_of
 
 WEIGHTS, MOST, SALTS, ROUNDS = (5.0, 2.0, 1.0), 3, 256, 40
+#: share of a target that rounding may miss after the last round
+LOOSE = 1e-3
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -46,7 +48,7 @@ def _rate(most: float):
 
 
 def tilts(counts: DataFrame, targets: DataFrame, most: float = MOST, rounds: int = ROUNDS, tol: float = 1e-7) -> DataFrame:
-    """``source, lam, mean``: the dual's solution, by Newton steps kept within a bracket."""
+    """``source, lam, mean``: the dual's solution, by Newton steps kept within a bracket; an error if it isn't found in ``rounds``."""
     sums = counts.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     state = targets.join(sums.withColumnRenamed("source", "s_"), F.expr("source <=> s_")).drop("s_")
     state = saved(state.select("source", "source_size", "target", "mean", F.lit(0.0).alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), (F.col("target") >= most * F.col("source_size") * (1 - 1e-12)).alias("full")))
@@ -63,9 +65,12 @@ def tilts(counts: DataFrame, targets: DataFrame, most: float = MOST, rounds: int
         inside = newton.isNotNull() & (newton > F.col("lo")) & (newton < F.col("hi"))
         wide = F.when(F.col("hi") >= 1e6, F.greatest(F.lit(1.0), F.col("lam") * 2 + 1)).when(F.col("lo") <= -1e6, F.least(F.lit(-1.0), F.col("lam") * 2 - 1)).otherwise((F.col("lo") + F.col("hi")) / 2)
         done = F.col("full") | (F.abs("off") <= F.col("target") * tol)
-        state = saved(step.select("source", "source_size", "target", "mean", F.when(done, F.col("lam")).when(inside, newton).otherwise(wide).alias("lam"), "lo", "hi", "full", done.alias("done")))
+        state = saved(step.select("source", "source_size", "target", "mean", F.when(done, F.col("lam")).when(inside, newton).otherwise(wide).alias("lam"), "lo", "hi", "full", done.alias("done"), F.when(done, 0.0).otherwise(F.abs("off") / F.col("target")).alias("miss")))
         if state.where("not done").isEmpty():
             break
+    else:
+        if not state.where(f"miss > {LOOSE}").isEmpty():
+            raise RuntimeError(f"weights of a source are not within {LOOSE} of their target after {rounds} rounds")
     return state.select("source", F.when(F.col("full"), F.lit(1e9)).otherwise(F.col("lam")).alias("lam"), "mean")
 
 
