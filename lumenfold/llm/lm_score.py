@@ -48,7 +48,7 @@ _OFFSETS = [sum(1 << b for b in ORDER_BITS[:i]) for i in range(len(ORDER_BITS))]
 #: a byte that no UTF-8 text holds closes a text
 END, PART = b"\xff", 8192
 #: bytes of text of a block
-BLOCK = 24 << 20
+BLOCK = 20 << 20
 #: the most frequent units, so many at most, are sent to every block; the others are joined
 TOP = 1 << 18
 #: what each seen core leaves to unseen ones; the first byte of a core's string; the marks of a core's case in a shape
@@ -375,6 +375,8 @@ def score_documents(docs: DataFrame, train: str = "train", group: str = "lang")
     scored = string_scores(units.select("h", "unit", "n", "c", "core"), shared, model, shapes=True).join(cores, "core", "left")
     scored = saved(scored.select("h", "n", "c", *((F.col("lp") + F.coalesce(f"core{k}", F.lit(0.0))).cast("float").alias(f"lp{k}") for k in parts)))
     dropped(written, written_cores, shapes)  # what follows reads the scores
+    shared.destroy()
+    model.destroy()
     frequent = F.broadcast(scored.where(F.col("n") >= often).select("h"))  # TOP rows at most
     top = scored.where(F.col("n") >= often).drop("n").toArrow().sort_by("h")  # TOP rows at most
     scored = scored.where(F.col("n") < often).drop("n")
