@@ -273,16 +273,16 @@ def _block(cfg: EngineConfig, seed: int, sigma: float, snr: float):
             sums[0][b] += weighted[s].sum(0)
             sums[1][b] += (weighted[s] * values[s]).sum(0)
         grid = np.concatenate([spectrum.power(curve.totals, *x, sums=sums) for _, *x in curve.blocks(row["fmin"], row["df"], row["nf"], values)])
-        best = [spectrum.significant(np.nan_to_num(grid[:, i]), snr, 1) for i in range(len(trials))]
-        some = np.array([i for i, (at, _, _) in enumerate(best) if len(at)], int)
+        best, deviation = spectrum.highest(np.nan_to_num(grid), snr)
+        some = np.flatnonzero(best >= 0)
         found = {}
         if len(some):
-            f = row["fmin"] + row["df"] * np.array([best[i][0][0] for i in some])
+            f = row["fmin"] + row["df"] * best[some]
             values, sums = values[:, some], [x[:, some] for x in sums]
             close = periodogram.near(f, row["df"], cfg.pmin, cfg.pmax)
             f = np.where(row["df"] / f > cfg.period_tol, spectrum.refined(close, curve.own_power(close, values, sums)), f)
             z = curve.own_power(f[:, None], values, sums)[:, 0]
-            found = {int(i): (1 / x, v) for i, x, v in zip(some, f.tolist(), z.tolist(), strict=True) if v > 3 * best[i][2]}
+            found = {int(i): (1 / x, v) for i, x, v in zip(some, f.tolist(), z.tolist(), strict=True) if v > 3 * deviation[i]}
         out = []
         for i, (trial, period, epoch, scale) in enumerate(drawn):
             p, z = found.get(i, (None, None))

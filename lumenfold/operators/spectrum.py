@@ -168,6 +168,35 @@ def significant(p: np.ndarray, snr: float, count: int) -> tuple[np.ndarray, np.n
     return at[order], rise[order], sigma
 
 
+def highest(p: np.ndarray, snr: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each column the place that ``significant`` gives for one peak, or -1, and the deviation.
+
+    The highest maximum is it if its own prominence is at least the median one. Where no
+    point is higher, that needs two minima, and the others' prominence is at most their height over
+    the lowest point; only columns that this can't settle are looked at alone.
+    """
+    n, row = len(p), np.arange(p.shape[1])
+    sigma = p.std(axis=0)
+    if n < 3:
+        return np.full(p.shape[1], -1), sigma
+    top = np.zeros(p.shape, bool)
+    top[1:-1] = (p[1:-1] > p[:-2]) & (p[1:-1] > p[2:]) & (p[1:-1] >= snr * sigma)
+    flat = ((p[1:] == p[:-1]) & (p[1:] >= snr * sigma)).any(axis=0)
+    best = np.where(top, p, -np.inf)[::-1].argmax(axis=0)
+    best = n - 1 - best  # the last of equal ones
+    height = p[best, row]
+    low, high = np.minimum.accumulate(p, axis=0)[best, row], np.minimum.accumulate(p[::-1], axis=0)[::-1][best, row]
+    rise = height - np.maximum(low, high)
+    under = (top & (p - p.min(axis=0) <= rise)).sum(axis=0)
+    count = top.sum(axis=0)
+    sure = ~flat & (count > 0) & (p.max(axis=0) <= height) & (2 * under >= count + 1)
+    out = np.where(sure, best, -1)
+    for i in np.flatnonzero(~sure & ((count > 0) | flat)):
+        at = significant(p[:, i], snr, 1)[0]
+        out[i] = at[0] if len(at) else -1
+    return out, sigma
+
+
 def prominent(p: np.ndarray, distance: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``count`` most prominent maxima: at least the 95th percentile high, ``distance`` apart, of 5 median absolute deviations of prominence."""
     at = local_maxima(p)

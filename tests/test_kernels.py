@@ -281,6 +281,14 @@ def test_recurrences_and_backgrounds():
         alone = spectrum.Curve(curve.t, values[:, i], curve.w, np.sort(band), 4)
         sums = [alone.totals[:, 2, None], alone.totals[:, 3, None]]
         assert np.allclose(curve.own_power(own_f[i : i + 1], values[:, i : i + 1], sums)[0], spectrum.power(alone.totals, *alone.at(own_f[i]))[:, 0])
+    many = np.hstack([rng.random((60, 200)), np.round(rng.random((60, 200)) * 4), rng.random((60, 100)) ** 8, np.zeros((60, 1)), np.linspace(0, 1, 60)[:, None]])
+    many[0, :50] = 1.5  # ends that are higher than all maxima
+    for snr in (0.5, 2.0, 4.0):
+        place, sigma = spectrum.highest(many, snr)
+        for i in range(many.shape[1]):
+            at, _, own = spectrum.significant(many[:, i], snr, 1)
+            assert place[i] == (at[0] if len(at) else -1) and sigma[i] == pytest.approx(own)
+    assert spectrum.highest(many[:2], 1.0)[0].max() == -1
     q = rng.random(500)
     windows = np.lib.stride_tricks.sliding_window_view(np.pad(q, 100, mode="edge"), 201)
     mid, sig = spectrum.background(q, 100)
