@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.sources.tables import dropped, saved
+from lumenfold.sources.tables import LEAST_TASKS, TASK_ROWS, dropped, saved
 
-__all__ = ["ascii_lower", "bound", "connected_components", "crc_mod", "dropped", "saved", "size_of", "table", "unused"]
+__all__ = ["ascii_lower", "bound", "connected_components", "crc_mod", "dropped", "saved", "sent", "size_of", "stars", "table", "unused"]
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,30 +28,45 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Label every node of an undirected edge list with its component's smallest node.
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast from a few tasks if it has no more ``rows`` of a few numbers than one task may have."""
+    return F.broadcast(df.coalesce(LEAST_TASKS)) if rows <= TASK_ROWS else df
+
 
-    ``edges`` has two columns ``a`` and ``b`` of one orderable type. Alternates
-    large-star and small-star steps (Kiveris et al., 2014) as joins on the node,
-    until an iteration changes nothing. Returns ``node, root``, for nodes that
-    have an edge to another node. Self loops and repeated edges are harmless.
+def stars(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, int]:
+    """Each node of an undirected edge list that isn't its component's smallest, with that one, and how many those are.
+
+    ``edges`` has two columns ``a`` and ``b`` of one orderable type and is read once. Returns a
+    saved table ``node, root``. Alternates large-star and small-star steps (Kiveris et
+    al., 2014) as joins on the node, until every node has either one smaller neighbour or
+    none. Self loops and repeated edges are harmless. The tables of a step whose edges are
+    few are broadcast.
     """
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
     for _ in range(max_rounds):
+        rows = e.count()
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(e.select("v", F.lit(None)))
+        tangled = ends.groupBy("node").agg(F.count("*").alias("ends"), F.count("up").alias("ups")).where("ups > 0 and ends > 1")
+        if (tangled.coalesce(LEAST_TASKS) if rows <= TASK_ROWS else tangled).isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")), rows
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(sent(low, rows), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        if rows > TASK_ROWS:
+            large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = saved(small)
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
+        small = large.join(sent(low, rows), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        e = saved(small, rows=2 * rows)
+    raise RuntimeError("components did not settle")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Label every node of an undirected edge list with its component's smallest node.
+
+    Returns ``node, root``, for nodes that have an edge to another node (``stars``).
+    """
+    found, _ = stars(edges, max_rounds)
+    return found.union(found.select("root", "root").distinct())
 
 
 def ascii_lower(text: Column) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm._shared import connected_components, saved
+from lumenfold.llm._shared import saved, sent, stars
 from lumenfold.llm._words import U, mix, pieces, shingle_sets
 
 BINS, BANDS, PARITY = 128, 32, 512
@@ -102,16 +102,22 @@ def node_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "set binary, shingles array<long>")
 
 
-def _unsettled(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of ``shared`` whose bucket holds several components, with their ``root`` and the bucket's largest one, ``main``."""
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _relabelled(rows: DataFrame, merged: tuple[DataFrame, int]) -> DataFrame:
+    """``rows`` with ``root`` replaced by what it became a part of."""
+    into, many = merged
+    into = sent(into.select(F.col("node").alias("root"), F.col("root").alias("into")), many)
+    return rows.join(into, "root", "left").withColumn("root", F.coalesce("into", "root")).drop("into")
+
+
+def _unsettled(rooted: DataFrame) -> DataFrame:
+    """The rows whose bucket holds several components by ``root``, with the largest one, ``main``."""
     parts = rooted.groupBy("key", "root").agg(F.count("*").alias("part"))
     cells = parts.groupBy("key").agg(F.max(F.struct("part", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("part").alias("members")).where("roots > 1")
     return rooted.join(cells.drop("roots"), "key")
 
 
 def _apart(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` (a < b) of nodes that share an unsettled bucket and are in different components, each once.
+    """The pairs ``a, b`` (a < b) of nodes that share an unsettled bucket and are in different components, ``x`` and ``y``, each once.
 
     A bucket's largest component is met by the nodes outside it only. The bucket is
     dealt into blocks of about ``BLOCK`` nodes, each of which meets all of those. Pairs
@@ -128,7 +134,7 @@ def _apart(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     fits += f" and {100 + percent} * ({differ}) <= {100 - percent} * (p_n + q_n)"
     once = "array_position(zip_with(p_bands, q_bands, (x, y) -> x = y), true) = band + 1"
     pairs = all_.alias("l").join(outside.alias("r"), F.expr(f"l.key = r.key and l.block = r.block and p_root <> q_root and (p_main or p < q) and {fits} and {once}"))
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.col("p_root").alias("x"), F.col("q_root").alias("y"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -149,46 +155,57 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     fits = f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"  # else even one set inside the other is too small
     hubs = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").drop("many")
     shared = saved(buckets.join(hubs, "key"))
-    star = lambda rows: rows.where(f"node <> hub.node and {fits}").select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
+    star = lambda rows, *more: rows.where(f"node <> hub.node and {fits}").select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"), *more).dropDuplicates(["a", "b"])
     # any node that shares a bucket may be needed
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("set", "node")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     sets = saved(node_sets(texts, width).join(wanted, "set").dropDuplicates(["set"]).select("node", "shingles"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        left = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("q")), "b")
         return (
-            left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-            .select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
+            left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a")
+            .select(*pairs.columns, (F.size("p") + F.size("q")).alias("total"), F.size(F.array_intersect("p", "q")).alias("common"))
             .where(f"100 * common >= {percent} * (total - common)")
-            .select("a", "b")
+            .select(*pairs.columns)
         )
 
     tested = saved(star(shared))
+    links = confirmed(tested)
     # the texts of a doc_id that is repeated with other words are one document
-    own = named.select("doc_id", "set").join(nodes.select("set", "node"), "set").select("doc_id", "node").distinct()
-    same = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last"), "doc_id").where("node <> a")
-    links = saved(confirmed(tested).union(same.select("a", F.col("node").alias("b"))))
-    roots = saved(connected_components(links))
-    shared = shared.drop("hub")
+    repeated = saved(named.groupBy("doc_id").agg(F.count("*").alias("many")).where("many > 1").select("doc_id"))
+    if not repeated.isEmpty():
+        own = named.select("doc_id", "set").join(repeated, "doc_id", "left_semi").join(nodes.select("set", "node"), "set").select("doc_id", "node").distinct()
+        same = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last"), "doc_id").where("node <> a")
+        links = links.union(same.select("a", F.col("node").alias("b")))
+    # what joined what: nodes by the links of the first stars, then whole components by one link each or a few
+    merged = [stars(links)]
+    rooted = _relabelled(shared.drop("hub").withColumn("root", F.col("node")), merged[0])
+    rows = shared.count()
     for turn in range(REHUBS + 1):
-        shared = saved(_unsettled(shared.drop("root", "main", "members"), roots))  # settled buckets stay settled
-        if shared.isEmpty():
+        # settled buckets stay settled
+        shared = saved(_unsettled(rooted), rows=rows)
+        rows = shared.count()
+        if not rows:
             break
         if turn < REHUBS:
             others = shared.where("root <> main").groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("hub"))
-            more = star(shared.join(others, "key").where("root <> hub.root"))
+            more = star(shared.join(sent(others, rows), "key").where("root <> hub.root"), F.col("hub.root").alias("x"), F.col("root").alias("y"))
         else:
             more = _apart(shared, nodes, percent)
         more = saved(more.join(tested, ["a", "b"], "left_anti"))
+        rooted = shared.drop("main", "members")
         if more.isEmpty():
             continue
-        found = saved(confirmed(more))
-        tested = tested.union(more)
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = saved(connected_components(links))
-    labels = nodes.select("set", "node").join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("component_id"))
+        found = stars(confirmed(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        tested = tested.union(more.select("a", "b"))
+        if found[1]:
+            merged.append(found)
+            rooted = _relabelled(rooted, found)
+    labels = nodes.select("set", F.col("node").alias("root"))
+    for part in merged:
+        labels = _relabelled(labels, part)
+    labels = labels.select("set", F.col("root").alias("component_id"))
     out = feats.select("doc_id", "n_shingles", "set").join(labels, "set", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

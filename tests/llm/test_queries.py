@@ -170,6 +170,57 @@ def test_variants_of_one_text(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(d).collect()} == groups(texts)
 
 
+def test_minhash_tasks(spark):
+    """Components that merge in later rounds: the tasks stay few where every shuffle has many partitions."""
+    from lumenfold.llm import minhash
+
+    rng, base, texts = np.random.default_rng(1), prose(1, 120).split(), {}
+    for i in range(40):
+        own = list(base)
+        for k in rng.choice(120, 7, replace=False):
+            own[k] = f"v{i}k{k}"
+        texts[2 * i], texts[2 * i + 1] = " ".join(own), " ".join([*own[:60], f"w{i}", *own[61:]])
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    state = spark.sparkContext._jsc.sc()
+
+    def tasks():
+        state.listenerBus().waitUntilEmpty()
+        return state.statusStore().executorSummary("driver").totalTasks()
+
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        start = tasks()
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(d).collect()}
+        assert tasks() - start < 1700  # 2298 once, 1212 now
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == groups(texts)
+
+
+def test_components(spark, monkeypatch):
+    """Chains, circles, stars around large ids, repeated edges and loops, with broadcasts and without."""
+    from lumenfold.llm import _shared
+
+    rng = np.random.default_rng(4)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(200 + i, 200 + (i + 1) % 30) for i in range(30)] + [(999, i) for i in range(300, 340)] + [(7, 7), (5, 6), (6, 5), (5, 6)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(1000, 1200, (110, 2))]
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    d = spark.createDataFrame(edges, "a long, b long")
+    for few in (_shared.TASK_ROWS, 0):
+        monkeypatch.setattr(_shared, "TASK_ROWS", few)
+        got = _shared.connected_components(d).collect()
+        assert len(got) == len(root) and {r["node"]: r["root"] for r in got} == root
+    assert _shared.connected_components(d.where("a = b")).count() == 0
+
+
 def test_odd_bytes_and_ids(spark):
     from lumenfold.llm import langid, licenses, lm_score
 
