@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.stats import per_weight
+
 TAU = 2 * math.pi
 
 
@@ -99,7 +101,7 @@ def wls_first_order(rows: DataFrame) -> DataFrame:
     e = F.greatest(F.col("emag"), F.lit(0.001))
     rows = rows.withColumn("w", 1 / (e * e)).withColumn("c", F.cos(TAU * F.col("phi"))).withColumn("s", F.sin(TAU * F.col("phi")))
     w, c, s, y = F.col("w"), F.col("c"), F.col("s"), F.col("mag")
-    g = rows.groupBy("source_id", "band").agg(F.count("*").alias("n"), F.sum(w).alias("W"), *(F.try_divide(F.sum(w * v), F.sum(w)).alias(k) for k, v in {"c": c, "s": s, "y": y, "cc": c * c, "ss": s * s, "cs": c * s, "yc": y * c, "ys": y * s}.items())).where("n >= 4")
+    g = rows.groupBy("source_id", "band").agg(F.count("*").alias("n"), F.sum(w).alias("W"), *(per_weight(F.sum(w * v), F.sum(w)).alias(k) for k, v in {"c": c, "s": s, "y": y, "cc": c * c, "ss": s * s, "cs": c * s, "yc": y * c, "ys": y * s}.items())).where("n >= 4")
     at = lambda k, l, m: F.col(k) - F.col(l) * F.col(m)  # noqa: E731, E741
     g = g.select("source_id", "band", "y", F.col("c").alias("mc"), F.col("s").alias("ms"), at("cc", "c", "c").alias("vcc"), at("ss", "s", "s").alias("vss"), at("cs", "c", "s").alias("vcs"), at("yc", "y", "c").alias("vyc"), at("ys", "y", "s").alias("vys"))
     d = F.col("vcc") * F.col("vss") - F.col("vcs") * F.col("vcs")

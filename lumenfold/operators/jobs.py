@@ -250,7 +250,7 @@ def _block(cfg: EngineConfig, seed: int, sigma: float, snr: float):
     def run(row: dict, curve: spectrum.Curve) -> list[tuple]:
         key = np.frombuffer(blake2b(f"{seed}|{row['source_id']}|{row['template']}".encode(), digest_size=16).digest(), np.uint64)
         trials = range(row["first"], row["last"])
-        error = np.maximum(1 / np.sqrt(curve.w), cfg.err_floor)
+        error = np.maximum(1 / np.sqrt(np.where(curve.w > 0, curve.w, np.inf)), cfg.err_floor)  # what weighs nothing may have any value
         band = np.empty(len(curve.t), int)
         for b, s in curve.parts:
             band[s] = b

@@ -18,12 +18,17 @@ def weight(floor: float = 0.001) -> Column:
     return 1 / (e * e)
 
 
+def per_weight(total: Column, w: Column) -> Column:
+    """A weighted sum over the sum of weights; NaN where nothing weighs, as all errors are infinite."""
+    return F.when((w == 0) & total.isNotNull(), F.lit(float("nan"))).otherwise(F.try_divide(total, w))
+
+
 def weighted_mean_rms(rows: DataFrame, floor: float = 0.001) -> DataFrame:
     """``n, m0, rms`` with weights 1/max(emag, floor)^2, from sums over one scan; values are shifted by a constant near all magnitudes to keep the digits."""
     w, d = weight(floor), F.col("mag") - SHIFT
     s = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * d).alias("d"), F.sum(w * d * d).alias("dd"))
-    mean = F.col("d") / F.col("w")
-    return s.select(*KEY, "n", (mean + SHIFT).alias("m0"), F.sqrt(F.greatest(F.col("dd") / F.col("w") - mean * mean, F.lit(0.0))).alias("rms"))
+    mean = per_weight(F.col("d"), F.col("w"))
+    return s.select(*KEY, "n", (mean + SHIFT).alias("m0"), F.sqrt(F.greatest(per_weight(F.col("dd"), F.col("w")) - mean * mean, F.lit(0.0))).alias("rms"))
 
 
 def amplitude(rows: DataFrame) -> DataFrame:
@@ -59,13 +64,13 @@ def brightest_epoch(rows: DataFrame) -> DataFrame:
 
 
 def refit(rows: DataFrame, bounds: tuple[float, float] | None = None) -> DataFrame:
-    """Weighted (m0, amp) of ``mag ~ m0 + amp * h``; with ``bounds`` the amplitude is held and m0 follows."""
+    """Weighted (m0, amp) of ``mag ~ m0 + amp * h``, null where h is flat or nothing weighs; with ``bounds`` the amplitude is held and m0 follows."""
     w = weight()
     s = rows.withColumn("w", w).groupBy(*KEY).agg(*(F.sum(e).alias(a) for a, e in {"sw": F.col("w"), "sh": F.col("w") * F.col("h"), "shh": F.col("w") * F.col("h") * F.col("h"), "sy": F.col("w") * F.col("mag"), "shy": F.col("w") * F.col("h") * F.col("mag")}.items()))
     amp = F.try_divide(F.col("sw") * F.col("shy") - F.col("sh") * F.col("sy"), F.col("sw") * F.col("shh") - F.col("sh") * F.col("sh"))
     if bounds:
-        amp = F.least(F.greatest(amp, F.lit(bounds[0])), F.lit(bounds[1]))
-    return s.withColumn("amp", amp).select(*KEY, ((F.col("sy") - F.col("amp") * F.col("sh")) / F.col("sw")).alias("m0"), "amp")
+        amp = F.when(amp.isNotNull(), F.least(F.greatest(amp, F.lit(bounds[0])), F.lit(bounds[1])))
+    return s.withColumn("amp", amp).select(*KEY, per_weight(F.col("sy") - F.col("amp") * F.col("sh"), F.col("sw")).alias("m0"), "amp")
 
 
 def chi2_reduced(rows: DataFrame, n_dim: int, floor: float = 0.001) -> DataFrame:

@@ -152,11 +152,12 @@ def pulsation(ident: DataFrame, mode: str) -> DataFrame:
 
 
 def gaia_magnitude(flux: Column, error: Column, band: Column) -> tuple[Column, Column]:
-    """Calibrated magnitude and its error; the error has no 1/ln 10, as the surveys' pipeline has it."""
+    """Calibrated magnitude and its error; the error has no 1/ln 10, as the surveys' pipeline has it, and is infinite where the flux is 0, so that the point weighs nothing."""
     zp = F.create_map(*(F.lit(x) for kv in ZERO_POINT.items() for x in kv))
     ze = F.create_map(*(F.lit(x) for kv in ZERO_POINT_ERROR.items() for x in kv))
     mag = -2.5 * F.log10(F.greatest(flux, F.lit(1e-30))) + zp[band]
-    return mag, F.sqrt(F.pow(-2.5 * F.try_divide(error, flux), F.lit(2.0)) + F.pow(ze[band], F.lit(2.0)))
+    relative = F.when(flux == 0, F.lit(float("inf"))).otherwise(F.try_divide(error, flux))
+    return mag, F.sqrt(F.pow(-2.5 * relative, F.lit(2.0)) + F.pow(ze[band], F.lit(2.0)))
 
 
 def unpivot_gaia(wide: DataFrame, bands: tuple[str, ...] = ("g", "bp", "rp")) -> DataFrame:
