@@ -17,6 +17,7 @@ from lumenfold.plans import catalogue
 
 NAMES = [
     "alias_windows",
+    "axis_limits",
 ]
 
 
