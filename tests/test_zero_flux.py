@@ -18,6 +18,7 @@ from lumenfold.plans import catalogue
 NAMES = [
     "alias_windows",
     "axis_limits",
+    "best_period",
 ]
 
 
