@@ -19,6 +19,7 @@ NAMES = [
     "alias_windows",
     "axis_limits",
     "best_period",
+    "chi2_band",
 ]
 
 
