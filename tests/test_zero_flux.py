@@ -20,6 +20,7 @@ NAMES = [
     "axis_limits",
     "best_period",
     "chi2_band",
+    "chi2_fitted",
 ]
 
 
