@@ -21,6 +21,7 @@ NAMES = [
     "best_period",
     "chi2_band",
     "chi2_fitted",
+    "chi2_level",
 ]
 
 
