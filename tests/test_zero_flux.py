@@ -22,6 +22,7 @@ NAMES = [
     "chi2_band",
     "chi2_fitted",
     "chi2_level",
+    "chi2_reduced",
 ]
 
 
