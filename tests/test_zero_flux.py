@@ -23,6 +23,7 @@ NAMES = [
     "chi2_fitted",
     "chi2_level",
     "chi2_reduced",
+    "local_background",
 ]
 
 
