@@ -24,6 +24,7 @@ NAMES = [
     "chi2_level",
     "chi2_reduced",
     "local_background",
+    "ls_topk",
 ]
 
 
