@@ -25,6 +25,7 @@ NAMES = [
     "chi2_reduced",
     "local_background",
     "ls_topk",
+    "refit_m0_amp",
 ]
 
 
