@@ -27,6 +27,7 @@ NAMES = [
     "ls_topk",
     "refit_m0_amp",
     "refit_m0_amp_bounded",
+    "resid_autocorr",
 ]
 
 
