@@ -28,6 +28,7 @@ NAMES = [
     "refit_m0_amp",
     "refit_m0_amp_bounded",
     "resid_autocorr",
+    "slope_fitted",
 ]
 
 
