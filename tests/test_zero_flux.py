@@ -29,6 +29,7 @@ NAMES = [
     "refit_m0_amp_bounded",
     "resid_autocorr",
     "slope_fitted",
+    "slope_penalty",
 ]
 
 
