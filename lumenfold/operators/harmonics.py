@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators import fit
 from lumenfold.operators.stats import per_weight
+from lumenfold.sources.tables import spread
 
 TAU = 2 * math.pi
 
@@ -60,9 +65,57 @@ def on_grid(templates: DataFrame, n: int, closed: bool = False) -> DataFrame:
     return templates.withColumn("i", grid).withColumn("phi", F.col("i") / float(n)).select("name", "i", "phi", template_arrays(F.col("phi"), F.col("a"), F.col("b")).alias("h"))
 
 
+#: templates whose values on the grid are held at once
+TOGETHER = 256
+
+
+def _between(h: np.ndarray, first: float, last: float) -> np.ndarray:
+    """By row, from one quantile to another, each between the two nearest values; ``h`` is put in another order."""
+    at = [q * (h.shape[1] - 1) for q in (first, last)]
+    h.partition(sorted({f(x) for x in at for f in (math.floor, math.ceil)}), axis=1)
+    low, high = (h[:, math.floor(x)] + (x - math.floor(x)) * (h[:, math.ceil(x)] - h[:, math.floor(x)]) for x in at)
+    return high - low
+
+
+def _coefficients(column: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of ``width`` numbers for each list, zeros behind its own, and its length, or -1 if it is null or holds a null."""
+    length = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).astype(int)
+    flat = column.flatten()
+    out, own = np.zeros((len(column), width)), np.repeat(np.arange(len(column)), np.maximum(length, 0))
+    place = np.arange(len(own)) - np.repeat(np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0), np.maximum(length, 0))
+    out[own, place] = flat.fill_null(0).to_numpy(zero_copy_only=False)
+    length[own[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    return out, length
+
+
 def peak_to_peak(templates: DataFrame, n: int = 1000) -> DataFrame:
-    p = F.percentile("h", F.array(F.lit(0.01), F.lit(0.99)))
-    return on_grid(templates, n, closed=True).groupBy("name").agg((p[1] - p[0]).alias("ptp"))
+    """``name, ptp``: from the first to the 99th percentile of templates ``name, a, b`` on ``n`` steps of a cycle and its end.
+
+    Values are made and ranked in blocks inside the task, so a template is one row throughout; those of
+    the same name are ranked together, and one with a null coefficient has no values.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("x")
+            count, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
+            width = max((max(flat.field(c).value_lengths().drop_null().to_pylist(), default=0) for c in "ab"), default=0)
+            (a, in_a), (b, in_b) = (_coefficients(flat.field(c), width) for c in "ab")
+            fine = (in_a >= 0) & (in_a == in_b)
+            wave, edges = fit.harmonics(np.arange(n + 1) / n, width).T, np.concatenate([[0], np.cumsum(count)])
+            out = np.full(len(batch), np.nan)
+            known = np.add.reduceat(np.append(fine, False), edges[:-1]) if len(batch) else np.zeros(0)
+            alone = np.flatnonzero((count == 1) & (known == 1))
+            each = [alone[i : i + TOGETHER] for i in range(0, len(alone), TOGETHER)] + [np.array([i]) for i in np.flatnonzero((count > 1) & (known > 0))]
+            for rows in each:
+                own = edges[rows] if len(rows) > 1 or count[rows[0]] == 1 else np.arange(edges[rows[0]], edges[rows[0] + 1])
+                own = own[fine[own]]
+                h = (np.hstack([a[own], b[own]]) @ wave).reshape(len(rows), -1)
+                out[rows] = _between(h, 0.01, 0.99)
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, mask=known == 0)], names=["name", "ptp"])
+
+    lists = spread(templates, "name").groupBy("name").agg(F.collect_list(F.struct("a", "b")).alias("x"))
+    return lists.mapInArrow(run, f"name {dict(templates.dtypes)['name']}, ptp double")
 
 
 def spike_penalty(templates: DataFrame, n: int = 50) -> DataFrame:
