@@ -6,7 +6,7 @@ from contextlib import redirect_stdout
 import numpy as np
 import pytest
 
-from lumenfold.operators import harmonics
+from lumenfold.operators import harmonics, spectrum
 
 
 def plan(df):
@@ -29,3 +29,22 @@ def test_peak_to_peak(spark):
     fine = [r for r in rows if r[1] is not None and len(r[1]) == len(r[2]) and None not in r[1]]
     want = {n: np.diff(np.percentile(np.concatenate([value(*r[1:]) for r in fine if r[0] == n]), [1, 99]))[0] for n in {r[0] for r in fine}}
     assert len(got) == 304 and got.pop(900) is None and got.pop(902) is None and got == pytest.approx(want, abs=1e-12)
+
+
+def test_low_peaks_are_settled_together(monkeypatch):
+    """The highest peak by the low end, with a small prominence, under or beside a higher end: no column is looked at alone."""
+    rng = np.random.default_rng(4)
+    p = np.abs(rng.normal(size=(284, 300))) * 0.1 + np.exp(-np.arange(284) / 6)[:, None] * rng.uniform(0, 3, 300)
+    want = [spectrum.significant(x, 1.0, 1)[0] for x in p.T]
+    highest = np.array([p[1:-1, i].argmax() + 1 for i in range(300)])
+    assert sum(len(w) > 0 and w[0] != h for w, h in zip(want, highest, strict=True)) > 30  # the highest one is not it
+    monkeypatch.setattr(spectrum, "significant", None)
+    assert spectrum.highest(p, 1.0)[0].tolist() == [w[0] if len(w) else -1 for w in want]
+
+
+def test_even_frequencies():
+    """Powers at even steps by products are those at the same frequencies one by one."""
+    rng = np.random.default_rng(5)
+    curve = spectrum.Curve(np.sort(rng.uniform(0, 400, 60)), rng.normal(size=60), rng.random(60) + 0.5, rng.integers(0, 3, 60), 3)
+    f, values, sums = np.linspace(rng.uniform(0.1, 2, 4), rng.uniform(2, 5, 4), 41).T, rng.normal(size=(60, 4)), [rng.random((3, 4)), 50 + rng.random((3, 4))]
+    assert curve.own_power(f, values, sums, even=True) == pytest.approx(curve.own_power(f, values, sums), abs=1e-10)
