@@ -6,7 +6,8 @@ from contextlib import redirect_stdout
 import numpy as np
 import pytest
 
-from lumenfold.operators import harmonics, spectrum
+from lumenfold.config import EngineConfig
+from lumenfold.operators import decompose, harmonics, spectrum
 
 
 def plan(df):
@@ -48,3 +49,24 @@ def test_even_frequencies():
     curve = spectrum.Curve(np.sort(rng.uniform(0, 400, 60)), rng.normal(size=60), rng.random(60) + 0.5, rng.integers(0, 3, 60), 3)
     f, values, sums = np.linspace(rng.uniform(0.1, 2, 4), rng.uniform(2, 5, 4), 41).T, rng.normal(size=(60, 4)), [rng.random((3, 4)), 50 + rng.random((3, 4))]
     assert curve.own_power(f, values, sums, even=True) == pytest.approx(curve.own_power(f, values, sums), abs=1e-10)
+
+
+@pytest.mark.parametrize("mode", ["gaia", "ogle"])
+def test_free_periods_in_tasks(spark, monkeypatch, mode):
+    """All rounds in the task that has a source's points give the periods of the rounds over tables, with bands that are thin, absent or not activated."""
+    rng, cfg, rows = np.random.default_rng(6), EngineConfig(mode=mode, m_max=4, pmin=0.5, period_fit=True), []
+    for s in range(6):
+        t = np.sort(rng.uniform(0, 30, 50))
+        band = [cfg.bands[i % len(cfg.bands)] if s != 1 else cfg.activated[0] for i in range(50)]
+        band[0] = cfg.activated[-1]
+        y = 15 + 0.5 * np.cos(2 * np.pi * t / (0.8 + 0.3 * s)) + 0.1 * np.cos(4 * np.pi * t / (0.8 + 0.3 * s) + 1) + rng.normal(0, 0.01, 50)
+        rows += [(s, band[i], float(t[i]), float(y[i]), 0.01, i) for i in range(50)]
+    points = decompose.clean_points(spark.createDataFrame(rows, "source_id long, band string, t double, mag double, emag double, ord long"), cfg)
+    found = spark.createDataFrame([(s, c, (0.8 + 0.3 * s) * (1.002 - 0.003 * c), None, 3 + c) for s in range(7) for c in range(2)], "source_id long, cand int, P double, Z double, m int")
+    given = {(r["source_id"], r["cand"]): r["P"] for r in found.collect()}
+    whole = {(r["source_id"], r["cand"]): r for r in decompose.free_periods(points, found, cfg, rounds=4, most_points=0).collect()}
+    monkeypatch.setattr(decompose, "fits", None)
+    got = {(r["source_id"], r["cand"]): r for r in decompose.free_periods(points, found, cfg, rounds=4).collect()}
+    assert len(got) == 12 and set(got) == set(whole) and all(got[k]["m"] == 3 + k[1] and got[k]["Z"] is None for k in got)
+    assert {k: r["P"] for k, r in got.items()} == pytest.approx({k: r["P"] for k, r in whole.items()}, rel=1e-9)
+    assert sum(abs(r["P"] / given[k] - 1) > 1e-4 for k, r in got.items()) > 9
